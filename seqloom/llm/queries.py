@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, mixing, phrases, pieces, simhash, urls, wordpieces
+from . import chat, exact, language, mixing, phrases, pieces, simhash, suffixes, urls, wordpieces
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids, and a digest of the text decoded from them."""
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -58,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_token_counts, op4_simhash, op5_mixing, op7_sentencepiece, op8_language_id, op9_phrase_fingerprints, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_token_counts, op4_simhash, op5_mixing, op6_suffix_dedup, op7_sentencepiece, op8_language_id, op9_phrase_fingerprints, op10_exact_dedup)}
 
 SQL = {
     "op2_chat_format": r"""
