@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of bytes other than ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -63,3 +65,16 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
 def quoted(name: str) -> Column:
     """A column by its exact name, dots and back-quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow for columns of any name: it takes dots in them for nested fields."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names, out = df.columns, [f"o{i}" for i in range(len(schema.fields))]
+    inner = T.StructType([T.StructField(o, f.dataType) for o, f in zip(out, schema.fields)])
+
+    def renamed(batches):
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(out)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, inner).toDF(*schema.names)

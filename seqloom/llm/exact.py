@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, quoted
+from .common import fresh, map_arrow, materialise, quoted
 
 #: Four primes under 2^31 with a base each: about 124 bits in all.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -82,7 +82,7 @@ def with_fingerprints(df: DataFrame, text: str, name: str, huge_chars: int) -> D
 
     shape = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
     long = F.coalesce(F.length(quoted(text)), F.lit(0)) > huge_chars
-    small = df.where(~long).mapInArrow(lambda it: _hashed(it, text, name), shape)
+    small = map_arrow(df.where(~long), lambda it: _hashed(it, text, name), shape)
 
     key, no, piece, parts = fresh(df, "key", "no", "piece", "parts")
     big = df.where(long)

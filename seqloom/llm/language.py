@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialise, quoted
+from .common import fresh, map_arrow, materialise, quoted
 
 #: Hash buckets for trigrams, and smoothing.
 GRAMS, ALPHA = 1 << 16, 0.5
@@ -116,7 +116,7 @@ def with_likelihood(rows: DataFrame, text: str, name: str, model: Model, keep_te
             found = [own.likelihood(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(found, pa.list_(pa.float64()))], names=[*(f.name for f in rest), name])
 
-    return rows.mapInArrow(run, T.StructType([*rest, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return map_arrow(rows, run, T.StructType([*rest, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def best(scores: Column, languages: list[str]) -> Column:

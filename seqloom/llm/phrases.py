@@ -88,7 +88,10 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), steps, 10 * RANGES)).first()[0] if steps else []
     splits = [-float("inf"), *sorted(set(found or [])), float("inf")]
     keyed = docs.withColumn("d", F.col("doc_id").cast("double"))
-    put = Bucketizer(splits=splits, inputCol="d", outputCol="r", handleInvalid="keep").transform(keyed)
+    if len(splits) > 2:
+        put = Bucketizer(splits=splits, inputCol="d", outputCol="r", handleInvalid="keep").transform(keyed)
+    else:
+        put = keyed.withColumn("r", F.lit(0))
     put = put.withColumn("range", F.when(F.col("doc_id").isNull(), len(splits)).otherwise(F.lit(len(splits)) - F.col("r") - 1).cast("int")).drop("d", "r")
     firsts = sorted(put.groupBy("range").agg(F.max("doc_id")).collect())
     rows = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]

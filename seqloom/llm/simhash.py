@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialise, quoted
+from .common import discard, fresh, map_arrow, materialise, quoted
 
 SEED = 42
 #: Shingles in one step, for bounded memory on very long texts.
@@ -96,7 +96,7 @@ def with_fingerprints(docs: DataFrame, text: str, name: str, words: int, bits: i
             got = pa.array([fingerprint(t.as_py(), words, bits) for t in batch.column(text)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), got], names=[*(f.name for f in rest), name])
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField(name, T.BinaryType())]))
+    return map_arrow(docs, run, T.StructType([*rest, T.StructField(name, T.BinaryType())]))
 
 
 # Cells

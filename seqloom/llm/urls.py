@@ -79,8 +79,10 @@ def cut(scored: DataFrame) -> DataFrame:
     bins = scored.groupBy(at.cast("long").alias("bin")).agg(F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("r"))
     every, below = Window.partitionBy(), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * BINS + 1 rows
     right = (F.sum("a").over(every) - F.coalesce(F.sum("a").over(below), F.lit(0))) / F.nullif(F.sum("a").over(every), F.lit(0)) + F.coalesce(F.sum("r").over(below), F.lit(0)) / F.nullif(F.sum("r").over(every), F.lit(0))
-    best = bins.select("bin", right.alias("right")).agg(F.max_by("bin", F.struct("right", -F.abs("bin"), "bin")).alias("bin"), F.max("right").alias("right"))
-    return best.select(F.when(F.col("right").isNotNull(), F.col("bin") * BIN).otherwise(F.lit(0.0)).alias("cut"))
+    # The cut lies halfway between the lowest bin that is accepted and the one before it.
+    middle = (F.col("bin") + F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin") - 1) + 1) / 2 * BIN
+    best = bins.select("bin", middle.alias("middle"), right.alias("right")).agg(F.max_by("middle", F.struct("right", -F.abs("middle"), "bin")).alias("middle"), F.max("right").alias("right"))
+    return best.select(F.when(F.col("right").isNotNull(), F.col("middle")).otherwise(F.lit(0.0)).alias("cut"))
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple = RULES, order: int = ORDER) -> DataFrame:
