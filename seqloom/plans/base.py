@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -116,7 +118,7 @@ def query(sql: str | None = None, *views: str):
     """Register a function of Tables under its own name, with DuckDB SQL over the named views."""
 
     def put(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[f.__name__] = shipped(lambda spark, sf_dir: f(Tables(spark, sf_dir)))
         if sql is not None:
             needed: list[str] = []
             for v in views:
