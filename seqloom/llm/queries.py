@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
 from . import chat, exact, language, mixing, phrases, pieces, simhash, suffixes, urls, wordpieces
 from .common import table
 
@@ -62,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_token_counts, op4_simhash, op5_mixing, op6_suffix_dedup, op7_sentencepiece, op8_language_id, op9_phrase_fingerprints, op10_exact_dedup)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_url_filter, op2_chat_format, op3_token_counts, op4_simhash, op5_mixing, op6_suffix_dedup, op7_sentencepiece, op8_language_id, op9_phrase_fingerprints, op10_exact_dedup)}
 
 SQL = {
     "op2_chat_format": r"""
