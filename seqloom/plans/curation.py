@@ -329,10 +329,13 @@ def k01_top_models(t):
     return t.runs.select("run_id", "model_name", "frame_accuracy").orderBy(F.desc("frame_accuracy"), "run_id").limit(5)
 
 
-@query("SELECT run_id, row_number() OVER (ORDER BY best DESC, model_name, frame_accuracy DESC, run_ts, run_id) AS place FROM (SELECT *, max(frame_accuracy) OVER (PARTITION BY model_name) AS best FROM runs)", "runs")
+@query("SELECT run_id, dense_rank() OVER (ORDER BY best DESC, model_name) AS model_place, row_number() OVER (PARTITION BY model_name ORDER BY frame_accuracy DESC, run_ts, run_id) AS run_place FROM (SELECT *, max(frame_accuracy) OVER (PARTITION BY model_name) AS best FROM runs)", "runs")
 def k03_leaderboard(t):
-    best = t.runs.withColumn("best", F.max("frame_accuracy").over(Window.partitionBy("model_name")))
-    return best.select("run_id", F.row_number().over(Window.orderBy(F.desc("best"), "model_name", F.desc("frame_accuracy"), "run_ts", "run_id")).cast("long").alias("place"))
+    # Models are ranked on one row each, runs inside their model.
+    models = t.runs.groupBy("model_name").agg(F.max("frame_accuracy").alias("best"))
+    models = models.withColumn("model_place", F.row_number().over(Window.orderBy(F.desc("best"), "model_name")).cast("long"))
+    place = F.row_number().over(Window.partitionBy("model_name").orderBy(F.desc("frame_accuracy"), "run_ts", "run_id")).cast("long")
+    return t.runs.withColumn("run_place", place).join(models, "model_name").select("run_id", "model_place", "run_place")
 
 
 @query("SELECT sequence_id, track_id, count(*) AS n FROM frames GROUP BY ALL ORDER BY n DESC, sequence_id LIMIT 10", "frames")

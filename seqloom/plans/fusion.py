@@ -173,10 +173,11 @@ def a15_high_entropy_frames(t):
 def a16_pattern_categories(t):
     e = fusion.with_truth(metrics.entropy(labelled(t)).withColumn("entropy", F.abs("entropy")), truth(t))
     f = F.concat("sequence_id", F.lit("@"), F.lpad(F.col("frame_id").cast("string"), 6, "0"))
-    # The three smallest, without collecting a pattern's frames: a top-k per group that cuts before the shuffle.
-    ranked = e.withColumn("f", f).withColumn("r", F.row_number().over(Window.partitionBy("pattern", "true_label").orderBy("f")))
-    some = F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col("f")))), ",")
-    return ranked.groupBy("pattern", "true_label").agg(F.count("*").alias("n"), F.round(F.avg("entropy"), 6).alias("mean_entropy"), some.alias("examples"))
+    key = ["pattern", "true_label"]
+    n = e.groupBy(*key).agg(F.count("*").alias("n"), F.round(F.avg("entropy"), 6).alias("mean_entropy"))
+    # The three smallest of each group: Spark cuts to three per task before the shuffle.
+    first = e.select(*key, f.alias("f")).withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("f"))).where("r <= 3")
+    return n.join(first.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("f")), ",").alias("examples")), key)
 
 
 @query(f"WITH {_SCORED} SELECT model_name, count(*) AS total, count(*) FILTER (label = true_label) AS correct, count(*) FILTER (label <> 'none' AND true_label = 'none') AS false_positives, count(*) FILTER (label = 'none' AND true_label <> 'none') AS false_negatives, count(*) FILTER (label <> 'none' AND true_label <> 'none' AND label <> true_label) AS confusions, round(avg((label = true_label)::INT), 6) AS accuracy, round(avg((label = true_label)::INT), 6) AS accuracy_on_truth FROM scored GROUP BY 1", "labelled")

@@ -145,11 +145,8 @@ def p21_placeholder_blanking(t):
 
 @query("""SELECT event_id FROM (SELECT event_id, dense_rank() OVER (ORDER BY sequence_id, track_id) AS r FROM frames WHERE track_id % 3 = 0) WHERE r <= 20""", "frames")
 def p22_sequence_filter(t):
-    from pyspark.sql import Window
-
     ids = t.frames.where("track_id % 3 = 0").select("sequence_id", "track_id").distinct()
-    first = ids.withColumn("r", F.row_number().over(Window.orderBy("sequence_id", "track_id"))).where("r <= 20")
-    return t.frames.join(first.drop("r"), ["sequence_id", "track_id"], "left_semi").select("event_id")
+    return t.frames.join(ids.orderBy("sequence_id", "track_id").limit(20), ["sequence_id", "track_id"], "left_semi").select("event_id")
 
 
 @query("SELECT event_id, round_even(pos / 8.0::DOUBLE, 2) AS seconds FROM frames", "frames")
