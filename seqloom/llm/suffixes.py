@@ -100,8 +100,10 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     most = sliding(np.r_[np.zeros(WINDOW - 1, np.uint64), seen, np.zeros(WINDOW - 1, np.uint64)], WINDOW, False)[: len(h)]
     places = np.flatnonzero(h == most)
     which = np.searchsorted(places, windows)
-    while len(wrong := np.flatnonzero(h[places[which]] != least[windows])):
+    wrong = np.flatnonzero(h[places[which]] != least[windows])
+    while len(wrong):
         which[wrong] += 1
+        wrong = wrong[h[places[which[wrong]]] != least[windows[wrong]]]
     anchor = places[which]
     new = np.r_[True, (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)]
     first = windows[new]
