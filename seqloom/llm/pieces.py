@@ -23,21 +23,24 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, quoted
+from .common import fresh, map_arrow, materialise, quoted
 from .vocabulary import DEFAULT, SPACE, read_pieces
 
 #: Stands for a space mark that the text itself has: no valid text holds a lone surrogate.
 OWN_MARK = "\udc81"
 SCALE = 1 << 20
 NONE = -(1 << 60)
-#: Words a worker remembers, and the longest of them; the base of the hash for looking up pieces.
-REMEMBER, REMEMBER_CHARS = 400_000, 64
+#: Words a worker remembers, and the longest that are cut in lockstep; the base of the hash for looking up
+#: pieces.
+REMEMBER, LOCKSTEP_CHARS = 250_000, 32
 BASE = 0xD1342543DE82EF95
 CHUNK = 1 << 15
 
@@ -47,8 +50,11 @@ class Table:
     that share a slot move on to a further table."""
 
     def __init__(self, pieces: list[tuple[str, int, int]]):
-        self.powers = np.array([pow(BASE, k, 1 << 64) for k in range(REMEMBER_CHARS + 2)], np.uint64)
+        self.powers = np.array([pow(BASE, k, 1 << 64) for k in range(LOCKSTEP_CHARS + 2)], np.uint64)
         left = [(self.hash(piece), score, i) for piece, score, i in pieces]
+        self.spread, self.shift = np.uint64(0xFF51AFD7ED558CCD), np.uint64(64 - 20)
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are ruled out by one look
+        self.maybe[(np.array([h for h, _, _ in left], np.uint64) * self.spread) >> self.shift] = True
         self.levels = []
         while left:
             mult, bits = 0x9E3779B97F4A7C15 + 2 * len(self.levels), (4 * len(left)).bit_length()
@@ -70,15 +76,18 @@ class Table:
             h = (h * BASE + ord(c)) % (1 << 64)
         return h
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(score, id) of each hash; NONE and -1 if it is no piece's."""
-        score, found = np.full(len(hashes), NONE, np.int64), np.full(len(hashes), -1, np.int32)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, score, id) of those hashes that are pieces'."""
+        left = np.flatnonzero(self.maybe[(hashes * self.spread) >> self.shift])
+        rest, places, scored, named = hashes[left], [], [], []
         for mult, shift, keys, scores, ids in self.levels:
-            slot = (hashes * mult) >> shift
-            hit = np.flatnonzero(keys[slot] == hashes)
-            at = slot[hit]
-            score[hit], found[hit] = scores[at], ids[at]
-        return score, found
+            slot = (rest * mult) >> shift
+            hit = keys[slot] == rest
+            places.append(left[hit])
+            scored.append(scores[slot[hit]])
+            named.append(ids[slot[hit]])
+            left, rest = left[~hit], rest[~hit]
+        return np.concatenate(places), np.concatenate(scored), np.concatenate(named)
 
 
 class Vocabulary:
@@ -109,8 +118,10 @@ class Vocabulary:
                 node[1:3] = self.score(i), i
         self.singles = {c for c, node in self.trie.items() if node[2] >= 0}
         self.table = Table([(piece, self.score(i), i) for piece, kind, i in pieces if kind == "piece"])
+        self.covered = np.zeros(0x110000, bool)  # code points that singles cover; 0 pads
+        self.covered[[0, *map(ord, self.singles)]] = True
         self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.decoded = pa.array([self.bytes_of.get(i, b"") for i in range(len(self.scores))], pa.binary())
 
     @staticmethod
     def score(rank: int) -> int:
@@ -163,29 +174,34 @@ class Vocabulary:
         """Ids (int32) of a marked text that is cut on its own."""
         return array("i", self.trace(self.lattice(s, len(s), [0])[1], len(s))[0]).tobytes()
 
-    def many(self, stretches: list[str]) -> list[bytes]:
-        """stretch() of many equally long ones that singles cover, in lockstep."""
-        n, m = len(stretches), len(stretches[0])
+    def many(self, stretches: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """stretch() of many in lockstep, longest first, and whether it holds: it does for those that singles
+        cover."""
+        lengths = np.array([len(x) for x in stretches])
+        n, m = len(stretches), int(lengths[0])
         codes = np.array(stretches, f"U{m}").view(np.uint32).reshape(n, m)
-        heads = [np.zeros(n, np.uint64)]
-        for k in range(m):
-            heads.append(heads[k] * np.uint64(BASE) + codes[:, k])
-        best, steps, ids = [np.zeros(n, np.int64)], np.zeros((n, m + 1), np.int32), np.zeros((n, m + 1), np.int32)
+        ok = self.covered[codes].all(axis=1)
+        upto = np.searchsorted(-lengths, -np.arange(m + 1), "right")  # how many have that many characters
+        heads, best = [np.zeros(n, np.uint64)], [np.zeros(n, np.int64)]
+        steps, ids = np.zeros((m + 1, n), np.int8), np.zeros((m + 1, n), np.int32)
         for j in range(1, m + 1):
-            best.append(np.full(n, NONE, np.int64))
+            c = upto[j]
+            heads.append(heads[j - 1][:c] * np.uint64(BASE) + codes[:c, j - 1])
+            best.append(np.full(c, NONE, np.int64))
             for i in range(max(0, j - self.reach), j):
-                score, found = self.table.find(heads[j] - heads[i] * self.table.powers[j - i])
-                score += best[i]
-                better = np.flatnonzero(score > best[j])
-                best[j][better], steps[better, j], ids[better, j] = score[better], j - i, found[better]
-        out, at, end, rows = np.zeros((n, m), np.int32), np.full(n, m), np.full(n, m), np.arange(n)
+                at, score, found = self.table.find(heads[j] - heads[i][:c] * self.table.powers[j - i])
+                score += best[i][at]
+                better = score > best[j][at]
+                at = at[better]
+                best[j][at], steps[j, at], ids[j, at] = score[better], j - i, found[better]
+        out, at, end, rows = np.zeros((n, m), np.int32), np.full(n, m), lengths.copy(), np.arange(n)
         while len(rows):
             at[rows] -= 1
-            out[rows, at[rows]] = ids[rows, end[rows]]
-            end[rows] -= steps[rows, end[rows]]
+            out[rows, at[rows]] = ids[end[rows], rows]
+            end[rows] -= np.maximum(steps[end[rows], rows], 1)  # 0 where singles do not cover it
             rows = rows[end[rows] > 0]
         raw = out.tobytes()
-        return [raw[4 * (k * m + a) : 4 * (k + 1) * m] for k, a in enumerate(at.tolist())]
+        return [raw[4 * (k * m + a) : 4 * (k + 1) * m] for k, a in enumerate(at.tolist())], ok
 
     def split(self, s: str) -> list[str]:
         """The stretches of a marked text: marks, then what follows up to the next."""
@@ -194,36 +210,34 @@ class Vocabulary:
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+$", s)
 
     def learn(self, words: set[str]) -> None:
-        """Have the ids of all words in self.recent; what was there long ago is let go."""
-        new = words.difference(self.recent)
-        if len(self.recent) + len(new) > REMEMBER:
-            self.older, self.recent = self.recent, {w: self.recent[w] for w in words if w in self.recent}
-        by_length: dict[int, list[tuple[str, str]]] = {}
-        for w in new:
-            if w in self.older:
-                self.recent[w] = self.older[w]
-                continue
-            s = w if w == "\n" else w[1:] if w[:1] == "\x00" else SPACE + w
-            if s and len(s) <= REMEMBER_CHARS and self.singles.issuperset(s):
-                by_length.setdefault(len(s), []).append((w, s))
-            else:
-                self.recent[w] = self.stretch(s)
-        for group in by_length.values():
-            for k in range(0, len(group), 8192):
-                part = group[k : k + 8192]
-                self.recent.update(zip((w for w, _ in part), self.many([s for _, s in part])))
+        """Have the ids of all words in self.recent; the oldest ones are let go."""
+        if len(self.recent) + len(words) > REMEMBER:
+            self.recent = dict(islice(self.recent.items(), REMEMBER // 2, None))
+        new = list(words.difference(self.recent))
+        texts = [SPACE + w if w[:1] not in "\n\0" else w if w == "\n" else w[1:] for w in new]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-lengths, kind="stable")
+        fits = order[(lengths[order] <= LOCKSTEP_CHARS) & (lengths[order] > 0)]
+        alone = order[(lengths[order] > LOCKSTEP_CHARS) | (lengths[order] == 0)].tolist()
+        for k in range(0, len(fits), 8192):
+            part = fits[k : k + 8192].tolist()
+            found, ok = self.many([texts[i] for i in part])
+            self.recent.update(zip([new[i] for i in part], found))
+            alone += [part[i] for i in np.flatnonzero(~ok)]
+        for i in alone:
+            self.recent[new[i]] = self.stretch(texts[i])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids (int32) of each text. Line ends are spelled in bytes, so words are cut there, too; a word
         after a line end, which has no mark, is noted with a null character."""
         out, held, size = [], [], 0
         for k, text in enumerate(texts):
-            words = text.replace(SPACE, OWN_MARK).replace("\n", " \n \0").split(" ")
-            plain = self.stretches and text and "" not in words and "\0" not in text
-            held.append(words if plain else None)
-            out.append(b"" if plain or not text else b"".join(map(self.stretch, self.split(marked(text)))))
-            size += len(words)
-            if size > REMEMBER // 2 or k == len(texts) - 1:
+            s = marked(text) if text else ""
+            words = self.words(s)
+            held.append(words)
+            out.append(b"" if words else b"".join(map(self.stretch, self.split(s))))
+            size += len(words or ())
+            if size > REMEMBER // 4 or k == len(texts) - 1:
                 self.learn(set().union(*(w for w in held if w)))
                 for i, w in enumerate(held, k + 1 - len(held)):
                     if w:
@@ -231,11 +245,35 @@ class Vocabulary:
                 held, size = [], 0
         return out
 
+    def words(self, s: str) -> list[str] | None:
+        """The stretches of a marked text as learn() notes them; null if it has several marks in a row."""
+        if not s or s[0] != SPACE or not self.stretches or "\0" in s:
+            return None
+        words = s[1:].replace("\n", f"{SPACE}\n{SPACE}\0").split(SPACE)
+        return None if "" in words else words
+
+    def ids_of(self, s: str) -> bytes:
+        """Ids of a marked text that begins and ends at stretch boundaries."""
+        words = self.words(s)
+        if words is None:
+            return b"".join(map(self.stretch, self.split(s)))
+        self.learn(set(words))
+        return b"".join(map(self.recent.__getitem__, words))
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_all(self, lists: pa.ListArray) -> list[str]:
+        """The text of each list of ids; empty for null."""
+        taken = self.decoded.take(lists.flatten())
+        data, ends = taken.buffers()[2], np.frombuffer(taken.buffers()[1], np.int32)
+        n = np.r_[0, np.cumsum([0 if k is None else k for k in pc.list_value_length(lists).to_pylist()])]
+        at = ends[n].tolist() if len(taken) else [0] * len(n)
+        view = memoryview(data) if data is not None else b""
+        return [bytes(view[a + 1 : b]).decode() for a, b in zip(at, at[1:])]
 
     # Chunks: s is the chunk and the reach - 1 characters after it, n the length of the chunk itself.
 
@@ -260,7 +298,7 @@ class Vocabulary:
                 best = self.lattice(s, n, enter)[0][n : n + size]
                 out[entry, : len(best)] = best
         if found:
-            middle = self.scores[np.frombuffer(b"".join(map(self.stretch, self.split(s[found[0] : found[1]]))), np.int32)].sum()
+            middle = self.scores[np.frombuffer(self.ids_of(s[found[0] : found[1]]), np.int32)].sum()
             tail = np.full(size, NONE, np.int64)
             best = self.lattice(s[found[1] :], n - found[1], [0])[0][n - found[1] :][:size]
             tail[: len(best)] = best
@@ -268,12 +306,21 @@ class Vocabulary:
         return out
 
     def way_back(self, s: str, n: int, enter: list[int]) -> list[int]:
-        """For each place where the chunk may be left, the place where the best path to it came in."""
+        """For each place where the chunk may be left, the place where the best path to it came in. All paths
+        pass a stretch boundary, if there is one."""
+        if found := self.bounds(s, n):
+            head = s[: found[0]]
+            return [self.trace(self.lattice(head, len(head), enter)[1], len(head))[1]] * self.reach
         best, back = self.lattice(s, n, enter)
         return [self.trace(back, n + t)[1] if n + t <= len(s) and best[n + t] > NONE else 0 for t in range(self.reach)]
 
     def chunk_ids(self, s: str, n: int, enter: list[int], leave: int) -> list[int]:
-        return self.trace(self.lattice(s, n, enter)[1], n + leave)[0]
+        if not (found := self.bounds(s, n)):
+            return self.trace(self.lattice(s, n, enter)[1], n + leave)[0]
+        head, tail = s[: found[0]], s[found[1] :]
+        before = self.trace(self.lattice(head, len(head), enter)[1], len(head))[0]
+        after = self.trace(self.lattice(tail, n - found[1], [0])[1], n - found[1] + leave)[0]
+        return before + np.frombuffer(self.ids_of(s[found[0] : found[1]]), np.int32).tolist() + after
 
 
 def marked(text: str) -> str:
@@ -316,12 +363,13 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = DEFAULT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = DEFAULT, chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
     """docs with the column ids (array<int>) in place of its text; all other columns stay.
 
     A null or empty text has no ids. Rows stay as they are, repeated ones too; an empty table gives an
     empty result. Texts of more than `chunk` characters are encoded in chunks over the cluster; equal
-    giant texts once. Only those are shuffled. The vocabulary (a fixed file) is broadcast.
+    giant texts once. Only those are shuffled. The vocabulary (a fixed file) is broadcast. With `decoded`, a
+    column of that name has the texts decoded from the ids again, by the same workers.
     """
     from pyspark.sql import types as T
 
@@ -329,7 +377,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
     chunk = max([chunk, *(len(p) for p, _, _ in known)])  # a piece reaches into one further chunk at most
     pieces = docs.sparkSession.sparkContext.broadcast(known)
     rest = [f for f in docs.schema.fields if f.name != text]
-    shape = T.StructType([*rest, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    back = [T.StructField(decoded, T.StringType())] if decoded else []
+    shape = T.StructType([*rest, T.StructField(ids, T.ArrayType(T.IntegerType())), *back])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _vocabulary(vocabulary, pieces)
@@ -337,16 +386,21 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 found = own.encode_all([t.as_py() or "" for t in part.column(text)])
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), _lists(found)], names=shape.names)
+                lists = _lists(found)
+                texts = [pa.array(own.decode_all(lists), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), lists, *texts], names=shape.names)
 
     long = F.coalesce(F.length(quoted(text)), F.lit(0)) > chunk
-    small = docs.where(~long).mapInArrow(plain, shape)
+    small = map_arrow(docs.where(~long), plain, shape)
     big = docs.where(long)
     key, = fresh(docs, "key")
     encoded = _giant(big.select(F.sha2(quoted(text), 256).alias("key"), quoted(text).alias("text")).dropDuplicates(["key"]), vocabulary, pieces, chunk)
     encoded = encoded.select(F.col("key").alias(key), F.col("ids").alias(ids))
     whole = big.withColumn(key, F.sha2(quoted(text), 256)).drop(text).join(encoded, key)
-    return small.unionByName(whole.select(*[quoted(f.name) for f in rest], quoted(ids)))
+    whole = whole.select(*[quoted(f.name) for f in rest], quoted(ids))
+    if decoded:
+        whole = decode(whole.withColumn(key, quoted(ids)), key, decoded, vocabulary)
+    return small.unionByName(whole.select(*[quoted(n) for n in shape.names]))
 
 
 def _giant(texts: DataFrame, vocabulary: str, pieces, chunk: int) -> DataFrame:
@@ -423,7 +477,7 @@ def decode(docs: DataFrame, ids: str = "ids", text: str = "text", vocabulary: st
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [own.decode(x.as_py() or []) for x in part.column(ids)]
+                found = own.decode_all(part.column(ids))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), pa.array(found, pa.string())], names=shape.names)
 
-    return docs.mapInArrow(run, shape)
+    return map_arrow(docs, run, shape)

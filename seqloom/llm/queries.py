@@ -39,8 +39,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids, and a digest of the text decoded from them."""
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    read = pieces.decode(encoded.withColumn("pieces", F.col("ids")), "pieces", "decoded")
+    read = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return read.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -377,6 +377,8 @@ def test_giant_texts_in_chunks(spark):
     for chunk in (1, 64):
         got = {x.doc_id: (x.ids, x.key) for x in pieces.encode(df, chunk=chunk).collect()}
         assert got == {k: (np.frombuffer(v.encode(t or ""), np.int32).tolist(), "k") for k, t in enumerate(texts)}
+    back = {x.doc_id: x.decoded for x in pieces.encode(df, chunk=64, decoded="decoded").collect()}
+    assert back == {k: t or "" for k, t in enumerate(texts)}
     back = {x.doc_id: x.text for x in pieces.decode(pieces.encode(df, chunk=64)).collect()}
     assert back == {k: t or "" for k, t in enumerate(texts)}
 
