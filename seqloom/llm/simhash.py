@@ -15,12 +15,16 @@ Inside a cell a search from each fingerprint to those not reached yet emits a sp
 verified pairs: the same components as all pairs, with at most one link per member. A large cell is first
 split by the projections that are left, so that it never meets as a whole.
 
+The pipeline's near-dedup does not go by fingerprints: it compares sets of distinct shingles, inside cells
+of minimum hashes (the last part of this module).
+
 Components: star contraction over links between distinct fingerprints, with written tables between
 rounds. Fingerprints stay distributed throughout.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -33,12 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, fresh, map_arrow, materialise, quoted
+from .suffixes import bitmap, passes
 
 SEED = 42
 #: Shingles in one step, for bounded memory on very long texts.
 STEP = 1 << 15
 #: Pairs compared in one step inside a cell.
 BLOCK = 1 << 18
+#: Bands of minimum hashes, hashes in one, and shingle sets that meet as one block.
+BANDS, ROWS, MEET = 24, 4, 16384
+TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
+TIMES |= np.uint64(1)
 
 
 def bit_sums(words: np.ndarray) -> np.ndarray:
@@ -62,27 +71,29 @@ def bit_sums(words: np.ndarray) -> np.ndarray:
     return total
 
 
+def shingles_of(text: str | None, words: int) -> Iterator[bytes]:
+    """The word shingles of a text, repeats included. A-Z are lower-cased; words are split at ASCII white
+    space. A text of fewer words than a shingle has is one shingle; one without words has none."""
+    w = (text or "").encode().lower().split()
+    if len(w) < words:
+        return iter([b" ".join(w)] if w else [])
+    return map(b" ".join, zip(*(itertools.islice(w, k, None) for k in range(words))))
+
+
 def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
     """The fingerprint of a whole text, most significant bit first; zero if it has no words.
 
-    A-Z are lower-cased; words are split at ASCII white space. A text of fewer words than a shingle has
-    is one shingle. Of 64 bits, a hash is the shingle's XXH64 with seed 42; more bits are XXH64 with the
-    seeds 42, 43, ... one after the other.
+    Of 64 bits, a hash is the shingle's XXH64 with seed 42; more bits are XXH64 with the seeds 42, 43, ...
+    one after the other.
     """
-    w = (text or "").encode().lower().split()
-    if not w:
-        return bytes(bits // 8)
-    if len(w) < words:
-        shingles: Iterator[bytes] = iter([b" ".join(w)])
-    else:
-        shingles = map(b" ".join, zip(*(itertools.islice(w, k, None) for k in range(words))))
+    shingles = shingles_of(text, words)
     seeds, total, n = [SEED + k for k in range(bits // 64)], np.zeros(bits, np.int64), 0
     digest = xxhash.xxh64_digest
     while part := list(itertools.islice(shingles, STEP)):
         columns = [np.frombuffer(b"".join([digest(x, seed) for x in part]), np.uint64) for seed in seeds]
         total += bit_sums(np.stack(columns, axis=1))
         n += len(part)
-    return np.packbits(total * 2 > n).tobytes()
+    return np.packbits(total * 2 > n).tobytes() if n else bytes(bits // 8)
 
 
 def with_fingerprints(docs: DataFrame, text: str, name: str, words: int, bits: int) -> DataFrame:
@@ -279,17 +290,136 @@ def near_grid(similarity: float, documents: int, bits: int = 256) -> Grid:
     return Grid(bits, 1, r + spare, typical=r, width=max(12, round(math.log2(max(documents, 2)))))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
+# Near-duplicates by the similarity of shingle sets
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles_of(text, words)), np.uint64))
+
+
+def set_key(own: np.ndarray) -> bytes:
+    """A name for a set of shingles; empty for an empty set."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else b""
+
+
+def band_cells(own: np.ndarray) -> np.ndarray:
+    """For each of BANDS bands of ROWS minimum hashes, the key of a set's cell. Sets of similarity s share
+    a band's cell with probability s ** ROWS, whatever the number of documents."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 1024):
+        np.minimum(least, (own[k : k + 1024, None] * TIMES + PLUS).min(axis=0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose Jaccard similarity is at least that, as positions. All pairs
+    that could join what is not joined yet are compared, set by set."""
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids, mark = ids.ravel(), np.zeros(int(ids.max()) + 1, bool)
+    ends = np.cumsum(sizes)
+    own = [ids[e - n : e] for e, n in zip(ends, sizes)]
+    left, out = np.arange(1, len(sets)), []
+    base, flat = left, ids[sizes[0] :]  # the members whose shingles are in flat; left is among them
+    todo = [0]
+    while len(left):
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+            continue
+        at = todo.pop()
+        if 2 * len(left) < len(base):
+            base, flat = left, np.concatenate([own[b] for b in left])
+        mark[own[at]] = True
+        both = np.add.reduceat(mark[flat], np.r_[0, np.cumsum(sizes[base])[:-1]], dtype=np.int64)[np.searchsorted(base, left)]
+        mark[own[at]] = False
+        near = both / (sizes[at] + sizes[left] - both) >= similarity
+        out += [(at, int(b)) for b in left[near]]
+        todo += left[near].tolist()
+        left = left[~near]
+    return out
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between keys of shingle sets, all of them of at least that similarity; a connected group
+    of similar sets that share cells gets a connected set of links.
+
+    Only cells in which different sets meet are looked at, and of cells with the same members one. Members
+    of a cell of more than MEET are dealt into blocks, and each two blocks meet in a group of their own:
+    no task holds more than about 2 * MEET sets, and no pair is left out.
+    """
+    spread = prints.where("fp <> X''").groupBy("fp").agg(F.first("cells").alias("cells")).select("fp", F.explode("cells").alias("cell"))
+    spread = materialise(spread)
+    alike = [F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.hash("fp").cast("long")).alias("s"), F.min("fp").alias("one")]
+    cells = spread.groupBy("cell").agg(F.count("*").alias("n"), *alike).where("n > 1").groupBy("n", "x", "s", "one").agg(F.min("cell").alias("cell"))
+    p = F.ceil(F.col("n") / MEET).cast("int")
+    members = spread.join(cells.select("cell", "n"), "cell").withColumn("p", p).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("p")).cast("int"))
+    # Block i meets block j: in group (i, j) with i < j, or in (i, i) if there is one block only.
+    other = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    pairs = F.filter(other, lambda x: (x["i"] < x["j"]) | (F.col("p") == 1))
+    members = materialise(members.select("fp", "cell", F.explode(pairs).alias("pair")).select("fp", F.when(F.col("pair.j") == 0, F.col("cell")).otherwise(F.xxhash64("cell", "pair.i", "pair.j")).alias("g")))
+    needed = members.select("fp").distinct()
+    texts = prints.join(needed, "fp", "left_semi").select("h").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(texts, "h"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(passes(shared.value, batch.column(0).to_numpy())))
+            own = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["fp", "shingles"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come sorted; one may go on in the next batch."""
+        group, keys, sets = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                found = similar_forest(sets, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[x[k]] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            keys.clear()
+            sets.clear()
+
+        for batch in batches:
+            for g, fp, own in zip(*(batch.column(k) for k in range(3))):
+                if group != g.as_py():
+                    yield from flush()
+                    group = g.as_py()
+                keys.append(fp.as_py())
+                sets.append(np.frombuffer(own.as_py(), np.uint64))
+        yield from flush()
+
+    sets = docs.select("h", "text").mapInArrow(read, "fp binary, shingles binary").join(needed, "fp", "left_semi").dropDuplicates(["fp"])
+    met = members.join(sets, "fp").select("g", "fp", "shingles").repartition("g").sortWithinPartitions("g")
+    return met.mapInArrow(meet, "a binary, b binary").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate group, the one with the smallest doc_id; all columns stay.
 
+    Near-duplicates are documents whose sets of distinct shingles have at least that Jaccard similarity, and
+    what is connected over them. Candidates share one of BANDS cells of minimum hashes, which by the model
+    misses (1 - 0.8 ** ROWS) ** BANDS = 3 in a million pairs at 0.8; every link is decided by the sets.
+
     Documents without words (null and empty texts too) are no copies of each other here and all stay.
     Of a group's rows that repeat the smallest doc_id and its text one stays. Null ids come last.
     """
     h, key, other, n = fresh(docs, "h", "key", "other", "n")
     ids = docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("text"))
-    prints = materialise(with_fingerprints(ids, "text", "fp", words, bits))
-    none = F.unhex(F.lit("00" * (bits // 8)))
-    found = components(links(prints.where(F.col("fp") != none), "fp", near_grid(similarity, prints.count(), bits)))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(t.as_py(), words) for t in batch.column("text")]
+            cells = pa.array([band_cells(x) for x in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([set_key(x) for x in own], pa.binary()), cells], names=["doc_id", "h", "fp", "cells"])
+
+    kind = next(f.dataType for f in ids.schema.fields if f.name == "doc_id").simpleString()
+    prints = materialise(ids.mapInArrow(keyed, f"doc_id {kind}, h long, fp binary, cells array<long>"))
+    none = F.unhex(F.lit(""))
+    found = components(similar_links(ids, prints, words, similarity))
     rows = prints.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("n"))
     rooted = rows.where(F.col("fp") != none).join(found, F.col("fp") == F.col("node"), "left")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "n")).alias("best")

@@ -250,6 +250,50 @@ def test_near_duplicates_go_and_others_stay(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def shingles_brute(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))}
+
+
+def similar_brute(texts, similarity=0.8):
+    """Of each component of pairs of that exact similarity, the smallest id."""
+    sets = {i: shingles_brute(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sorted(i for i in texts if root[i] == i)
+
+
+@pytest.mark.parametrize("most", [16384, 3])
+def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MEET", most)
+    r, texts = random.Random(9), {}
+    for k in range(60):  # from similarity 0.5 to 0.95, many about 0.8
+        w = words(240, 500 + k).split()
+        texts[k] = " ".join(w)
+        for v in range(4):
+            texts[1000 + 4 * k + v] = " ".join(f"new{r.random()}" if r.random() < r.choice([0.01, 0.02, 0.025, 0.04, 0.06]) else y for y in w)
+    line, w = " ".join(f"menu{i}" for i in range(6)), words(200, 900).split()
+    for k in range(8):  # one line often repeated, other words all different; and a dense group
+        texts[3000 + k] = " ".join([line] * 60 + words(150, 700 + k).split())
+        texts[4000 + k] = " ".join([*w[: 20 * k], f"x{k}", *w[20 * k :]])
+    texts |= {5000: "one two three four five", 5001: "One two\tthree four five", 5002: "few words", 5003: "Few  words"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == similar_brute(texts)
+
+
+def test_near_dedup_stage_on_given_documents(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = table(spark, sf_dir, "documents").dropDuplicates(["text"]).localCheckpoint()
+    got = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in got.collect()) == similar_brute({r.doc_id: r.text for r in docs.collect()})
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (200, 200)]
     e = spark.createDataFrame(chain, "a long, b long")
