@@ -88,19 +88,21 @@ def cut(scored: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple = RULES, order: int = ORDER) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, score.
 
-    A null url, or one without ://, has an empty host and path and is judged like any other (its score
-    is the end mark's). Repeated rows stay and get one verdict; extra columns are ignored; an empty
+    The model reads whole urls, scheme, query and fragment included; rules read host and path. A null url
+    counts as an empty one (its score is the end mark's); one without :// has an empty host and path and is
+    judged like any other. Repeated rows stay and get one verdict; extra columns are ignored; an empty
     table gives an empty result. Without ruled URLs all scores are 0 and all verdicts allow.
     """
-    parts = pages.select(quoted(page_id).alias("page_id"), host_of(quoted(url)).alias("host"), path_of(quoted(url)).alias("path"))
-    key = [F.xxhash64("host", "path").alias("k1"), F.hash("host", "path").alias("k2")]
-    urls = parts.select("host", "path").distinct().select(*key, F.concat("host", "path").alias("text"), ruled(F.col("host"), F.col("path"), rules)["verdict"].alias("verdict"))
+    whole = pages.select(quoted(page_id).alias("page_id"), F.coalesce(quoted(url), F.lit("")).alias("text"))
+    host, path, key = host_of(F.col("text")), path_of(F.col("text")), [F.xxhash64("text").alias("k1"), F.hash("text").alias("k2")]
+    parts = whole.select("page_id", host.alias("host"), path.alias("path"), *key)
+    urls = whole.select("text").distinct().select(*key, "text", ruled(host, path, rules)["verdict"].alias("verdict"))
     urls = urls.withColumn("held", F.pmod("k1", F.lit(5)) == 0)
     each = urls.select("k1", "k2", "verdict", "held", F.explode(grams(F.col("text"), order)).alias("gram"))
     learn = lambda v: F.count_if((F.col("verdict") == v) & ~F.col("held"))
     ratios = model(each.groupBy("gram").agg(learn("allow").alias("a"), learn("block").alias("r")), order)
     scores = each.join(ratios, "gram").groupBy("k1", "k2", "verdict", "held").agg(F.avg("ratio").alias("score"))
     limit = cut(scores.where("held and verdict is not null"))
-    judged = parts.select("*", *key, ruled(F.col("host"), F.col("path"), rules).alias("hit")).join(scores.select("k1", "k2", "score"), ["k1", "k2"])
+    judged = parts.select("*", ruled(F.col("host"), F.col("path"), rules).alias("hit")).join(scores.select("k1", "k2", "score"), ["k1", "k2"])
     own = F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block")
     return judged.crossJoin(F.broadcast(limit)).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"), "score")

@@ -103,6 +103,16 @@ def test_urls_tell_classes_apart(spark):
     assert got[1000] == "allow" and got[1001] == "block"
 
 
+def test_urls_are_scored_whole(spark):
+    rows = [(k, f"http://{'a.org' if k % 2 else 'b.com'}/de/{k}?q={'good' if k % 2 else 'evil'}") for k in range(200)]
+    rows += [(1000, "http://c.net/x?q=good"), (1001, "http://c.net/x?q=evil"), (1002, "c?q=good"), (1003, "c?q=evil"), (1004, None), (1005, "")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows) and got[1004].score == got[1005].score
+    for good, bad in ((1000, 1001), (1002, 1003)):
+        assert got[good].score > got[bad].score and (got[good].host, got[good].path) == (got[bad].host, got[bad].path)
+    assert got[1000].verdict == "allow" and got[1001].verdict == "block"
+
+
 def test_urls_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
