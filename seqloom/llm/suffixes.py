@@ -371,7 +371,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     read = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     texts = read.select(*text_key(F.col("text")), "text")
-    spans = find_repeats(texts).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # All copies of a text have its spans: each enters a list once, whatever their number.
+    spans = find_repeats(texts).distinct().groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = materialise(spans)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

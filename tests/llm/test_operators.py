@@ -374,6 +374,15 @@ def test_suffix_dedup_divides_large_groups(spark, monkeypatch):
     suffix_check(spark, [rnd(200) + passage[: R.randint(200, 430)] + rnd(250) for _ in range(60)])
 
 
+def test_spans_of_copies_are_listed_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(suffixes, "materialise", lambda df, f=suffixes.materialise: seen.append(f(df)) or seen[-1])
+    text = "".join(random.Random(5).choice("abcdefgh ") for _ in range(900))
+    suffix_check(spark, [text] * 40)
+    lists = [r.spans for df in seen if "spans" in df.columns for r in df.collect()]
+    assert lists and all(len(x) == len(set(x)) for x in lists)
+
+
 def test_two_stage_sort():
     for _ in range(300):
         st = [bytes(R.choice(b"ab\0\xff") for _ in range(R.randint(1, 30))) for _ in range(R.randint(1, 5))]
