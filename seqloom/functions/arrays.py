@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,37 +39,52 @@ def doubled(a: Column, place: Column) -> Column:
     return F.slice(F.concat(F.slice(a, F.lit(1), p + 1), F.slice(a, p + 1, F.size(a) - p)), F.lit(1), F.size(a))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: a lambda works out again, for each of its elements, whatever it
+    takes from outside that is no variable of a lambda or plain column."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
 def deviation(a: Column) -> Column:
     """Population standard deviation."""
-    m = mean(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
+    return let(F.struct(a.alias("a"), mean(a).alias("m")), lambda v: F.sqrt(F.aggregate(v["a"], F.lit(0.0), lambda s, x: s + (x - v["m"]) * (x - v["m"])) / F.size(v["a"])))
 
 
 def periodogram(a: Column) -> Column:
     """DFT magnitudes of the series less its mean, at the positive frequencies k / n below one half. Costs
-    n * n / 2 steps: for tracks of tens to hundreds of values."""
-    n, m = F.size(a), mean(a)
-    turn = lambda k, i: F.lit(2.0) * F.pi() * k * i / n
-    index = F.sequence(F.lit(0), n - 1)
+    n * n steps: for tracks of tens to hundreds of values."""
+    empty = F.array().cast("array<double>")
+
+    def power(c: Column) -> Column:
+        """Of values c around their mean."""
+        bins = F.sequence(F.lit(1), F.floor((F.size(c) - 1) / 2).cast("int"))
 
-    def part(k: Column, f) -> Column:
-        return F.aggregate(F.zip_with(a, index, lambda x, i: (x - m) * f(turn(k, i))), F.lit(0.0), lambda s, x: s + x)
+        def part(turn: Column, f) -> Column:
+            return F.aggregate(F.transform(c, lambda x, i: x * f(turn * i)), F.lit(0.0), lambda s, x: s + x)
 
-    bins = F.sequence(F.lit(1), F.floor((n - 1) / 2).cast("int"))
-    return F.when(n >= 3, F.transform(bins, lambda k: F.sqrt(F.pow(part(k, F.cos), F.lit(2.0)) + F.pow(part(k, F.sin), F.lit(2.0))))).otherwise(F.array().cast("array<double>"))
+        size = lambda t: F.sqrt(F.pow(part(t, F.cos), F.lit(2.0)) + F.pow(part(t, F.sin), F.lit(2.0)))
+        return F.transform(F.transform(bins, lambda k: F.lit(2.0) * F.pi() * k / F.size(c)), size)
+
+    centred = let(F.struct(a.alias("a"), mean(a).alias("m")), lambda v: F.transform(v["a"], lambda x: x - v["m"]))
+    return F.when(F.size(a) >= 3, let(centred, power)).otherwise(empty)
 
 
 def periodicity(a: Column, fps: float = 10.0, f_min: float = 1.0, f_max: float = 2.5, times: float = 2.0) -> Column:
-    """(is_periodic, peak_frequency): the largest magnitude in [f_min, f_max] against `times` the mean of
-    all. Series of under four values are not periodic; the first of equal peaks counts."""
-    n, power = F.size(a), periodogram(a)
-    freq = lambda i: (i + 1) * F.lit(float(fps)) / n
-    band = F.filter(F.transform(power, lambda p, i: F.struct(p.alias("p"), freq(i).alias("f"))), lambda x: (x["f"] >= f_min) & (x["f"] <= f_max))
-    peak = F.array_max(F.transform(band, lambda x: x["p"]))
-    first = F.get(F.filter(band, lambda x: x["p"] == peak), F.lit(0))
-    ok = (n >= 4) & (F.size(band) > 0)
-    return F.struct((ok & F.coalesce(peak > times * mean(power), F.lit(False))).alias("is_periodic"), F.when(ok, first["f"]).otherwise(F.lit(0.0)).alias("peak_frequency"))
+    """(is_periodic, peak_frequency, mean_power): the largest magnitude in [f_min, f_max] against `times` the
+    mean of all. Series of under four values are not periodic; the first of equal peaks counts."""
+
+    def judged(v: Column) -> Column:
+        band = F.filter(F.transform(v["power"], lambda p, i: F.struct(p.alias("p"), ((i + 1) * F.lit(float(fps)) / v["n"]).alias("f"))), lambda x: (x["f"] >= f_min) & (x["f"] <= f_max))
+        # The largest power first; of equal ones the lowest frequency.
+        peak = F.array_max(F.transform(band, lambda x: F.struct(x["p"].alias("p"), (-x["f"]).alias("f"))))
+        return let(F.struct(peak.alias("peak"), mean(v["power"]).alias("mean"), v["n"].alias("n")), told)
+
+    def told(v: Column) -> Column:
+        ok = (v["n"] >= 4) & v["peak"].isNotNull()
+        return F.struct((ok & F.coalesce(v["peak"]["p"] > times * v["mean"], F.lit(False))).alias("is_periodic"), F.when(ok, -v["peak"]["f"]).otherwise(F.lit(0.0)).alias("peak_frequency"), v["mean"].alias("mean_power"))
+
+    return let(F.struct(F.size(a).alias("n"), periodogram(a).alias("power")), judged)

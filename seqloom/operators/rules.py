@@ -25,12 +25,14 @@ def _sided(hazard_ratio: Column, min_hazard: Column) -> Column:
 def classify(df: DataFrame, intensity: str, activity_threshold: float = 500.0, hazard_ratio: float = 0.7, min_hazard: float = 0.0, min_cv: float = 0.0, variance: float = 0.3, strict: bool = False, fps: float = 10.0) -> DataFrame:
     """Label and reason from the whole series (is it blinking?) and the activity of its sides."""
     a = F.col(intensity)
-    m, s, periodic = arrays.mean(a), arrays.deviation(a), arrays.periodicity(a, fps)["is_periodic"]
+    known = df.withColumn("__s", F.struct(arrays.mean(a).alias("m"), arrays.deviation(a).alias("s"), arrays.periodicity(a, fps)["is_periodic"].alias("periodic")))
+    m, s, periodic = F.col("__s.m"), F.col("__s.s"), F.col("__s.periodic")
     blinking = periodic if strict else periodic | ((m > 0) & (s > m * variance))
-    high = F.greatest("left_activity", "right_activity")
-    label = F.when(~blinking, "none").when(high < activity_threshold, "none").when(F.greatest("left_cv", "right_cv") < min_cv, "none").otherwise(_sided(F.lit(hazard_ratio), F.lit(min_hazard)))
-    reason = F.when(~blinking, "not blinking").when(high < activity_threshold, "low activity").when(F.greatest("left_cv", "right_cv") < min_cv, "constant light").when(label == "hazard", "both sides alike").otherwise("one side more active")
-    return df.withColumn("label", label).withColumn("reason", reason)
+    high, cv = F.greatest("left_activity", "right_activity"), F.greatest("left_cv", "right_cv")
+    none = F.when(~blinking, "not blinking").when(high < activity_threshold, "low activity").when(cv < min_cv, "constant light")
+    out = known.withColumn("label", F.when(none.isNotNull(), "none").otherwise(_sided(F.lit(hazard_ratio), F.lit(min_hazard))))
+    reason = none.when(F.col("label") == "hazard", "both sides alike").otherwise("one side more active")
+    return out.withColumn("reason", reason).withColumn("is_periodic", periodic).drop("__s")
 
 
 def threshold_rule(activity_threshold: Column, hazard_ratio: Column, min_hazard: Column | None = None) -> Column:

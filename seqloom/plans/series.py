@@ -285,8 +285,8 @@ b AS (SELECT *, k * 10.0 / n AS f FROM p), x AS (SELECT sequence_id, max(a) FILT
 SELECT sequence_id, top > 2 * mean AS is_periodic, round(tf, 6)::DOUBLE AS peak_frequency, round(mean, 3) AS mean_power FROM x""", "frames")
 def w31_periodogram(t):
     s = t.frames.groupBy("sequence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "intensity"))), lambda x: x["intensity"]).alias("a"))
-    p = arrays.periodicity(F.col("a"))
-    return s.select("sequence_id", p["is_periodic"].alias("is_periodic"), F.round(p["peak_frequency"], 6).alias("peak_frequency"), F.round(arrays.mean(arrays.periodogram(F.col("a"))), 3).alias("mean_power"))
+    p = s.select("sequence_id", arrays.periodicity(F.col("a")).alias("p"))
+    return p.select("sequence_id", "p.is_periodic", F.round("p.peak_frequency", 6).alias("peak_frequency"), F.round("p.mean_power", 3).alias("mean_power"))
 
 
 @query("WITH n AS (SELECT sequence_id, track_id, count(*) AS num_frames, (count(*) // 5)::BIGINT AS bucket FROM frames GROUP BY 1, 2) SELECT *, ((row_number() OVER (PARTITION BY bucket ORDER BY num_frames, sequence_id, track_id) - 1) // 8)::BIGINT AS batch FROM n", "frames")
