@@ -1,6 +1,7 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
 A text is parsed into LZ78 phrases: each is the longest one already in the dictionary plus one character.
+Each character is one step in a trie, however long its phrase, so the parse is linear in the text.
 The phrases' hashes are dealt into BINS bins and each bin keeps its smallest (one-permutation minimum
 hashing). The share of bins in which two fingerprints agree estimates how many phrases two texts share,
 that is, how well one would help to compress the other.
@@ -21,40 +22,42 @@ from pyspark.sql import functions as F
 from .common import quoted
 
 BINS = 128
-#: Longest phrase in characters; phrases in the dictionary before it starts anew; characters in a step.
-#: They bound memory and time on very long texts and hold for all texts alike.
-LONGEST, MOST, STEP = 64, 1 << 20, 1 << 18
+#: The dictionary starts anew after so many phrases, wherever in a text that is: its size is bounded (about
+#: 100 MB) on texts of any length, and the parse still depends on the text only. Characters in a step.
+MOST, STEP = 1 << 20, 1 << 18
 EMPTY = np.iinfo(np.uint64).max
 #: Rows in a range of ids, and the most ranges.
 RANGE_ROWS, RANGES = 500, 10_000
 
 
 class Parse:
-    """The state of a parse: dictionary, begun phrase and signature."""
+    """The state of a parse: dictionary (a trie: node and character to node), begun phrase and its node, and
+    signature. The state after some characters depends on them only, not on how they were fed."""
 
     def __init__(self):
-        self.known: set[str] = set()
-        self.begun = ""
+        self.known: dict[int, int] = {}
+        self.begun, self.node = "", 0
         self.least = np.full(BINS, EMPTY, np.uint64)
 
     def copy(self) -> "Parse":
         out = Parse()
-        out.known, out.begun, out.least = set(self.known), self.begun, self.least.copy()
+        out.known, out.begun, out.node, out.least = dict(self.known), self.begun, self.node, self.least.copy()
         return out
 
     def feed(self, text: str) -> "Parse":
         for at in range(0, len(text), STEP):
-            if len(self.known) > MOST:
-                self.known = set()
-            known, w, found = self.known, self.begun, []
-            for c in text[at : at + STEP]:
-                w += c
-                if w not in known:
-                    if len(w) < LONGEST:
-                        known.add(w)
-                    found.append(w)
-                    w = ""
-            self.begun = w
+            known, node, begun, start, found = self.known, self.node, self.begun, 0, []
+            part = text[at : at + STEP]
+            for i, c in enumerate(map(ord, part)):
+                edge = node << 21 | c
+                node = known.get(edge, 0)
+                if not node:
+                    known[edge] = len(known) + 1
+                    found.append(begun + part[start : i + 1])
+                    begun, start = "", i + 1
+                    if len(known) >= MOST:
+                        known.clear()
+            self.begun, self.node = begun + part[start:], node
             if found:
                 self._merge(found)
         return self

@@ -299,7 +299,7 @@ def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch, most):
 def test_near_dedup_stage_on_given_documents(spark, sf_dir):
     import corpus_pipeline
 
-    docs = table(spark, sf_dir, "documents").dropDuplicates(["text"]).localCheckpoint()
+    docs = table(spark, sf_dir, "documents").dropDuplicates(["text"]).persist()
     got = corpus_pipeline.near_dedup(spark, docs, sf_dir)
     assert sorted(r.doc_id for r in got.collect()) == similar_brute({r.doc_id: r.text for r in docs.collect()})
 
@@ -492,16 +492,17 @@ def test_language_on_odd_rows(spark, odd, none):
 # 9
 
 
-def phrase_brute(text):
-    """Plain LZ78 phrases of a text that fits one dictionary."""
+def phrase_brute(text, most=None):
+    """Plain LZ78 phrases; the dictionary is emptied after `most` of them."""
     known, out, w = set(), set(), ""
     for c in text:
         w += c
         if w not in known:
             out.add(w)
-            if len(w) < phrases.LONGEST:
-                known.add(w)
+            known.add(w)
             w = ""
+            if len(known) == most:
+                known = set()
     low = {}
     for p in out:
         h = xxhash.xxh64_intdigest(p.encode())
@@ -509,6 +510,37 @@ def phrase_brute(text):
     return "".join(f"{low[b] % 65535 + 1 if b in low else 0:04x}" for b in range(phrases.BINS))
 
 
+def likeness_brute(a, b):
+    """The share of agreeing four-digit bins among those that either has."""
+    x, y = ([s[i : i + 4] for i in range(0, len(s), 4)] for s in (a, b))
+    used = [(p, q) for p, q in zip(x, y) if p != "0000" or q != "0000"]
+    return sum(p == q for p, q in used) / len(used) if used else 1.0
+
+
+@pytest.mark.parametrize("step", [1 << 18, 7])
+def test_a_parse_does_not_depend_on_the_cut(monkeypatch, step):
+    monkeypatch.setattr(phrases, "STEP", step)
+    monkeypatch.setattr(phrases, "MOST", 50)
+    for text in ("".join(R.choice("abc ") for _ in range(3000)), "a" * 5000, words(400), "bé日\U0001f600" * 90):
+        want = phrase_brute(text, 50)
+        assert phrases.fingerprint(text) == want
+        for _ in range(20):
+            cuts = sorted(R.randint(0, len(text)) for _ in range(3))
+            parse = phrases.Parse()
+            for a, b in zip([0, *cuts], [*cuts, len(text)]):
+                parse = parse.feed(text[a:b]).copy()
+            assert parse.signature().tobytes().hex() == want
+
+
+def test_a_dictionary_that_starts_anew():
+    """More phrases than a dictionary holds, cut at two places."""
+    g = np.random.default_rng(2)
+    text = g.integers(0x4E00, 0x9000, 2 * phrases.MOST + 5000).astype("<u4").tobytes().decode("utf-32-le")
+    want = phrase_brute(text, phrases.MOST)
+    for cut in (0, len(text) // 3, phrases.MOST + 17):
+        assert phrases.Parse().feed(text[:cut]).feed(text[cut:]).signature().tobytes().hex() == want
+
+
 def test_phrase_fingerprints(spark, none):
     texts = {9: words(80), 7: "a" * 500, 5: None, 4: "", 3: "bé日", 2: words(200), 1: words(200)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("range", F.lit(1)).withColumn("to", F.lit(1))
@@ -519,10 +551,32 @@ def test_phrase_fingerprints(spark, none):
         e = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
         assert (got[k].n_chars, got[k].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         assert (got[k].fingerprint, got[k].edited_fingerprint) == (phrase_brute(t), phrase_brute(e))
+        assert (got[k].near_edited, got[k].near_next) == (likeness_brute(phrase_brute(t), phrase_brute(e)), likeness_brute(phrase_brute(t), phrase_brute(nxt)))
     assert got[2].near_edited > 0.4 > got[2].near_next
     assert phrases.edited_fingerprints(none).count() == 0
 
 
+def test_an_edited_text_that_equals_another(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MOST", 40)
+    a, b = words(300, 7), words(300, 8)
+    edited = a[: len(a) - len(a) // 3] + b[: len(a) // 3]
+    df = spark.createDataFrame([(9, a), (8, b), (7, edited), (6, a[:100])], "doc_id long, text string")
+    got = {r.doc_id: r for r in phrases.edited_fingerprints(df).collect()}
+    assert got[9].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert got[9].edited_fingerprint == got[7].fingerprint
+
+
+def test_phrases_of_odd_rows(spark, odd):
+    """By falling id, null last, ties by a hash of the text: each row's text is edited with the next row's."""
+    rows = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()
+    want = []
+    for r, n in zip(rows, [*rows[1:], rows[0]]):
+        e = r.text[: len(r.text) - len(r.text) // 3] + n.text[: len(r.text) // 3]
+        want.append((str(r.doc_id), len(r.text), hashlib.sha256(e.encode()).hexdigest(), phrase_brute(r.text), phrase_brute(e)))
+    got = [(str(r.doc_id), *r[1:5]) for r in phrases.edited_fingerprints(odd).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_phrase_ranges_join_up(spark, monkeypatch, odd):
     monkeypatch.setattr(phrases, "RANGE_ROWS", 3)
     texts = {k * 5: words(20) for k in range(40)}
