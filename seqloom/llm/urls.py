@@ -5,8 +5,9 @@ they reject. A character's probability after a context of k characters is interp
 the one after k - 1; a context that was not seen passes the shorter one on. A URL's score is the mean over
 its characters of ln(p accepted / p rejected); the cut is calibrated on a held-out fifth of the ruled URLs.
 
-All counts cover all distinct URLs. The models are tables keyed by n-gram and are joined, never collected;
-any join key has at most one row for each character of the alphabet on the model's side.
+All counts cover all distinct URLs. The models are tables keyed by n-gram, joined and never collected; only
+a bounded number of the commonest grams is broadcast. Each longer context is derived from the written counts
+of the longest grams.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import materialise, quoted
 
 #: host, path, verdict. A rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Longest context in characters, and the width and number of bins for calibration on each side of 0.
 ORDER, BIN, BINS = 4, 0.02, 500
+#: The commonest grams, which are broadcast: at most so many rows.
+HOT = 1 << 15
 
 
 def host_of(url: Column) -> Column:
@@ -46,9 +49,13 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 
 def grams(text: Column, order: int = ORDER) -> Column:
-    """Each character, an end mark after the last, with the `order` characters before it (padded)."""
+    """Each character, an end mark after the last, with the `order` characters before it (padded). Linear in
+    the text: a lambda would work out an array outside it again for each of its elements, so none is there."""
     chars = F.split(F.concat(F.lit("\x02" * order), text, F.lit("\x03")), "")
-    return F.transform(F.sequence(F.lit(0), F.length(text)), lambda i: F.concat(*[F.get(chars, i + k) for k in range(order + 1)]))
+    many, out = F.length(text) + 1, chars
+    for k in range(1, order + 1):
+        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), many), lambda a, b: F.concat(a, b))
+    return F.slice(out, F.lit(1), many)
 
 
 def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -85,6 +92,22 @@ def cut(scored: DataFrame) -> DataFrame:
     return best.select(F.when(F.col("right").isNotNull(), F.col("middle")).otherwise(F.lit(0.0)).alias("cut"))
 
 
+def scored(urls: DataFrame, ratios: DataFrame, order: int = ORDER) -> DataFrame:
+    """urls(k1, k2, text, ...) with `score` in place of text: the mean ratio of its grams.
+
+    The HOT commonest grams are broadcast, so that what every URL has is no join key; each URL goes on with
+    the sum over those and a list of its others, and only the others are joined by key."""
+    hot = ratios.orderBy(F.desc("n"), "gram").limit(HOT).select("gram", F.col("ratio").alias("told"))
+    rest = [c for c in urls.columns if c != "text"]
+    each = urls.select(*rest, F.explode(grams(F.col("text"), order)).alias("gram")).join(F.broadcast(hot), "gram", "left")
+    partly = each.groupBy(*rest).agg(F.sum("told").alias("told"), F.count("*").alias("n"), F.collect_list(F.when(F.col("told").isNull(), F.col("gram"))).alias("others"))
+    partly = materialise(partly)
+    rare = partly.select("k1", "k2", F.explode("others").alias("gram")).join(ratios.select("gram", "ratio"), "gram")
+    sums = rare.groupBy("k1", "k2").agg(F.sum("ratio").alias("ratio"))
+    zero = F.lit(0.0)
+    return partly.join(sums, ["k1", "k2"], "left").select(*rest, ((F.coalesce("told", zero) + F.coalesce("ratio", zero)) / F.col("n")).alias("score"))
+
+
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple = RULES, order: int = ORDER) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, score.
 
@@ -97,11 +120,13 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     host, path, key = host_of(F.col("text")), path_of(F.col("text")), [F.xxhash64("text").alias("k1"), F.hash("text").alias("k2")]
     parts = whole.select("page_id", host.alias("host"), path.alias("path"), *key)
     urls = whole.select("text").distinct().select(*key, "text", ruled(host, path, rules)["verdict"].alias("verdict"))
-    urls = urls.withColumn("held", F.pmod("k1", F.lit(5)) == 0)
-    each = urls.select("k1", "k2", "verdict", "held", F.explode(grams(F.col("text"), order)).alias("gram"))
+    # Written once: the counts and the scores read it, and the exchange deals the URLs over all tasks.
+    urls = materialise(urls.withColumn("held", F.pmod("k1", F.lit(5)) == 0))
     learn = lambda v: F.count_if((F.col("verdict") == v) & ~F.col("held"))
-    ratios = model(each.groupBy("gram").agg(learn("allow").alias("a"), learn("block").alias("r")), order)
-    scores = each.join(ratios, "gram").groupBy("k1", "k2", "verdict", "held").agg(F.avg("ratio").alias("score"))
+    each = urls.select("verdict", "held", F.explode(grams(F.col("text"), order)).alias("gram"))
+    counts = materialise(each.groupBy("gram").agg(F.count("*").alias("n"), learn("allow").alias("a"), learn("block").alias("r")))
+    ratios = materialise(model(counts, order).join(counts.select("gram", "n"), "gram"))
+    scores = materialise(scored(urls, ratios, order))
     limit = cut(scores.where("held and verdict is not null"))
     judged = parts.select("*", ruled(F.col("host"), F.col("path"), rules).alias("hit")).join(scores.select("k1", "k2", "score"), ["k1", "k2"])
     own = F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block")
