@@ -14,15 +14,23 @@ from pyspark.sql import types as T
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: No key of fewer rows counts as a large one.
+LARGE = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
+    """The folder all executors share. Only on a local master, where one machine runs everything, may it be
+    missing: then a temporary folder is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         where = tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -78,3 +86,13 @@ def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataF
             yield batch.rename_columns(out)
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, inner).toDF(*schema.names)
+
+
+def join_skewed(rows: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with `one`, which has one row per key and, as column n, how many of the `total` rows have
+    that key. Keys of more than a thousandth of all rows, of which there are under a thousand, are broadcast,
+    so that no task gets all rows of a key; the others are joined by exchange. Column n goes."""
+    large = F.col(n) > max(total // 1000, LARGE)
+    hot = F.broadcast(one.where(large).drop(n))
+    rest = rows.join(F.broadcast(one.where(large).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(one.where(~large).drop(n), key))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, materialise, quoted
+from .common import fresh, join_skewed, map_arrow, materialise, quoted
 
 #: Four primes under 2^31 with a base each: about 124 bits in all.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -122,8 +122,13 @@ def classes(docs: DataFrame, text: str = "text", huge_chars: int = 1 << 20, piec
     rest = [c for c in docs.columns if c != text]
     read = docs.select(*[quoted(c) for c in rest], F.coalesce(quoted(text), F.lit("")).alias(t))
     hashed = with_fingerprints(read, t, fp, huge_chars)
-    keyed = materialise(hashed.select(*[quoted(c) for c in rest], F.sha2(F.col(t), 256).alias("text_sha256"), F.octet_length(F.col(t)).cast("long").alias("n_bytes"), F.col(fp).alias("class_key")))
-    shared = keyed.groupBy("class_key").count().where("count > 1").select("class_key")
+    by = [F.xxhash64(F.col(t)).alias("h1"), F.hash(F.col(t)).alias("h2")]
+    size = F.octet_length(F.col(t)).cast("long")
+    keyed = materialise(hashed.select(*[quoted(c) for c in rest], F.sha2(F.col(t), 256).alias("text_sha256"), size.alias("n_bytes"), F.col(fp).alias("class_key"), *by))
+    shared = keyed.groupBy("class_key").agg(F.count("*").alias("count")).where("count > 1").select("class_key")
+    # Where the texts of those classes are is told by cheap hashes: texts that share them by chance meet other
+    # classes too, which only makes those look unlike and be split by SHA-256.
+    places = keyed.select("h1", "h2", "n_bytes", "class_key").distinct().join(shared, "class_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,19 +137,19 @@ def classes(docs: DataFrame, text: str = "text", huge_chars: int = 1 << 20, piec
                 at = range(0, len(x), piece_chars)
                 yield pa.RecordBatch.from_pydict({"class_key": pa.array([k] * len(at), pa.binary()), "no": pa.array(range(len(at)), pa.int32()), "piece": pa.array([x[i : i + piece_chars] for i in at], pa.string())})
 
-    again = with_fingerprints(read.select(t), t, "class_key", huge_chars).select("class_key", t)
-    pieces = again.join(shared, "class_key", "left_semi").mapInArrow(cut, "class_key binary, no int, piece string")
+    again = read.select(F.col(t), size.alias("n_bytes"), *by).join(places, ["h1", "h2", "n_bytes"]).select("class_key", t)
+    pieces = again.mapInArrow(cut, "class_key binary, no int, piece string")
     unlike = pieces.groupBy("class_key", "no").agg((F.min("piece") != F.max("piece")).alias("unlike")).where("unlike").select("class_key").distinct()
     split = F.when(F.col("unlike"), F.concat("class_key", F.unhex("text_sha256"))).otherwise(F.col("class_key"))
-    return keyed.join(unlike.withColumn("unlike", F.lit(True)), "class_key", "left").withColumn("class_key", split).drop("unlike")
+    return keyed.drop("h1", "h2").join(unlike.withColumn("unlike", F.lit(True)), "class_key", "left").withColumn("class_key", split).drop("unlike")
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, **how) -> DataFrame:
     """One row per text and id: doc_id, n (rows that repeat both), keep_id, group_size, text_sha256."""
     keyed = classes(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), **how)
-    per_id = keyed.groupBy("class_key", "doc_id").agg(F.count("*").alias("n"), F.first("text_sha256").alias("text_sha256"))
-    groups = per_id.groupBy("class_key").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return per_id.join(groups, "class_key").drop("class_key")
+    per_id = materialise(keyed.groupBy("class_key", "doc_id").agg(F.count("*").alias("n"), F.first("text_sha256").alias("text_sha256")))
+    groups = per_id.groupBy("class_key").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("ids"))
+    return join_skewed(per_id, groups, "class_key", "ids", per_id.count()).drop("class_key")
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
