@@ -8,15 +8,13 @@ fingerprints, so it is a lower bound, and near fingerprints lie near each other
 The range join on that grid goes by projections: the coordinates are divided into groups, and with
 `differ` differing bits at most `differ` groups have unequal counts, so two near fingerprints share a
 cell of at least one projection onto all but `differ` groups. Each fingerprint is put into its cell of
-every projection (pigeonhole: no near pair is lost). For wide radii, where that would need too many
-projections, cells come from seeded random choices of coordinates, as many as the asked recall needs.
+every projection (pigeonhole: no near pair is lost). Inside a cell pairs are bounded by the Manhattan
+distance, first of sums and then of whole vectors, and what is within it is verified exactly. Large cells
+are divided by ranges of counts, then dealt into blocks that meet two by two.
 
-Inside a cell a search from each fingerprint to those not reached yet emits a spanning forest of the
-verified pairs: the same components as all pairs, with at most one link per member. A large cell is first
-split by the projections that are left, so that it never meets as a whole.
-
-The pipeline's near-dedup does not go by fingerprints: it compares sets of distinct shingles, inside cells
-of minimum hashes (the last part of this module).
+The pipeline's near-dedup needs a similarity of shingle sets, 0.8, at which 39 of 256 bits differ: too many
+for any projection that tells texts apart. There cells come from minimum hashes, and inside them the
+fingerprints' Manhattan and Hamming distances bound what the sets then decide (the last part of this module).
 
 Components: star contraction over links between distinct fingerprints, with written tables between
 rounds. Fingerprints stay distributed throughout.
@@ -24,10 +22,10 @@ rounds. Fingerprints stay distributed throughout.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, map_arrow, materialise, quoted
+from .common import discard, fresh, join_skewed, map_arrow, materialise, quoted
 from .suffixes import bitmap, passes
 
 SEED = 42
@@ -44,8 +42,11 @@ SEED = 42
 STEP = 1 << 15
 #: Pairs compared in one step inside a cell.
 BLOCK = 1 << 18
-#: Bands of minimum hashes, hashes in one, and shingle sets that meet as one block.
+#: Bands of minimum hashes, hashes in one, and fingerprints or shingle sets that meet as one block.
 BANDS, ROWS, MEET = 24, 4, 16384
+#: Bits of a shingle set's fingerprint, and how many may differ at a similarity of 0.8: 39 do on average, with
+#: a deviation of 6; of unrelated sets 128 do, and their counts in segments of two bits are 96 apart.
+PRINT, RADIUS = 256, 84
 TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
 TIMES |= np.uint64(1)
 
@@ -114,19 +115,15 @@ def with_fingerprints(docs: DataFrame, text: str, name: str, words: int, bits: i
 
 
 class Grid:
-    """Which coordinates of the popcount vector make up the key of each projection."""
+    """The grid on vectors of segments' bit counts. Its cells are keyed by projections onto groups of
+    coordinates: with at most `differ` differing bits at most `differ` groups of counts are unequal, so a near
+    pair shares the cell of at least one choice of the other groups."""
 
-    def __init__(self, bits: int, segment_bits: int, differ: int, groups: int | None = None, typical: int = 0, recall: float = 0.98, width: int = 16):
-        self.bits, self.segment_bits, self.differ, self.exact = bits, segment_bits, differ, bool(groups)
+    def __init__(self, bits: int = 64, segment_bits: int = 2, differ: int = 3, groups: int = 6):
+        self.bits, self.segment_bits, self.differ = bits, segment_bits, differ
         n = bits // segment_bits
-        if groups:  # exact: all choices of groups that must agree
-            cut = [list(range(k * n // groups, (k + 1) * n // groups)) for k in range(groups)]
-            self.keys = [sum(chosen, []) for chosen in itertools.combinations(cut, groups - differ)]
-        else:  # random projections of `width` coordinates, enough for `recall` of pairs `typical` bits apart
-            same = (1 - typical / bits) ** segment_bits
-            tries = math.ceil(math.log(1 - recall) / math.log(1 - same**width))
-            draw = random.Random(SEED)
-            self.keys = [sorted(draw.sample(range(n), width)) for _ in range(tries)]
+        cut = [list(range(k * n // groups, (k + 1) * n // groups)) for k in range(groups)]
+        self.keys = [sum(chosen, []) for chosen in itertools.combinations(cut, groups - differ)]
 
     def counts(self, prints: np.ndarray) -> np.ndarray:
         """(n, bits / 8) bytes to (n, segments) bit counts."""
@@ -139,25 +136,48 @@ class Grid:
         for k, chosen in enumerate(self.keys):
             key = np.full(len(prints), k + 1, np.uint64)
             for c in chosen:  # a 64-bit mix of the coordinates: cells that collide only add candidates
-                key = (key ^ counts[:, c]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
+                key = mixed(key ^ counts[:, c])
             yield key
 
+    def finer(self, cells: np.ndarray, prints: np.ndarray) -> Iterator[np.ndarray]:
+        """Large cells divided by a range join: the counts of both halves of the bits, on a grid as wide as
+        near pairs can differ. Each fingerprint goes to its own square and the three beside and above it, so a
+        near pair meets in the square of its larger coordinates."""
+        counts = self.counts(prints).astype(np.int64)
+        half = counts.shape[1] // 2
+        u, v = (x.sum(axis=1) // (self.differ + 1) for x in (counts[:, :half], counts[:, half:]))
+        for du, dv in itertools.product((0, 1), repeat=2):
+            yield mixed(mixed(cells ^ (u + du).astype(np.uint64)) ^ (v + dv).astype(np.uint64))
+
+
+def mixed(key: np.ndarray) -> np.ndarray:
+    key = key * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(29))
+
 
-def forest(prints: np.ndarray, differ: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs at most `differ` bits apart, as (smaller, larger) positions.
+def forest(prints: np.ndarray, counts: np.ndarray, differ: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs at most `differ` bits apart, as positions, among the members of a cell.
 
-    A search in which each member is compared with those not reached yet: a dense cell costs about one
-    step, and no more links than members are made.
+    A range join under the Manhattan distance of bit counts, which is at most the number of differing bits:
+    members are sorted by their sum of counts, and each meets those whose sum is within `differ` (the
+    coarsest bound), then those whose vector is, and what is left is compared exactly. In a search each
+    member meets those not reached yet: a dense cell costs about one step, and makes no more links than it
+    has members.
     """
-    left, out = np.arange(len(prints)), []
+    total = counts.sum(axis=1, dtype=np.int64)
+    left = np.argsort(total, kind="stable")
+    out: list[tuple[int, int]] = []
     while len(left):
         todo, left = [int(left[0])], left[1:]
         while todo and len(left):
             at = todo.pop()
+            low, high = np.searchsorted(total[left], (total[at] - differ, total[at] + differ + 1))
             near = np.zeros(len(left), bool)
-            for i in range(0, len(left), BLOCK):
-                near[i : i + BLOCK] = np.bitwise_count(prints[left[i : i + BLOCK]] ^ prints[at]).sum(axis=1) <= differ
+            for i in range(low, high, BLOCK):
+                some = left[i : min(i + BLOCK, high)]
+                far = np.abs(counts[some].astype(np.int16) - counts[at]).sum(axis=1)
+                close = np.flatnonzero(far <= differ)
+                near[i + close] = np.bitwise_count(prints[some[close]] ^ prints[at]).sum(axis=1) <= differ
             for b in left[near]:
                 out.append((at, int(b)))
                 todo.append(int(b))
@@ -171,27 +191,14 @@ def packed(column: pa.Array, nbytes: int) -> np.ndarray:
     return np.frombuffer(fixed.buffers()[1], np.uint8)[fixed.offset * nbytes : (fixed.offset + len(fixed)) * nbytes].reshape(-1, nbytes)
 
 
-def cell_links(prints: np.ndarray, grid: Grid, most: int = 4096) -> list[tuple[int, int]]:
-    """Links inside one cell. If more than `most` members meet under an exact grid, they are split once
-    more: of differ + 1 blocks of bits, near fingerprints have one in common. Nothing is left out."""
-    if len(prints) <= most or not grid.exact:
-        return forest(prints, grid.differ)
-    ones, out = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1), []
-    for block in np.array_split(np.arange(grid.bits), grid.differ + 1):
-        key = np.packbits(ones[:, block], axis=1)
-        _, inverse = np.unique(key, axis=0, return_inverse=True)
-        order = np.argsort(inverse.ravel(), kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(inverse.ravel()[order]) > 0])
-        for s, e in zip(starts, [*starts[1:], len(order)]):
-            if e - s > 1:
-                rows = order[s:e]
-                out += [(int(rows[a]), int(rows[b])) for a, b in forest(prints[rows], grid.differ)]
-    return out
-
-
 def links(prints: DataFrame, name: str, grid: Grid) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of prints that the grid finds; a connected near group
-    gets a connected set of links."""
+    """Links (a, b) between distinct fingerprints of prints, at most grid.differ bits apart; a connected near
+    group gets a connected set of links.
+
+    Cells of up to MEET fingerprints meet in one task. Larger ones are passed on, divided by ranges of counts,
+    and what is still larger is dealt into blocks that meet two by two: no task holds more than 2 * MEET of a
+    cell's fingerprints, and no near pair is left out.
+    """
     nbytes = grid.bits // 8
     kinds = pa.schema([("cell", pa.int64()), ("fp", pa.binary())])
 
@@ -199,40 +206,103 @@ def links(prints: DataFrame, name: str, grid: Grid) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 own = batch.column(0).slice(at, 4096).cast(pa.binary())
-                rows = packed(own, nbytes)
-                for key in grid.cells(rows):
+                for key in grid.cells(packed(own, nbytes)):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), own], schema=kinds)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells come sorted; one may go on in the next batch."""
-        held_cell, held = np.empty(0, np.int64), np.empty((0, nbytes), np.uint8)
-
-        def flush(cell: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            a, b = [], []
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            ends = np.r_[starts[1:], len(cell)]
-            words = rows.view(np.uint64)
-            many = ends - starts > 1
-            for s, e in zip(starts[many], ends[many]):
-                for i, j in cell_links(words[s:e], grid):
-                    a.append(rows[s + i].tobytes())
-                    b.append(rows[s + j].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(1).cast(pa.binary())
+            for key in grid.finer(batch.column(0).to_numpy().view(np.uint64), packed(own, nbytes)):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), own], schema=kinds)
+
+    out = []
+    now = prints.select(quoted(name)).distinct().mapInArrow(spread, "cell long, fp binary")
+    for divide in (lambda rows: rows.mapInArrow(finer, "cell long, fp binary"), lambda rows: _blocks(rows, MEET)):
+        met = materialise(_meet(now, grid, MEET))
+        out.append(met.where("b is not null").select("a", "b"))
+        large = met.where("b is null").select("cell", F.col("a").alias("fp"))
+        if large.isEmpty():
+            break
+        now = divide(large)
+    else:
+        out.append(_meet(now, grid, 1 << 40).select("a", "b"))  # about 2 * MEET in each
+    return functools.reduce(DataFrame.unionByName, out).distinct()
+
+
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """rows(cell, fp) of large cells, dealt into blocks of about `most`, any two of which meet in a cell of
+    their own; the cell's number of rows decides how many."""
+    sized = rows.join(rows.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias("p")), "cell")
+    own = F.pmod(F.xxhash64("fp"), F.col("p")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    paired = sized.withColumn("own", own).select("cell", "fp", F.explode(pairs).alias("x"), "p").where("x.i < x.j or p = 1")
+    return paired.select(F.xxhash64("cell", "x.i", "x.j").alias("cell"), "fp")
+
+
+def _meet(rows: DataFrame, grid: Grid, most: int) -> DataFrame:
+    """rows(cell, fp) to the links (a, b) inside each cell of up to `most` rows, and the rows (cell, a) of
+    larger ones, with b null."""
+    nbytes = grid.bits // 8
+    shape = pa.schema([("cell", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def found(cells: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        """Whole cells of up to `most` rows."""
+        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        ends = np.r_[starts[1:], len(cells)]
+        many = ends - starts > 1
+        words, counts = rows.view(np.uint64), grid.counts(rows)
+        a, b, at = [], [], []
+        for s, e in zip(starts[many], ends[many]):
+            for i, j in forest(words[s:e], counts[s:e], grid.differ):
+                a.append(rows[s + i].tobytes())
+                b.append(rows[s + j].tobytes())
+                at.append(int(cells[s]))
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=shape)
+
+    def passed(cells: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array([r.tobytes() for r in rows], pa.binary()), pa.nulls(len(cells), pa.binary())], schema=shape)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come sorted; the last one of a batch may go on in the next. At most `most` rows are held."""
+        cells, rows, large = [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = np.concatenate((held_cell, batch.column(0).to_numpy()))
-            rows = np.concatenate((held, packed(batch.column(1), nbytes)))
-            last = int(np.searchsorted(cell, cell[-1]))  # where the last cell begins
-            held_cell, held = cell[last:], np.ascontiguousarray(rows[last:])
-            if last:
-                yield flush(cell[:last], np.ascontiguousarray(rows[:last]))
-        if len(held_cell):
-            yield flush(held_cell, held)
-
-    spreads = prints.select(quoted(name)).distinct().mapInArrow(spread, "cell long, fp binary")
-    return spreads.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(meet, "a binary, b binary").distinct()
+            here, own = batch.column(0).to_numpy(), packed(batch.column(1), nbytes)
+            if large is not None:  # the rest of a cell that is passed on
+                n = int(np.searchsorted(here, large, "right"))
+                if n:
+                    yield passed(here[:n], own[:n])
+                    here, own = here[n:], own[n:]
+                if not len(here):
+                    continue
+                large = None
+            cells.append(here)
+            rows.append(own)
+            last = here[-1]
+            if cells[0][0] == last and sum(map(len, cells)) <= most:
+                continue  # one cell so far: go on collecting
+            whole, each = np.concatenate(cells), np.concatenate(rows)
+            cut = int(np.searchsorted(whole, last))
+            yield from told(whole[:cut], each[:cut])
+            cells, rows = [whole[cut:]], [each[cut:]]
+            if len(whole) - cut > most:
+                yield passed(whole[cut:], each[cut:])
+                cells, rows, large = [], [], last
+        if cells:
+            yield from told(np.concatenate(cells), np.concatenate(rows))
+
+    def told(cells: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of the small cells among some whole ones, and the rows of the large."""
+        if len(cells):
+            _, where, sizes = np.unique(cells, return_inverse=True, return_counts=True)
+            small = sizes[where.ravel()] <= most
+            if not small.all():
+                yield passed(cells[~small], rows[~small])
+            if small.any():
+                yield found(cells[small], np.ascontiguousarray(rows[small]))
+
+    return rows.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, "cell long, a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,10 +313,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(swap(now))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small_min = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small_min, "a")
+        total = 2 * now.count()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_skewed(both, least, "a", "n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small_min = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = join_skewed(large, small_min, "a", "n", total)
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_min.select("a", F.col("m").alias("b"))).distinct()
         after = materialise(small)
         stamp = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -266,7 +337,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     Repeated rows stay; extra columns of docs are ignored; an empty table gives an empty result. Only
     distinct fingerprints are compared, so copies cost nothing.
     """
-    grid = grid or Grid(bits, 2, 3, groups=6)
+    grid = grid or Grid(bits)
     prints = materialise(with_fingerprints(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), "text", "fp", words, bits))
     found = components(links(prints, "fp", grid))
     rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found, F.col("fp") == F.col("node"), "left")
@@ -276,20 +347,6 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def radius(jaccard: float, bits: int) -> int:
-    """Bits that differ, as expected, between fingerprints of shingle sets of this Jaccard similarity."""
-    return round(math.acos(2 * jaccard / (1 + jaccard)) / math.pi * bits)
-
-
-def near_grid(similarity: float, documents: int, bits: int = 256) -> Grid:
-    """The grid for near-duplicates from that Jaccard similarity of shingles on. The radius has one
-    standard deviation to spare for pairs at the limit. A cell has about log2(documents) coordinates, so
-    that unrelated documents seldom meet at any size; the number of projections follows from that."""
-    r = radius(similarity, bits)
-    spare = round(math.sqrt(bits * (r / bits) * (1 - r / bits)))
-    return Grid(bits, 1, r + spare, typical=r, width=max(12, round(math.log2(max(documents, 2)))))
-
-
 # Near-duplicates by the similarity of shingle sets
 
 
@@ -316,34 +373,51 @@ def band_cells(own: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose Jaccard similarity is at least that, as positions. All pairs
-    that could join what is not joined yet are compared, set by set."""
+def set_print(own: np.ndarray) -> bytes:
+    """The fingerprint of a set of shingles: PRINT bits, each 1 if over half of the shingles' hashes have it."""
+    total = np.zeros(PRINT, np.int64)
+    for k in range(0, len(own), STEP):
+        total += bit_sums(mixed(own[k : k + STEP, None] * TIMES[: PRINT // 64] + PLUS[: PRINT // 64]))
+    return np.packbits(total * 2 > len(own)).tobytes()
+
+
+def similar_forest(sets: list[np.ndarray], prints: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose Jaccard similarity is at least that, as positions.
+
+    In a search each set meets those not reached yet. First the bounds: sizes, the Manhattan distance of the
+    fingerprints' bit counts, their differing bits. What is within them is compared exactly.
+    """
     sizes = np.array([len(x) for x in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ids, mark = ids.ravel(), np.zeros(int(ids.max()) + 1, bool)
-    ends = np.cumsum(sizes)
-    own = [ids[e - n : e] for e, n in zip(ends, sizes)]
-    left, out = np.arange(1, len(sets)), []
-    base, flat = left, ids[sizes[0] :]  # the members whose shingles are in flat; left is among them
-    todo = [0]
+    own = [ids[e - n : e] for e, n in zip(np.cumsum(sizes), sizes)]
+    words, counts = prints.view(np.uint64), prints_grid().counts(prints).astype(np.int16)
+    left, out, todo = np.arange(1, len(sets)), [], [0]
     while len(left):
         if not todo:
             todo, left = [int(left[0])], left[1:]
             continue
         at = todo.pop()
-        if 2 * len(left) < len(base):
-            base, flat = left, np.concatenate([own[b] for b in left])
+        some = left[np.minimum(sizes[left], sizes[at]) >= similarity * np.maximum(sizes[left], sizes[at]) - 1e-9]
+        some = some[np.abs(counts[some] - counts[at]).sum(axis=1) <= RADIUS]
+        some = some[np.bitwise_count(words[some] ^ words[at]).sum(axis=1) <= RADIUS]
+        if not len(some):
+            continue
         mark[own[at]] = True
-        both = np.add.reduceat(mark[flat], np.r_[0, np.cumsum(sizes[base])[:-1]], dtype=np.int64)[np.searchsorted(base, left)]
+        both = np.add.reduceat(mark[np.concatenate([own[b] for b in some])], np.r_[0, np.cumsum(sizes[some])[:-1]], dtype=np.int64)
         mark[own[at]] = False
-        near = both / (sizes[at] + sizes[left] - both) >= similarity
-        out += [(at, int(b)) for b in left[near]]
-        todo += left[near].tolist()
-        left = left[~near]
+        near = some[both / (sizes[at] + sizes[some] - both) >= similarity]
+        out += [(at, int(b)) for b in near]
+        todo += near.tolist()
+        left = left[~np.isin(left, near, assume_unique=True)]
     return out
 
 
+@functools.cache
+def prints_grid() -> Grid:
+    return Grid(PRINT, 2, RADIUS, groups=RADIUS)
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) between keys of shingle sets, all of them of at least that similarity; a connected group
     of similar sets that share cells gets a connected set of links.
@@ -370,30 +444,32 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
         for batch in batches:
             batch = batch.filter(pa.array(passes(shared.value, batch.column(0).to_numpy())))
             own = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names=["fp", "shingles"])
+            cols = [[set_key(x) for x in own], [set_print(x) for x in own], [x.tobytes() for x in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["fp", "print", "shingles"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups come sorted; one may go on in the next batch."""
-        group, keys, sets = None, [], []
+        group, keys, prints, sets = None, [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(sets) > 1:
-                found = similar_forest(sets, similarity)
+                found = similar_forest(sets, np.frombuffer(b"".join(prints), np.uint8).reshape(len(sets), -1), similarity)
                 yield pa.RecordBatch.from_arrays([pa.array([keys[x[k]] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
-            keys.clear()
-            sets.clear()
+            for held in (keys, prints, sets):
+                held.clear()
 
         for batch in batches:
-            for g, fp, own in zip(*(batch.column(k) for k in range(3))):
+            for g, fp, bits, own in zip(*(batch.column(k) for k in range(4))):
                 if group != g.as_py():
                     yield from flush()
                     group = g.as_py()
                 keys.append(fp.as_py())
+                prints.append(bits.as_py())
                 sets.append(np.frombuffer(own.as_py(), np.uint64))
         yield from flush()
 
-    sets = docs.select("h", "text").mapInArrow(read, "fp binary, shingles binary").join(needed, "fp", "left_semi").dropDuplicates(["fp"])
-    met = members.join(sets, "fp").select("g", "fp", "shingles").repartition("g").sortWithinPartitions("g")
+    sets = docs.select("h", "text").mapInArrow(read, "fp binary, print binary, shingles binary").join(needed, "fp", "left_semi").dropDuplicates(["fp"])
+    met = members.join(sets, "fp").select("g", "fp", "print", "shingles").repartition("g").sortWithinPartitions("g")
     return met.mapInArrow(meet, "a binary, b binary").distinct()
 
 
