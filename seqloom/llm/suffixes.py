@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, quoted
+from .common import discard, materialise, quoted
 
 LENGTH, K = 400, 200
 WINDOW = LENGTH - K + 1
 #: Bytes hashed at a time; different strings that may meet in one group; block sizes for dividing others.
 STEP, HOT, BLOCKS = 1 << 19, 2048, (64, 16, 4, 1)
-#: Bits of the filters that keep unrelated rows from being moved: at most so many, 8 MB.
+#: Bits of the filter that keeps texts without repeats from being moved: at most so many, 8 MB. Beyond some 10^7
+#: texts with repeats it lets more and more others through, and they drop out in the join.
 MOST_BITS = 1 << 26
 
 _ODD = np.uint64(0xD1342543DE82EF95)
@@ -174,12 +175,23 @@ def two_stage_sort(strings: list[bytes], upto: list[int]) -> list[tuple[int, int
     return out
 
 
+def common_prefix(x: bytes, i: int, y: bytes, j: int, most: int = LENGTH) -> int:
+    """How many bytes x[i:] and y[j:] have in common at their start, counted up to `most`."""
+    a, b = x[i : i + most], y[j : j + most]
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return n - (((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) >> 3)
+
+
 def repeated(strings: list[bytes]) -> list[list[int]]:
-    """For each string, the places of LENGTH-byte strings that also start at another place of any."""
+    """For each string, the places of LENGTH-byte strings that also start at another place of any: those of
+    neighbours in the suffix array whose common prefix is LENGTH."""
     order = two_stage_sort(strings, [len(s) - LENGTH for s in strings])
+    shared = [common_prefix(strings[k], i, strings[m], j) for (k, i), (m, j) in zip(order, order[1:])]
     found: list[set[int]] = [set() for _ in strings]
-    for (k, i), (m, j) in zip(order, order[1:]):
-        if strings[k][i : i + LENGTH] == strings[m][j : j + LENGTH]:
+    for (k, i), (m, j), n in zip(order, order[1:], shared):
+        if n == LENGTH:
             found[k].add(i)
             found[m].add(j)
     return [sorted(x) for x in found]
@@ -238,26 +250,20 @@ def find_repeats(texts: DataFrame) -> DataFrame:
     last: places of window starts that follow each other); a key may have several rows."""
     long = texts.where(F.col("n_bytes") >= LENGTH)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, a, c, *_ in text_runs(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["a", "c"])
-
-    counted = long.select("text").mapInArrow(anchors, "a long, c long").groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("differ"))
-    groups = materialise(counted.where("n > 1").select("a", "differ"))
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap(groups, "a"))
-
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "c", *KEY, "first", "span", "off"]
         for batch in batches:
             keys = [batch.column(k).to_numpy() for k in KEY]
             for row, a, c, first, span, off in text_runs(batch.column("text")):
-                ok = passes(shared.value, a)
-                cols = [a.view(np.int64)[ok], c.view(np.int64)[ok], *(k[row[ok]] for k in keys), first[ok], span[ok].astype(np.int32), off[ok].astype(np.int32)]
+                cols = [a.view(np.int64), c.view(np.int64), *(k[row] for k in keys), first, span.astype(np.int32), off.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
 
-    shape = "a long, c long, k1 long, k2 int, n_bytes long, first long, span int, off int"
-    found = materialise(long.mapInArrow(members, shape).join(groups, "a"))
+    # Texts are hashed once; the runs are written, about half as many bytes as the texts have. The exchange by
+    # anchor has groups of any size on one side only, so that a hot anchor's rows can be split.
+    every = materialise(long.mapInArrow(members, "a long, c long, k1 long, k2 int, n_bytes long, first long, span int, off int"))
+    groups = every.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1").select("a", "differ")
+    found = materialise(every.join(groups, "a"))
+    discard(every)
     alike = found.where("not differ").select(*KEY, "first", (F.col("first") + F.col("span")).alias("last"))
     mixed_groups = found.where("differ")
     each = materialise(mixed_groups.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "span", "off")).alias("one")))
@@ -361,8 +367,8 @@ def sort_groups(strings: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that
-    remain, for documents that lose some).
+    """One row per row of docs: doc_id, n_removed, n_bytes, n_spans, kept_sha256, has_repeats (and kept, the
+    bytes that remain, for documents that lose some).
 
     Texts are UTF-8 bytes, null counts as empty; strings are judged on the input, each occurrence in the
     same or another document counts, and all of them are removed. Texts of under LENGTH bytes lose nothing.
@@ -394,4 +400,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # The documents' own side holds no text: the digest of an unchanged one is made where it is read.
     own = read.select("doc_id", *text_key(F.col("text")), F.sha2("text", 256).alias("whole"))
     none = F.lit(0).cast("long")
-    return own.join(changed, KEY, "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "kept")
+    removed = F.coalesce("n_removed", none)
+    return own.join(changed, KEY, "left").select("doc_id", removed.alias("n_removed"), "n_bytes", F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), (removed > 0).alias("has_repeats"), "kept")
