@@ -21,8 +21,9 @@ from .common import fresh, map_arrow, materialise, quoted
 
 #: Hash buckets for trigrams, and smoothing.
 GRAMS, ALPHA = 1 << 16, 0.5
-#: The classifier is fitted on a sample of about this many labelled rows; at most so many languages.
-SAMPLE, LANGUAGES = 5_000, 64
+#: The classifier is fitted on a sample of about this many labelled rows of each language, all of them where
+#: there are fewer; languages whose counts a task holds at a time.
+SAMPLE, HELD = 1_250, 64
 #: Trigrams overlap and depend on each other: a text weighs as much as this many independent ones at most.
 WEIGHT = 100.0
 #: How often a declared language, and an address hint, is right; pseudo-counts that a prior lends downwards.
@@ -69,11 +70,13 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from labelled texts: about `sample` rows chosen by a hash of their text; the LANGUAGES most
-    frequent languages. Rows without a text or a label are passed over."""
+    """A model from labelled texts: about `sample` rows of each language, chosen by a hash of their text. Every
+    label becomes a class; the model takes 256 KB for each. Rows without a text or a label are passed over;
+    an empty table gives a model without languages."""
     rows = labelled.select(quoted(text).alias("text"), quoted(lang).alias("lang")).where("text is not null and text <> '' and lang is not null")
-    share = min(1.0, sample / max(rows.count(), 1))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    # One row for each language.
+    shares = rows.groupBy("lang").agg((F.lit(sample * 1_000_003.0) / F.count("*")).alias("below"))
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("below")).select("text", "lang")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -82,7 +85,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
                 into = sums.setdefault(name.as_py(), np.zeros(GRAMS, np.int64))
                 for ids in gram_ids(t.as_py().lower().encode()):
                     into += np.bincount(ids, minlength=GRAMS)
-            if len(sums) > LANGUAGES:
+            if len(sums) > HELD:
                 yield from tables(sums)
                 sums = {}
         yield from tables(sums)
@@ -92,11 +95,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"lang": [name] * len(at), "gram": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
 
-    counted = materialise(chosen.mapInArrow(grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    names = sorted(r[0] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    counted = chosen.mapInArrow(grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # at most GRAMS rows for each language
+    names = sorted(counted.column("lang").unique().to_pylist())
     table = np.zeros((GRAMS, len(names)))
-    for r in counted.where(F.col("lang").isin(names)).toLocalIterator():  # at most GRAMS rows for each language
-        table[r["gram"], names.index(r["lang"])] = r["n"]
+    place = np.array([names.index(x) for x in counted.column("lang").unique().to_pylist()], np.int64)
+    which = place[counted.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()] if names else place
+    table[counted.column("gram").to_numpy(), which] = counted.column("n").to_numpy()
     table = np.log((table + ALPHA) / (table.sum(axis=0) + ALPHA * GRAMS))
     return Model(names, table.astype(np.float32))
 
@@ -168,8 +172,8 @@ def identify(rows: DataFrame, model: Model, carry: list[str], text: str = "text"
     path segment, is the hint. declared: the markup's language (first two letters count). A text without
     letters (null and empty ones too) has no likelihood and is never accepted; its lang_id is what the
     other evidence says, the first language if there is none. Ties go to the first language. Repeated rows
-    stay; an empty table gives an empty result. The rows' text is read twice and never shuffled, unless
-    the table of hosts is too large to broadcast.
+    stay; columns of clashing names are carried as they are; an empty table gives an empty result. Texts are
+    scored once, whatever their length, and written with what is carried; the written rows meet the priors.
     """
     languages = model.languages
     hide, d, u, h, dom, suf, ll = fresh(rows, "markup", "declared", "url", "host", "domain", "suffix", "scores")
@@ -183,9 +187,8 @@ def identify(rows: DataFrame, model: Model, carry: list[str], text: str = "text"
     )
     read = read.withColumn(suf, F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise(F.lit("")))
     read = read.withColumn(dom, F.when(F.size(labels) > 1, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.lit("")))
-    first = with_likelihood(read.select(text, hide, h, dom, suf), text, ll, model, False, hide)
-    priors = materialise(host_priors(first.select(F.col(h).alias("host"), F.col(dom).alias("domain"), F.col(suf).alias("suffix"), F.col(ll).alias("scores")), languages))
-    scored = with_likelihood(read, text, ll, model, keep_text, hide)
+    scored = materialise(with_likelihood(read, text, ll, model, keep_text, hide))
+    priors = materialise(host_priors(scored.select(F.col(h).alias("host"), F.col(dom).alias("domain"), F.col(suf).alias("suffix"), F.col(ll).alias("scores")), languages))
     near = F.regexp_extract(F.coalesce(F.col(u), F.lit("")), r"://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1)
     country = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv]), F.col(suf))
     hint = F.when(near != "", F.lower(near)).otherwise(F.when(F.col(u).isNotNull(), country))
