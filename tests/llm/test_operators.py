@@ -220,28 +220,55 @@ def test_simhash_equals_brute_force(spark, odd, none):
     assert simhash.groups(none).count() == 0
 
 
-@pytest.mark.parametrize("grid", [simhash.Grid(64, 2, 3, groups=6), simhash.Grid(64, 1, 3, groups=5)])
-def test_links_lose_no_near_pair(grid):
-    base = np.frombuffer(R.randbytes(8), np.uint8)
-    rows = [base]
-    for _ in range(300):
+def near_prints(n):
+    """Fingerprints in chains of near ones, and others."""
+    base, out = R.randbytes(8), []
+    rows = [np.frombuffer(base, np.uint8)]
+    for _ in range(n):
         x = np.unpackbits(rows[R.randrange(len(rows))].copy())
         for b in R.sample(range(64), R.randint(0, 6)):
             x[b] ^= 1
         rows.append(np.packbits(x))
-    a = np.array(rows)
+        out.append(np.frombuffer(R.randbytes(8), np.uint8))
+    return np.array(rows + out[: n // 4])
+
+
+def roots(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for x, y in links:
+            root[x] = root[y] = min(root[x], root[y])
+    return root
+
+
+@pytest.mark.parametrize("grid", [simhash.Grid(64, 2, 3, groups=6), simhash.Grid(64, 1, 3, groups=5), simhash.Grid(64, 4, 3, groups=4)])
+def test_links_lose_no_near_pair(grid):
+    a = near_prints(300)
     near = [(i, j) for i in range(len(a)) for j in range(i) if np.unpackbits(a[i] ^ a[j]).sum() <= 3]
     keys = list(grid.cells(a))
     assert all(any(k[i] == k[j] for k in keys) for i, j in near)
+    for k in keys[:3]:  # squares of one cell: near pairs that share the cell share a square
+        squares = np.array(list(grid.finer(k, a)))
+        assert all(set(squares[:, i]) & set(squares[:, j]) for i, j in near if k[i] == k[j])
+    counts = grid.counts(a).astype(int)
+    assert all(np.abs(counts[i] - counts[j]).sum() <= np.unpackbits(a[i] ^ a[j]).sum() for i in range(40) for j in range(i))
     n64 = a.view(np.uint64)
     want = brute_components(list(range(len(a))), [int(x) for x in n64.ravel()], 3)
-    for most in (4096, 10):
-        links = simhash.cell_links(n64, grid, most)
-        root = list(range(len(a)))
-        for _ in range(len(a)):
-            for x, y in links:
-                root[x] = root[y] = min(root[x], root[y])
-        assert root == want
+    found = simhash.forest(n64, grid.counts(a), 3)
+    assert roots(len(a), found) == want and len(found) == len(a) - len(set(want))
+
+
+@pytest.mark.parametrize("most", [16384, 40, 6])
+def test_large_cells_are_divided(spark, monkeypatch, most):
+    """One cell for all: it is passed on, divided and dealt, and no near pair is lost."""
+    monkeypatch.setattr(simhash, "MEET", most)
+    a = np.unique(near_prints(120), axis=0)
+    grid = simhash.Grid(64, 2, 3, groups=6)
+    grid.keys = [[]]
+    df = spark.createDataFrame([(bytes(x),) for x in a], "fp binary")
+    at = {bytes(x): k for k, x in enumerate(a)}
+    found = [(at[bytes(r.a)], at[bytes(r.b)]) for r in simhash.links(df, "fp", grid).collect()]
+    assert roots(len(a), found) == brute_components(list(range(len(a))), [int(x) for x in a.view(np.uint64).ravel()], 3)
 
 
 def test_near_duplicates_go_and_others_stay(spark):
@@ -304,6 +331,27 @@ def test_near_dedup_stage_on_given_documents(spark, sf_dir):
     assert sorted(r.doc_id for r in got.collect()) == similar_brute({r.doc_id: r.text for r in docs.collect()})
 
 
+def test_fingerprints_of_similar_sets_are_within_the_radius():
+    for n in (4, 8, 40, 400):
+        for v in range(60):
+            g = np.random.default_rng(1000 * n + v)
+            x = np.unique(g.integers(0, 1 << 63, 5 * n, dtype=np.uint64))
+            y = x[: 4 * n]
+            a, b = (np.frombuffer(simhash.set_print(z), np.uint8) for z in (x, y))
+            counts = simhash.prints_grid().counts(np.stack((a, b))).astype(int)
+            far = int(np.unpackbits(a ^ b).sum())
+            assert np.abs(counts[0] - counts[1]).sum() <= far <= simhash.RADIUS
+
+
+def test_components_of_a_large_star(spark, monkeypatch):
+    from seqloom.llm import common
+
+    monkeypatch.setattr(common, "LARGE", 5)
+    star = [(0, k) for k in range(1, 60)] + [(70, 71), (59, 60)]
+    got = {(r.node, r.root) for r in simhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {(k, 0) for k in range(1, 61)} | {(71, 70)}
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (200, 200)]
     e = spark.createDataFrame(chain, "a long, b long")
@@ -356,7 +404,7 @@ def suffix_brute(texts):
 
 def suffix_check(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("runs", F.lit(1)).withColumn("first", F.lit(1))
-    got = [tuple(r)[1:5] for r in suffixes.remove_repeats(df).orderBy("doc_id").collect()]
+    got = [tuple(r) for r in suffixes.remove_repeats(df).orderBy("doc_id").select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert got == suffix_brute([(t or "").encode() for t in texts])
 
 
@@ -383,6 +431,33 @@ def test_spans_of_copies_are_listed_once(spark, monkeypatch):
     assert lists and all(len(x) == len(set(x)) for x in lists)
 
 
+@pytest.mark.parametrize("step", [700, 1000])
+def test_suffix_dedup_of_texts_in_steps(spark, monkeypatch, step):
+    """Texts longer than what is hashed at a time, with repeats across the steps."""
+    monkeypatch.setattr(suffixes, "STEP", step)
+    monkeypatch.setattr(suffixes, "_TABLES", [])
+    r = random.Random(step)
+    rnd = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = rnd(900)
+    suffix_check(spark, [rnd(k * 97) + passage[: 400 + 60 * k] + rnd(2500) for k in range(8)] + [rnd(5000), "ab" * 1500, passage * 3])
+    # Every window of a long text is in one run.
+    text = "".join(r.choice("abcdefgh ") for _ in range(6000))
+    import pyarrow as pa
+
+    covered = [w for _, _, _, first, span, _ in suffixes.text_runs(pa.array([text])) for f, n in zip(first, span) for w in range(f, f + n + 1)]
+    assert sorted(covered) == list(range(len(text) - 399))
+
+
+def test_common_prefixes_are_numbers():
+    for _ in range(500):
+        x, y = (bytes(R.choice(b"ab") for _ in range(R.randint(1, 30))) for _ in range(2))
+        i, j, most = R.randint(0, len(x)), R.randint(0, len(y)), R.randint(1, 20)
+        n = 0
+        while n < most and i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+            n += 1
+        assert suffixes.common_prefix(x, i, y, j, most) == n
+
+
 def test_two_stage_sort():
     for _ in range(300):
         st = [bytes(R.choice(b"ab\0\xff") for _ in range(R.randint(1, 30))) for _ in range(R.randint(1, 5))]
@@ -483,6 +558,79 @@ def test_evidence_decides_short_pages(spark):
     assert abs(sum(language.Model(["a"], np.zeros((language.GRAMS, 1))).likelihood("text"))) == 0
 
 
+def identified_brute(rows, model):
+    """Posterior of each (text, host, url, declared) by the formulas, in plain loops."""
+    names, n = model.languages, len(model.languages)
+    first = lambda x: max(range(n), key=lambda k: (x[k], -k))
+
+    def score(text):
+        if not any(map(str.isalpha, text or "")):
+            return [0.0] * n
+        b = text.lower().encode()
+        grams = [((b[i] * 2654435761 + b[i + 1] * 40503 * 257 + b[i + 2] * 2246822519) % (1 << 32)) >> 16 for i in range(len(b) - 2)]
+        total = [sum(float(model.table[g, k]) for g in grams) for k in range(n)]
+        return [x * min(1.0, language.WEIGHT / len(grams)) for x in total] if grams else [0.0] * n
+
+    def parts(host):
+        labels = (host or "").split(".")
+        return (labels[-1], ".".join(labels[-2:])) if len(labels) > 1 else ("", "")
+
+    scores = [score(r[0]) for r in rows]
+    votes = collections.defaultdict(lambda: [0] * n)
+    for r, s in zip(rows, scores):
+        suffix, domain = parts(r[1])
+        for key in ((), (suffix,), (suffix, domain), (suffix, domain, r[1] or "")):
+            votes[key]  # a host without votes has a prior, too
+            if max(s) > min(s):
+                votes[key][first(s)] += 1
+
+    def prior(key):
+        above = prior(key[:-1]) if key else [1 / n] * n
+        return [(v + language.LENT * a) / (sum(votes[key]) + language.LENT) for v, a in zip(votes[key], above)]
+
+    def says(value, right):
+        return [np.log(right if x == value else (1 - right) / max(n - 1, 1)) for x in names] if value in names else [0.0] * n
+
+    out = []
+    for (_, host, url, declared), s in zip(rows, scores):
+        suffix, domain = parts(host)
+        path = (url or "").split("://", 1)[1].split("/", 1)[1:] if "://" in (url or "") else []
+        segments = [x.split("?")[0].split("#")[0] for x in path[0].split("/")] if path else []
+        near = next((x.lower() for x in segments if len(x) == 2 and x.isalpha()), None)
+        hint = near or (language.SUFFIX_LANGUAGE.get(suffix) if url is not None else None)
+        total = [a + np.log(b) + c + d for a, b, c, d in zip(s, prior((suffix, domain, host or "")), says((declared or "")[:2].lower() or None, language.DECLARED), says(hint, language.HINTED))]
+        powers = [np.exp(x - max(total)) for x in total]
+        post = [x / sum(powers) for x in powers]
+        out.append((names[first(total)], max(post), bool(max(s) > min(s) and max(post) >= language.SURE)))
+    return out
+
+
+def test_fusion_equals_its_formulas(spark):
+    r = random.Random(8)
+    vocabulary = {"de": "der und nicht die das auf mit".split(), "fr": "le et les des en un une".split(), "es": "el y los de que una por".split()}
+    text = lambda k: " ".join(r.choice(vocabulary[k]) for _ in range(r.choice([1, 2, 30])))
+    docs = spark.createDataFrame([(k, text(x), x, "s", 0) for k in range(30) for x in vocabulary], DOC)
+    model = language.fit(docs)
+    hosts = ["a.x.de", "b.x.de", "y.de", "z.fr", "q.org", "host", "", None]
+    rows = [(r.choice([None, "", "123", "ok", text("de"), text("fr"), text("es")]), h, None if r.random() < 0.3 else f"http://{h}/{r.choice(['', 'fr/1', 'ES', 'xx?q', 'page'])}", r.choice([None, "de", "FR-ca", "zz", ""])) for h in hosts for _ in range(9)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows + rows[:5])], "page_id long, text string, host string, url string, declared string").withColumn("scores", F.lit(1)).withColumn("prior", F.lit(2))
+    got = language.identify(df, model, ["page_id", "scores"], url="url", declared="declared").orderBy("page_id").collect()
+    for x, (name, post, accepted) in zip(got, identified_brute(rows + rows[:5], model), strict=True):
+        assert abs(x.posterior - post) < 1e-9 and x.scores == 1
+        assert (x.lang_id, x.accepted) == (name, accepted)
+
+
+def test_every_label_is_a_language(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * k + i, " ".join(alphabet[k % 26] + alphabet[k // 26] + alphabet[(k + j) % 26] for j in range(40)), f"l{k}", "s", 0) for k in range(80) for i in range(2)]
+    df = spark.createDataFrame(rows, DOC)
+    model = language.fit(df)
+    assert model.languages == sorted(f"l{k}" for k in range(80))
+    got = language.identify(df, model, ["doc_id", "lang"], host="source").collect()
+    assert all(x.lang == x.lang_id for x in got)
+    assert language.fit(df.limit(0)).languages == []
+
+
 def test_language_on_odd_rows(spark, odd, none):
     kept = language.keep_identified(odd)
     assert kept.columns == odd.columns and kept.where("text is null or text = ''").isEmpty()
@@ -652,11 +800,7 @@ def test_pipeline_stages(spark, tmp_path):
             want = before.groupBy("text").agg(F.max("doc_id").alias("doc_id"))
             assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in want.collect())
         if name == "near_dedup":
-            rows = before.select("doc_id", "text").collect()
-            prints = [simhash_brute(r.text, 5, [42, 43, 44, 45]) for r in rows]
-            kept = lambda differ: set(brute_components([r.doc_id for r in rows], prints, differ))
-            # All pairs at the typical distance are found; up to the verified radius, most.
-            assert kept(simhash.near_grid(0.8, len(rows)).differ) <= {r.doc_id for r in docs.collect()} <= kept(simhash.radius(0.8, 256))
+            assert sorted(r.doc_id for r in docs.collect()) == similar_brute({r.doc_id: r.text for r in before.collect()})
         if name == "mix_sources":
             want = {r.doc_id: r.times for r in mixing.mix_sizes(before).collect()}
             assert collections.Counter(r.doc_id for r in docs.collect()) == collections.Counter({k: v for k, v in want.items() if v})
