@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, quoted
+from .common import discard, join_skewed, materialise, quoted
 
 LENGTH, K = 400, 200
 WINDOW = LENGTH - K + 1
@@ -258,11 +258,11 @@ def find_repeats(texts: DataFrame) -> DataFrame:
                 cols = [a.view(np.int64), c.view(np.int64), *(k[row] for k in keys), first, span.astype(np.int32), off.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
 
-    # Texts are hashed once; the runs are written, about half as many bytes as the texts have. The exchange by
-    # anchor has groups of any size on one side only, so that a hot anchor's rows can be split.
+    # Texts are hashed once; the runs are written, about half as many bytes as the texts have. Anchors of
+    # very many runs are few, and broadcast.
     every = materialise(long.mapInArrow(members, "a long, c long, k1 long, k2 int, n_bytes long, first long, span int, off int"))
-    groups = every.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1").select("a", "differ")
-    found = materialise(every.join(groups, "a"))
+    groups = every.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1")
+    found = materialise(join_skewed(every, groups, "a", "n", every.count()))
     discard(every)
     alike = found.where("not differ").select(*KEY, "first", (F.col("first") + F.col("span")).alias("last"))
     mixed_groups = found.where("differ")
