@@ -139,15 +139,18 @@ def classes(docs: DataFrame, text: str = "text", huge_chars: int = 1 << 20, piec
 
     again = read.select(F.col(t), size.alias("n_bytes"), *by).join(places, ["h1", "h2", "n_bytes"]).select("class_key", t)
     pieces = again.mapInArrow(cut, "class_key binary, no int, piece string")
-    unlike = pieces.groupBy("class_key", "no").agg((F.min("piece") != F.max("piece")).alias("unlike")).where("unlike").select("class_key").distinct()
+    unlike = materialise(pieces.groupBy("class_key", "no").agg((F.min("piece") != F.max("piece")).alias("unlike")).where("unlike").select("class_key").distinct())
+    keyed = keyed.drop("h1", "h2")
+    if unlike.isEmpty():  # no collision: no exchange by class
+        return keyed
     split = F.when(F.col("unlike"), F.concat("class_key", F.unhex("text_sha256"))).otherwise(F.col("class_key"))
-    return keyed.drop("h1", "h2").join(unlike.withColumn("unlike", F.lit(True)), "class_key", "left").withColumn("class_key", split).drop("unlike")
+    return keyed.join(unlike.withColumn("unlike", F.lit(True)), "class_key", "left").withColumn("class_key", split).drop("unlike")
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, **how) -> DataFrame:
     """One row per text and id: doc_id, n (rows that repeat both), keep_id, group_size, text_sha256."""
     keyed = classes(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), **how)
-    per_id = materialise(keyed.groupBy("class_key", "doc_id").agg(F.count("*").alias("n"), F.first("text_sha256").alias("text_sha256")))
+    per_id = materialise(keyed.groupBy("class_key", "doc_id", "text_sha256").agg(F.count("*").alias("n")))
     groups = per_id.groupBy("class_key").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("ids"))
     return join_skewed(per_id, groups, "class_key", "ids", per_id.count()).drop("class_key")
 
