@@ -809,3 +809,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(v.decode(r.ids) == text[r.doc_id] and len(r.ids) == r.n_pieces for r in docs.collect())
 
 
+
+
+def test_pipeline_of_odd_and_no_rows(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd.drop("__key")), ("none", none)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert (len(rows) == 0) == (name == "none")
+        assert all(r.n_pieces == len(r.ids) > 0 for r in rows)
+    assert mixing.mixed(none).count() == 0
+    kept = exact.drop_duplicates(language.keep_identified(odd))
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in kept.collect()}
