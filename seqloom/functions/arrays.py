@@ -46,12 +46,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    """Null for an empty series."""
+    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
 
 
 def deviation(a: Column) -> Column:
     """Population standard deviation."""
-    return let(F.struct(a.alias("a"), mean(a).alias("m")), lambda v: F.sqrt(F.aggregate(v["a"], F.lit(0.0), lambda s, x: s + (x - v["m"]) * (x - v["m"])) / F.size(v["a"])))
+    return let(F.struct(a.alias("a"), mean(a).alias("m")), lambda v: F.sqrt(F.try_divide(F.aggregate(v["a"], F.lit(0.0), lambda s, x: s + (x - v["m"]) * (x - v["m"])), F.size(v["a"]))))
 
 
 def periodogram(a: Column) -> Column:

@@ -155,6 +155,17 @@ def sliding_windows(df: DataFrame, size: int, stride: int, by=KEY, order: str =
     return each.select(*by, "start", frames.alias("frames"), F.get(frames, F.floor(F.size(frames) / 2).cast("int")).alias("centre_frame"))
 
 
+def overlap_average(frames: DataFrame, probs: DataFrame, size: int, classes: int, by=KEY, pos: str = "pos", digits: int = 6) -> DataFrame:
+    """frames with code, confidence and covered: the mean of the probabilities p of all windows (start, p) of
+    `size` frames that cover a frame, and its first largest class. A track shorter than a window has one, as if
+    filled up with its last frame. Frames that no window covers are class 0 with confidence 0."""
+    each = probs.withColumn(pos, F.explode(F.sequence(F.col("start"), F.col("start") + (size - 1))))
+    means = each.groupBy(*by, F.col(pos).cast("long").alias(pos)).agg(F.array(*[F.round(F.avg(F.get("p", F.lit(c))), digits) for c in range(classes)]).alias("__m"))
+    out = frames.join(means, [*by, pos], "left")
+    code = F.coalesce((F.array_position("__m", F.array_max("__m")) - 1).cast("int"), F.lit(0))
+    return out.withColumn("code", code).withColumn("confidence", F.coalesce(F.array_max("__m"), F.lit(0.0))).withColumn("covered", F.col("__m").isNotNull()).drop("__m")
+
+
 def training_windows(df: DataFrame, size: int, stride: int, purity: float = 0.0, training: bool = False, code: str = "true_code", by=KEY, order: str = ORDER) -> DataFrame:
     """Windows with their majority code (smallest of equals) and its share. In training, impure windows are
     left out, and the step is 1 while a window holds a signal (code > 0). A fold over each track's starts."""

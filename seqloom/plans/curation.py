@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, keys
+from ..functions import arrays, keys, labels
 from ..operators import edits, fusion, rules, sampling, series, tracks
 from .base import Tables, query
 
@@ -57,11 +57,11 @@ def a28_session_counts(t):
     return t.frames.rollup(keys.recording_of(F.col("sequence_id")).alias("session")).agg(F.count("*").alias("n")).withColumn("session", F.coalesce("session", F.lit("TOTAL")))
 
 
-@query("SELECT split_part(sequence_id, '/', 1) AS recording, count(*) FILTER (true_label = 'none') AS none, count(*) FILTER (true_label = 'left') AS \"left\", count(*) FILTER (true_label = 'right') AS \"right\", count(*) FILTER (true_label = 'hazard') AS hazard, count(DISTINCT sequence_id) AS scenarios FROM frames GROUP BY 1", "frames")
+@query("SELECT split_part(sequence_id, '/', 1) AS recording, count(*) FILTER (true_label = 'none') AS none, count(*) FILTER (true_label = 'left') AS \"left\", count(*) FILTER (true_label = 'right') AS \"right\", count(*) FILTER (true_label = 'hazard') AS hazard, count(DISTINCT sequence_id) AS scenarios, count(*) AS total, count(DISTINCT crop_path) AS images FROM frames GROUP BY 1", "frames")
 def a29_annotation_pivot(t):
     f = t.frames.withColumn("recording", keys.recording_of(F.col("sequence_id")))
     n = f.groupBy("recording").pivot("true_label", ["none", "left", "right", "hazard"]).count().na.fill(0)
-    return n.join(f.groupBy("recording").agg(F.count_distinct("sequence_id").alias("scenarios")), "recording")
+    return n.join(f.groupBy("recording").agg(F.count_distinct("sequence_id").alias("scenarios"), F.count("*").alias("total"), F.count_distinct("crop_path").alias("images")), "recording")
 
 
 @query("SELECT min(x2 - x1) AS min_w, max(x2 - x1) AS max_w, round(avg(x2 - x1), 6) AS mean_w, min(y2 - y1) AS min_h, max(y2 - y1) AS max_h, round(avg(y2 - y1), 6) AS mean_h FROM frames", "frames")
@@ -97,11 +97,12 @@ def a34_sequence_shares(t):
     return n.agg(share(F.col("s")).alias("with_signal"), F.percentile("n", 0.25).alias("q1"), F.percentile("n", 0.75).alias("q3"), share(F.col("n") >= 65).alias("long_share"))
 
 
-@query("WITH n AS (SELECT sequence_id, count(*) AS n FROM frames GROUP BY 1) SELECT 'length' AS kind, ((n // 10) * 10)::VARCHAR AS bucket, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'camera', split_part(sequence_id, '/', 2)[:8], count(*) FROM n GROUP BY 2", "frames")
+@query("WITH n AS (SELECT sequence_id, count(*) AS n FROM frames GROUP BY 1), sl AS (SELECT sequence_id, true_label, count(*) AS v, min(frame_id) AS f FROM frames GROUP BY ALL), st AS (SELECT * FROM sl QUALIFY row_number() OVER (PARTITION BY sequence_id ORDER BY v DESC, f) = 1), v AS (SELECT split_part(sequence_id, '/', 1) AS bucket, count(*) AS n FROM n GROUP BY 1 ORDER BY n DESC, bucket LIMIT 10) SELECT 'length' AS kind, ((n // 10) * 10)::VARCHAR AS bucket, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'camera', split_part(sequence_id, '/', 2)[:8], count(*) FROM n GROUP BY 2 UNION ALL SELECT 'label', true_label, count(*) FROM st GROUP BY 2 UNION ALL SELECT 'video', bucket, n FROM v", "frames")
 def a35_curation_histograms(t):
-    n = t.frames.groupBy("sequence_id").agg(F.count("*").alias("n"))
+    n = fusion.sequence_label(t.frames, "true_label").join(lengths(t), KEY)
     h = lambda kind, c: n.groupBy(F.lit(kind).alias("kind"), c.alias("bucket")).agg(F.count("*").alias("n"))
-    return h("length", (F.floor(F.col("n") / 10) * 10).cast("string")).unionByName(h("camera", F.substring(keys.camera_of(F.col("sequence_id")), 1, 8)))
+    video = h("video", keys.recording_of(F.col("sequence_id"))).orderBy(F.desc("n"), "bucket").limit(10)
+    return h("length", (F.floor(F.col("n") / 10) * 10).cast("string")).unionByName(h("camera", F.substring(keys.camera_of(F.col("sequence_id")), 1, 8))).unionByName(h("label", F.col("label"))).unionByName(video)
 
 
 @query("SELECT ground_truth AS label, min(left_activity) AS low, max(left_activity) AS high, median(left_activity) AS median, round(avg(left_activity), 6) AS mean FROM params GROUP BY 1", "params")
@@ -123,6 +124,13 @@ def a38_inference_metrics(t):
     return t.events.groupBy("event_type").agg(F.count("*").alias("calls"), _R6(F.avg((F.col("event_id") % 9 != 0).cast("double"))).alias("parsed"), _R6(F.sum(v) / F.count("*")).alias("per_call"), _R6(F.sum(v) / F.sum(F.col("user_id") % 5 + 1)).alias("per_frame"))
 
 
+def _periodic(source: str) -> str:
+    """SQL for whether series are periodic: source has g (the series), i (places from 0) and v (values)."""
+    return f"""sn AS (SELECT g, count(*) AS n, avg(v) AS m FROM {source} GROUP BY 1), sk AS (SELECT *, unnest(range(1, (n - 1) // 2 + 1)) AS k FROM sn WHERE n >= 4),
+sp AS (SELECT sk.g, sk.n, sk.k, sqrt(pow(sum((x.v - m) * cos(2 * pi() * sk.k * x.i / n)), 2) + pow(sum((x.v - m) * sin(2 * pi() * sk.k * x.i / n)), 2)) AS a FROM sk JOIN {source} x USING (g) GROUP BY ALL),
+per AS (SELECT sn.g, coalesce(max(a) FILTER (k * 10.0 / sp.n BETWEEN 1 AND 2.5) > 2 * avg(a), false) AS is_periodic FROM sn LEFT JOIN sp USING (g) GROUP BY 1)"""
+
+
 def sides(t: Tables) -> DataFrame:
     """Two intensity series for each track."""
     s = F.array_sort(F.collect_list(F.struct("pos", "intensity", "event_id")))
@@ -138,13 +146,31 @@ def a39_series_activity(t):
     return a.select(*KEY, *[F.round(c, 4).alias(c) for c in a.columns[2:]])
 
 
-@query(f"WITH {_SIDES} SELECT sequence_id, track_id, CASE WHEN NOT (ml > 0 AND l > ml * 0.58::DOUBLE) THEN 'none' WHEN greatest(l, r) < 20 THEN 'none' WHEN least(l, r) / greatest(l, r) > 0.7::DOUBLE THEN 'hazard' WHEN l > r THEN 'left' ELSE 'right' END AS label FROM a", "frames")
+def _rule_sql(blinking: str) -> str:
+    why = f"CASE WHEN NOT ({blinking}) THEN 'not blinking' WHEN greatest(l, r) < 20 THEN 'low activity' WHEN least(l, r) / greatest(l, r) > 0.7::DOUBLE THEN 'both sides alike' ELSE 'one side more active' END"
+    return f"WITH {_SIDES}, ser AS (SELECT sequence_id AS g, pos AS i, intensity AS v FROM frames), {_periodic('ser')}, y AS (SELECT *, {why} AS reason FROM a JOIN per ON sequence_id = g) SELECT sequence_id, track_id, CASE reason WHEN 'both sides alike' THEN 'hazard' WHEN 'one side more active' THEN CASE WHEN l > r THEN 'left' ELSE 'right' END ELSE 'none' END AS label, reason, is_periodic FROM y"
+
+
+def _rule(t: Tables, strict: bool) -> DataFrame:
+    f = sides(t).select("*", *rules.activity(F.col("left"), F.col("right")))
+    return rules.classify(f, "left", 20.0, 0.7, variance=0.58, strict=strict).select(*KEY, "label", "reason", "is_periodic")
+
+
+@query(_rule_sql("is_periodic OR (ml > 0 AND l > ml * 0.58::DOUBLE)"), "frames")
 def d01_signal_rule(t):
-    """The rule on whole series; the periodic test is out of reach here by its factor, so that SQL can follow."""
-    s = sides(t)
-    f = s.select("*", *rules.activity(F.col("left"), F.col("right")))
-    blink = (arrays.mean(F.col("left")) > 0) & (arrays.deviation(F.col("left")) > arrays.mean(F.col("left")) * 0.58)
-    return rules.classify(f.withColumn("left", F.when(blink, F.col("left")).otherwise(F.array(F.lit(1.0)))), "left", 20.0, 0.7, variance=0.58).select(*KEY, "label")
+    return _rule(t, False)
+
+
+@query(_rule_sql("is_periodic"), "frames")
+def d01_signal_rule_strict(t):
+    return _rule(t, True)
+
+
+@query(f"WITH ser AS (SELECT sequence_id AS g, pos AS i, intensity AS v FROM frames), {_periodic('ser')}, {_SEQ.split(', pl AS')[0]} SELECT true_label AS label, count(*) AS sequences, round(avg(is_periodic::INT), 6) AS share_periodic FROM st JOIN per ON sequence_id = g GROUP BY 1", "frames")
+def a36_share_periodic(t):
+    p = sides(t).select(*KEY, arrays.periodicity(F.col("left"))["is_periodic"].alias("is_periodic"))
+    n = p.join(fusion.sequence_label(t.frames, "true_label").select(*KEY, "label"), KEY)
+    return n.groupBy("label").agg(F.count("*").alias("sequences"), _R6(F.avg(F.col("is_periodic").cast("int").cast("double"))).alias("share_periodic"))
 
 
 @query("WITH x AS (SELECT *, CASE WHEN greatest(left_activity, right_activity) > 0 THEN least(left_activity, right_activity) / greatest(left_activity, right_activity) ELSE 0 END AS ratio FROM params) SELECT sequence_key, CASE WHEN greatest(left_activity, right_activity) < 5000 THEN 'none' WHEN ratio > 0.6::DOUBLE THEN 'hazard' WHEN left_activity > right_activity THEN 'left' ELSE 'right' END AS label FROM x", "params")
@@ -189,6 +215,16 @@ def a41_failure_cases(t):
     return labelled(t).join(t.frames.select("event_id", "true_label"), "event_id").where("label <> true_label").select("event_id", "model_name", "label", "true_label")
 
 
+@query("WITH m AS (SELECT model_name, count(*) AS n, sum((label = true_label)::INT)::BIGINT AS correct FROM labelled JOIN frames USING (event_id) GROUP BY 1) SELECT *, round(correct / n, 6) AS accuracy, row_number() OVER (ORDER BY correct / n DESC, model_name) AS place FROM m", "labelled")
+def a41_prompt_table(t):
+    """Models (or prompts) by falling accuracy: one row for each, so ranking them takes one task."""
+    from .fusion import labelled
+
+    m = labelled(t).join(t.frames.select("event_id", "true_label"), "event_id").groupBy("model_name").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("true_label")).alias("correct"))
+    share = F.col("correct") / F.col("n")
+    return m.withColumn("accuracy", _R6(share)).withColumn("place", F.row_number().over(Window.orderBy(share.desc(), "model_name")).cast("long"))
+
+
 @query("SELECT sequence_id, track_id, bool_or(true_label IN ('left', 'right')) AS positive, count(*) AS n FROM frames GROUP BY ALL", "frames")
 def a42_positive_sequences(t):
     return t.frames.groupBy(*KEY).agg(F.bool_or(F.col("true_label").isin("left", "right")).alias("positive"), F.count("*").alias("n"))
@@ -240,25 +276,26 @@ def j05_positional_zip(t):
 _IOU = "greatest(least(d.x2, t.x2) - greatest(d.x1, t.x1), 0) * greatest(least(d.y2, t.y2) - greatest(d.y1, t.y1), 0)"
 
 
-@query(f"WITH t AS (SELECT sequence_id, event_id AS trk_id, x1 + event_id % 9 AS x1, y1 + event_id % 5 AS y1, x2 + event_id % 9 AS x2, y2 + event_id % 5 AS y2 FROM frames), p AS (SELECT d.sequence_id, d.event_id AS det_id, trk_id, {_IOU} AS i, (d.x2 - d.x1) * (d.y2 - d.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS s FROM frames d JOIN t USING (sequence_id)), q AS (SELECT *, i::DOUBLE / (s - i) AS iou FROM p) SELECT sequence_id, det_id, trk_id, round(iou, 6) AS iou FROM q WHERE iou >= 0.8 QUALIFY row_number() OVER (PARTITION BY sequence_id, det_id ORDER BY iou DESC, trk_id) = 1", "frames")
+@query(f"WITH f AS (SELECT split_part(sequence_id, '/', 1) AS rec, * FROM frames), t AS (SELECT rec, pos, event_id AS trk_id, x1 + event_id % 9 AS x1, y1 + event_id % 5 AS y1, x2 + event_id % 9 AS x2, y2 + event_id % 5 AS y2 FROM f), p AS (SELECT d.rec, d.pos, d.event_id AS det_id, trk_id, {_IOU} AS i, (d.x2 - d.x1) * (d.y2 - d.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS s FROM f d JOIN t USING (rec, pos)), q AS (SELECT *, i::DOUBLE / (s - i) AS iou FROM p) SELECT rec, pos, det_id, trk_id, round(iou, 6) AS iou FROM q WHERE iou >= 0.8 QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, trk_id) = 1", "frames")
 def j06_best_iou_match(t):
-    e = F.col("event_id")
-    trk = t.frames.select("sequence_id", e.alias("trk_id"), *[(F.col(c) + e % k).alias(c) for c, k in (("x1", 9), ("y1", 5), ("x2", 9), ("y2", 5))])
-    dets = t.frames.select("sequence_id", e.alias("det_id"), "x1", "y1", "x2", "y2")
-    return tracks.best_match(dets, trk, ["sequence_id"]).withColumn("iou", _R6("iou"))
+    """Inside a frame (recording and place in it), the boxes of all its tracks."""
+    e, by = F.col("event_id"), [keys.recording_of(F.col("sequence_id")).alias("rec"), "pos"]
+    trk = t.frames.select(*by, e.alias("trk_id"), *[(F.col(c) + e % k).alias(c) for c, k in (("x1", 9), ("y1", 5), ("x2", 9), ("y2", 5))])
+    dets = t.frames.select(*by, e.alias("det_id"), "x1", "y1", "x2", "y2")
+    return tracks.best_match(dets, trk, ["rec", "pos"]).withColumn("iou", _R6("iou"))
 
 
-@query("WITH a AS (SELECT event_id AS anchor, sequence_id, track_id, frame_id AS af FROM frames WHERE event_id % 40 = 0), w AS (SELECT a.anchor, f.event_id, row_number() OVER (PARTITION BY a.anchor ORDER BY f.frame_id) - 1 AS k FROM a JOIN frames f ON f.sequence_id = a.sequence_id AND f.track_id = a.track_id AND f.frame_id BETWEEN greatest(0, af - 10) AND af + 10) SELECT anchor, event_id FROM w WHERE k % 2 = 0", "frames")
+@query("WITH a AS (SELECT event_id AS anchor, sequence_id, track_id, frame_id AS af FROM frames WHERE event_id IN (SELECT event_id FROM events WHERE event_type = 'signup')), w AS (SELECT a.anchor, f.event_id, row_number() OVER (PARTITION BY a.anchor ORDER BY f.frame_id) - 1 AS k FROM a JOIN frames f ON f.sequence_id = a.sequence_id AND f.track_id = a.track_id AND f.frame_id BETWEEN greatest(0, af - 10) AND af + 10) SELECT anchor, event_id FROM w WHERE k % 2 = 0", "frames")
 def j07_anchor_windows(t):
-    a = t.frames.where("event_id % 40 = 0").select(F.col("event_id").alias("anchor"), *KEY, F.col("frame_id").alias("af"))
+    a = t.frames.join(t.events.where("event_type = 'signup'").select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("anchor"), *KEY, F.col("frame_id").alias("af"))
     f = F.col("frame_id")
     near = t.frames.join(a, KEY).where((f >= F.greatest(F.lit(0), F.col("af") - 10)) & (f <= F.col("af") + 10))
     return series.stride_sample(near, 2, by=("anchor",)).select("anchor", "event_id")
 
 
-@query("SELECT event_id FROM frames WHERE track_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)", "frames")
+@query("SELECT event_id FROM frames WHERE track_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 2500)", "frames")
 def j08_id_set_semi(t):
-    ids = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("track_id"))
+    ids = t.supplier.where("s_acctbal > 2500").select(F.col("s_suppkey").alias("track_id"))
     return t.frames.join(ids, "track_id", "left_semi").select("event_id")
 
 
@@ -403,11 +440,10 @@ def r08_weighted_resample(t):
     return sampling.weighted_resample(f, f.count(), F.col("w"), "event_id").select("draw", "event_id", "true_label")
 
 
-@query()
+@query("WITH m AS (SELECT vec_id, embedding AS e, coalesce(lead(embedding) OVER w, first_value(embedding) OVER w) AS p FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY (vec_id * 7919 + 42) % 1000003, vec_id)) SELECT vec_id, len(e)::INT AS size, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i]::DOUBLE * 0.7::DOUBLE + p[i]::DOUBLE * (1 - 0.7::DOUBLE))), 3) AS total FROM m")
 def r09_mixed_windows(t):
-    e = t.embeddings
-    key, vec = e.columns[0], next(c for c, k in e.dtypes if k.startswith("array"))
-    return sampling.mix_partners(e.withColumn("class", F.pmod(F.col(key), F.lit(10))), ["class"], key, vec).select(key, F.size("mixed").alias("size"), F.round(F.aggregate("mixed", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    mixed = sampling.mix_partners(t.embeddings, ["label"], "vec_id", "embedding")
+    return mixed.select("vec_id", F.size("mixed").alias("size"), F.round(F.aggregate("mixed", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 @query("SELECT count(DISTINCT crop_path) AS crops, count(DISTINCT sequence_id) AS sequences FROM frames", "frames")
@@ -421,12 +457,26 @@ def d13_training_tables(t):
     return f.join(fusion.sequence_label(t.frames, "true_label").select(*KEY, F.col("label").alias("clip_label")), KEY)
 
 
-@query("WITH s AS (SELECT * FROM frames WHERE pos % 2 = 0), k AS (SELECT sequence_id, track_id, pos // 8 AS b, max(intensity) - min(intensity) AS d, arg_max(pos, intensity) AS p FROM s GROUP BY ALL), l AS (SELECT *, CASE WHEN d < 60 THEN 'error' WHEN p % 4 = 0 THEN 'left' ELSE 'right' END AS label FROM k) SELECT sequence_id, track_id, coalesce(min_by(label, b) FILTER (label <> 'error'), 'none') AS track_label FROM l GROUP BY ALL", "frames")
+@query("WITH sl AS (SELECT sequence_id, true_code, count(*) AS v, min(frame_id) AS f FROM frames GROUP BY ALL), st AS (SELECT sequence_id, true_code AS code FROM sl QUALIFY row_number() OVER (PARTITION BY sequence_id ORDER BY v DESC, f) = 1) SELECT crop_path || ' ' || code AS line FROM frames JOIN st USING (sequence_id)", "frames")
+def d13_path_list(t):
+    """A line for each crop: its path and its clip's code."""
+    clip = fusion.sequence_label(t.frames, "true_label").select(*KEY, labels.label_code(F.col("label")).alias("code"))
+    return t.frames.join(clip, KEY).select(F.concat_ws(" ", "crop_path", "code").alias("line"))
+
+
+@query(f"""WITH s AS (SELECT sequence_id, track_id, pos // 8 AS b, row_number() OVER (PARTITION BY sequence_id, pos // 8 ORDER BY pos) - 1 AS i, intensity AS v, intensity * (event_id % 3) AS w FROM frames WHERE pos % 2 = 0),
+ser AS (SELECT sequence_id || '#' || b AS g, i, v FROM s), {_periodic('ser')},
+k AS (SELECT sequence_id, track_id, b, count(*) AS n, stddev_pop(v) AS l, stddev_pop(w) AS r, avg(v) AS ml FROM s GROUP BY ALL),
+y AS (SELECT k.*, CASE WHEN n < 4 THEN 'error' WHEN NOT (is_periodic OR (ml > 0 AND l > ml * 0.58::DOUBLE)) OR greatest(l, r) < 20 THEN 'none' WHEN least(l, r) / greatest(l, r) > 0.7::DOUBLE THEN 'hazard' WHEN l > r THEN 'left' ELSE 'right' END AS label FROM k JOIN per ON g = sequence_id || '#' || b)
+SELECT sequence_id, track_id, coalesce(min_by(label, b) FILTER (label <> 'error'), 'none') AS track_label FROM y GROUP BY ALL""", "frames")
 def d14_auto_labels(t):
-    """Sample, block, rule, back-label, along one partitioning by track."""
+    """Sample, block, rule on each block's series, back-label, along one partitioning by track. A block of under
+    four frames is too short to judge."""
     s = series.stride_sample(t.frames, 2).withColumn("b", F.floor(F.col("pos") / 8))
-    k = s.groupBy(*KEY, "b").agg((F.max("intensity") - F.min("intensity")).alias("d"), F.max_by("pos", "intensity").alias("p"))
-    k = k.withColumn("label", F.when(F.col("d") < 60, "error").when(F.col("p") % 4 == 0, "left").otherwise("right"))
+    k = s.groupBy(*KEY, "b").agg(F.array_sort(F.collect_list(F.struct("pos", "intensity", "event_id"))).alias("s"))
+    k = k.select(*KEY, "b", F.transform("s", lambda x: x["intensity"]).alias("left"), F.transform("s", lambda x: x["intensity"] * (x["event_id"] % 3)).alias("right"))
+    k = rules.classify(k.select("*", *rules.activity(F.col("left"), F.col("right"))), "left", 20.0, 0.7, variance=0.58)
+    k = k.withColumn("label", F.when(F.size("left") < 4, "error").otherwise(F.col("label"))).select(*KEY, "b", "label")
     return series.back_label(k, "b").select(*KEY, "track_label").distinct()
 
 

@@ -57,10 +57,10 @@ def j01_truth_inner(t):
     return fusion.with_truth(labelled(t), truth(t)).select("sequence_id", "frame_id", "model_name", "label", "true_label")
 
 
-@query("SELECT p.sequence_id, p.frame_id, model_name, label, f.true_label FROM labelled p LEFT JOIN (SELECT * FROM frames WHERE pos % 2 = 0) f ON p.sequence_id = f.sequence_id AND p.frame_id = f.frame_id", "labelled")
+@query("SELECT p.sequence_id, p.frame_id, model_name, label, f.true_label FROM labelled p LEFT JOIN (SELECT * FROM frames WHERE true_label <> 'none') f ON p.sequence_id = f.sequence_id AND p.frame_id = f.frame_id", "labelled")
 def j01_truth_left(t):
-    half = t.frames.where("pos % 2 = 0").select("sequence_id", "frame_id", "true_label")
-    return fusion.with_truth(labelled(t), half, how="left").select("sequence_id", "frame_id", "model_name", "label", "true_label")
+    signals = t.frames.where("true_label <> 'none'").select("sequence_id", "frame_id", "true_label")
+    return fusion.with_truth(labelled(t), signals, how="left").select("sequence_id", "frame_id", "model_name", "label", "true_label")
 
 
 _AGREE = """both_ AS (SELECT coalesce(a.sequence_id, b.sequence_id) AS sequence_id, coalesce(a.frame_id, b.frame_id) AS frame_id, a.label AS label_a, a.confidence AS confidence_a, b.label AS label_b, b.confidence AS confidence_b,

@@ -130,12 +130,12 @@ def w14_training_windows_dynamic(t):
     return series.training_windows(t.frames, 10, 3, 0.6, True)
 
 
-_WINDOWS = """s AS (SELECT sequence_id, track_id, count(*) AS n FROM frames GROUP BY ALL), w AS (SELECT *, unnest(range(0, n - 9, 4)) AS start FROM s WHERE n >= 10),
+_WINDOWS = """s AS (SELECT sequence_id, track_id, count(*) AS n FROM frames GROUP BY ALL), w AS (SELECT *, unnest(range(0, greatest(n - 9, 1), 4)) AS start FROM s),
 pr AS (SELECT sequence_id, track_id, start, [((start * 7 + track_id + c * 3) % 10 + 1) / (sum_all) FOR c IN range(4)] AS p FROM (SELECT *, list_sum([((start * 7 + track_id + c * 3) % 10 + 1)::DOUBLE FOR c IN range(4)]) AS sum_all FROM w))"""
 
 
 def _window_probs(t: Tables) -> DataFrame:
-    w = series.sliding_windows(t.frames, 10, 4).where(F.size("frames") == 10).drop("frames", "centre_frame")
+    w = series.sliding_windows(t.frames, 10, 4).drop("frames", "centre_frame")
     raw = F.array(*[((F.col("start") * 7 + F.col("track_id") + c * 3) % 10 + 1).cast("double") for c in range(4)])
     return w.select(*KEY, "start", F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
@@ -143,11 +143,7 @@ def _window_probs(t: Tables) -> DataFrame:
 @query(f"""WITH {_WINDOWS}, e AS (SELECT f.event_id, round(avg(p[1]), 6) AS p0, round(avg(p[2]), 6) AS p1, round(avg(p[3]), 6) AS p2, round(avg(p[4]), 6) AS p3, count(p) > 0 AS covered FROM frames f LEFT JOIN pr ON f.sequence_id = pr.sequence_id AND f.track_id = pr.track_id AND f.pos >= start AND f.pos < start + 10 GROUP BY 1)
 SELECT event_id, CASE WHEN NOT covered THEN 0 WHEN p0 >= greatest(p1, p2, p3) THEN 0 WHEN p1 >= greatest(p2, p3) THEN 1 WHEN p2 >= p3 THEN 2 ELSE 3 END AS code, CASE WHEN covered THEN greatest(p0, p1, p2, p3) ELSE 0 END AS confidence, covered FROM e""", "frames")
 def w15_overlap_average(t):
-    """Frame probabilities as the mean over covering windows; frames not covered are class 0, confidence 0."""
-    each = _window_probs(t).withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("start") + 9)))
-    means = each.groupBy(*KEY, F.col("pos").cast("long").alias("pos")).agg(F.array(*[F.round(F.avg(F.get("p", F.lit(c))), 6) for c in range(4)]).alias("m"))
-    f = t.frames.select(*KEY, "pos", "event_id").join(means, [*KEY, "pos"], "left")
-    return f.select("event_id", F.coalesce((F.array_position("m", F.array_max("m")) - 1).cast("int"), F.lit(0)).alias("code"), F.coalesce(F.array_max("m"), F.lit(0.0)).alias("confidence"), F.col("m").isNotNull().alias("covered"))
+    return series.overlap_average(t.frames.select(*KEY, "pos", "event_id"), _window_probs(t), 10, 4).select("event_id", "code", "confidence", "covered")
 
 
 @query(f"WITH {_WINDOWS} SELECT s.sequence_id, s.track_id, round(coalesce(avg(p[1]), 0.25), 6) AS p0, round(coalesce(avg(p[4]), 0.25), 6) AS p3 FROM s LEFT JOIN pr USING (sequence_id, track_id) GROUP BY ALL", "frames")
@@ -187,11 +183,12 @@ def w20_back_label(t):
 
 def _segment_rows(t: Tables) -> DataFrame:
     """Segments as a model may give them: overlapping, with gaps, beyond the end."""
-    s = t.frames.where("pos % 12 = 5").select(*KEY, "pos", F.col("pos").cast("int").alias("seg_ord"), F.col("true_label").alias("label"))
+    before = F.lag("true_label").over(series.along(order="pos"))
+    s = t.frames.withColumn("before", before).where("not true_label <=> before").select(*KEY, "pos", F.col("pos").cast("int").alias("seg_ord"), F.col("true_label").alias("label"))
     return s.select(*KEY, "seg_ord", "label", (F.col("pos") - 4).cast("int").alias("start_frame"), (F.col("pos") + F.col("track_id") % 14).cast("int").alias("end_frame"))
 
 
-_SEGS = "segs AS (SELECT sequence_id, track_id, pos::INT AS seg_ord, true_label AS label, (pos - 4)::INT AS s, (pos + track_id % 14)::INT AS e FROM frames WHERE pos % 12 = 5)"
+_SEGS = "segs AS (SELECT sequence_id, track_id, pos::INT AS seg_ord, true_label AS label, (pos - 4)::INT AS s, (pos + track_id % 14)::INT AS e FROM (SELECT *, lag(true_label) OVER (PARTITION BY sequence_id, track_id ORDER BY pos) AS before FROM frames) WHERE true_label IS DISTINCT FROM before)"
 
 
 def _segment_lists(t: Tables) -> DataFrame:
@@ -338,7 +335,7 @@ def a21_flag_counts(t):
     return n.crossJoin(F.broadcast(total)).select("flag", "n", F.round(F.col("n") / F.col("total"), 6).alias("rate"))
 
 
-@query(f"WITH {_RUNS}, d AS (SELECT sequence_id, track_id, true_label, count(*) AS n, min(frame_id) AS f FROM frames GROUP BY ALL), b AS (SELECT sequence_id, track_id, true_label AS dominant, n AS top FROM d QUALIFY row_number() OVER (PARTITION BY sequence_id, track_id ORDER BY n DESC, f) = 1), e AS (SELECT sequence_id, track_id, count(DISTINCT run) FILTER (true_label <> 'none') AS events, count(*) AS num_frames, count(*) FILTER (true_label <> 'none') AS signal_frames, count(*) FILTER (true_label = 'left') AS n_left FROM r GROUP BY ALL) SELECT e.*, dominant, round(top / num_frames, 6) AS dominant_share, round(signal_frames / num_frames, 6) AS signal_share FROM e JOIN b USING (sequence_id, track_id)", "frames")
+@query(f"WITH {_RUNS}, d AS (SELECT sequence_id, track_id, true_label, count(*) AS n, min(frame_id) AS f FROM frames GROUP BY ALL), b AS (SELECT sequence_id, track_id, true_label AS dominant, n AS top FROM d QUALIFY row_number() OVER (PARTITION BY sequence_id, track_id ORDER BY n DESC, f) = 1), e AS (SELECT sequence_id, track_id, count(DISTINCT run) FILTER (true_label <> 'none') AS events, count(*) AS num_frames, count(*) FILTER (true_label <> 'none') AS signal_frames, count(*) FILTER (true_label = 'none') AS n_none, count(*) FILTER (true_label = 'left') AS n_left, count(*) FILTER (true_label = 'right') AS n_right, count(*) FILTER (true_label = 'hazard') AS n_hazard FROM r GROUP BY ALL) SELECT e.*, dominant, round(top / num_frames, 6) AS dominant_share, round(signal_frames / num_frames, 6) AS signal_share FROM e JOIN b USING (sequence_id, track_id)", "frames")
 def a23_sequence_summary(t):
     return sequence_summary(t)
 
@@ -350,23 +347,35 @@ def sequence_summary(t: Tables) -> DataFrame:
     r = series.run_ids(f, "label")
     starts = series.along()
     e = r.withColumn("new", (F.col("run") != F.coalesce(F.lag("run").over(starts), F.lit(0))) & (F.col("label") != "none"))
-    e = e.groupBy(*KEY).agg(F.count_if("new").alias("events"), F.count("*").alias("num_frames"), F.count_if(F.col("label") != "none").alias("signal_frames"), F.count_if(F.col("label") == "left").alias("n_left"))
+    e = e.groupBy(*KEY).agg(F.count_if("new").alias("events"), F.count("*").alias("num_frames"), F.count_if(F.col("label") != "none").alias("signal_frames"), *[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in ("none", "left", "right", "hazard")])
     b = fusion.sequence_label(f).select(*KEY, F.col("label").alias("dominant"), F.col("votes").alias("top"))
     out = e.join(b, KEY)
     return out.select(*e.columns, "dominant", F.round(F.col("top") / F.col("num_frames"), 6).alias("dominant_share"), F.round(F.col("signal_frames") / F.col("num_frames"), 6).alias("signal_share"))
 
 
-@query(f"WITH {_RUNS}, d AS (SELECT sequence_id, track_id, true_label, count(*) AS n FROM frames GROUP BY ALL), x AS (SELECT sequence_id, track_id, round(max(n) / sum(n), 6) AS share FROM d GROUP BY ALL), e AS (SELECT count(*) AS total_events, count(DISTINCT track_id) AS with_signal FROM (SELECT DISTINCT track_id, run FROM r WHERE true_label <> 'none')) SELECT total_events, with_signal, round(avg(share), 5) AS mean_share, round(median(share), 5) AS median_share FROM x, e GROUP BY ALL", "frames")
+@query(f"WITH {_RUNS}, d AS (SELECT sequence_id, track_id, true_label, count(*) AS n FROM frames GROUP BY ALL), x AS (SELECT sequence_id, track_id, round(max(n) / sum(n), 6) AS share FROM d GROUP BY ALL), e AS (SELECT count(*) AS total_events, count(DISTINCT track_id) AS with_signal FROM (SELECT DISTINCT track_id, run FROM r WHERE true_label <> 'none')), h AS (SELECT count(*) FILTER (true_label = 'none') AS n_none, count(*) FILTER (true_label = 'left') AS n_left, count(*) FILTER (true_label = 'right') AS n_right, count(*) FILTER (true_label = 'hazard') AS n_hazard FROM frames) SELECT total_events, with_signal, n_none, n_left, n_right, n_hazard, round(avg(share), 5) AS mean_share, round(median(share), 5) AS median_share FROM x, e, h GROUP BY ALL", "frames")
 def a24_dataset_summary(t):
     s = sequence_summary(t)
-    return s.agg(F.sum("events").alias("total_events"), F.count_if(F.col("events") > 0).alias("with_signal"), F.round(F.avg("dominant_share"), 5).alias("mean_share"), F.round(F.median("dominant_share"), 5).alias("median_share"))
+    return s.agg(F.sum("events").alias("total_events"), F.count_if(F.col("events") > 0).alias("with_signal"), *[F.sum(f"n_{x}").alias(f"n_{x}") for x in ("none", "left", "right", "hazard")], F.round(F.avg("dominant_share"), 5).alias("mean_share"), F.round(F.median("dominant_share"), 5).alias("median_share"))
 
 
-@query("SELECT event_id, sequence_id || '__track_' || track_id AS key, label FROM labelled WHERE model_name = 'model_b'", "labelled")
+@query("SELECT f.event_id, f.sequence_id || '__track_' || f.track_id AS key, coalesce(l.label, 'none') AS label, l.label IS NOT NULL AS matched FROM frames f LEFT JOIN labelled l ON l.event_id = f.event_id AND l.model_name = 'model_b'", "labelled")
 def j03_frames_with_predictions(t):
+    """Every original frame; one without a prediction is none."""
     p = labelled(t).where("model_name = 'model_b'").select("sequence_id", "frame_id", "label")
-    f = t.frames.select("sequence_id", "track_id", "frame_id", "event_id")
-    return f.join(p, ["sequence_id", "frame_id"], "left").where("label is not null").select("event_id", F.concat("sequence_id", F.lit("__track_"), "track_id").alias("key"), "label")
+    f = t.frames.select("sequence_id", "track_id", "frame_id", "event_id").join(p, ["sequence_id", "frame_id"], "left")
+    return f.select("event_id", F.concat("sequence_id", F.lit("__track_"), "track_id").alias("key"), F.coalesce("label", F.lit("none")).alias("label"), F.col("label").isNotNull().alias("matched"))
+
+
+@query("""WITH p AS (SELECT f.sequence_id, f.track_id, l.label IS NOT NULL AS direct, bool_or(l.label IS NOT NULL) OVER (PARTITION BY f.sequence_id, f.track_id) AS found FROM frames f LEFT JOIN labelled l ON l.event_id = f.event_id AND l.model_name = 'model_b')
+SELECT count(DISTINCT (sequence_id, track_id)) FILTER (found) AS matched, count(DISTINCT (sequence_id, track_id)) FILTER (NOT found) AS unmatched, count(*) FILTER (direct) AS direct, count(*) FILTER (found AND NOT direct) AS propagated FROM p""", "labelled")
+def j03_match_counts(t):
+    """Tracks with and without predictions, frames with their own and with a propagated label."""
+    p = labelled(t).where("model_name = 'model_b'").select("sequence_id", "frame_id", "label")
+    f = t.frames.select(*KEY, "frame_id").join(p, ["sequence_id", "frame_id"], "left")
+    n = f.groupBy(*KEY).agg(F.count("label").alias("d"), F.count("*").alias("n"))
+    some = F.col("d") > 0
+    return n.agg(F.count_if(some).alias("matched"), F.count_if(~some).alias("unmatched"), F.coalesce(F.sum("d"), F.lit(0)).alias("direct"), F.coalesce(F.sum(F.when(some, F.col("n") - F.col("d"))), F.lit(0)).alias("propagated"))
 
 
 @query("""WITH p AS (SELECT f.event_id, f.sequence_id, f.track_id, f.pos, l.label AS l FROM frames f LEFT JOIN labelled l ON l.event_id = f.event_id AND l.model_name = 'model_b')

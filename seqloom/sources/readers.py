@@ -88,10 +88,11 @@ def read_any_predictions(spark: SparkSession, run_dir: str, model: str) -> DataF
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """True labels from a column label or true_label; the last of repeated frames counts."""
+    """True labels from a column label or true_label; the last of repeated frames counts: files by name, rows by
+    their place in them."""
     raw = spark.read.option("header", True).csv(path)
     name = next(c for c in ("label", "true_label") if c in raw.columns)
-    rows = raw.select("sequence_id", F.col("frame_id").cast("long").alias("frame_id"), harmonize_label(F.col(name)).alias("true_label"), F.monotonically_increasing_id().alias("__line"))
+    rows = raw.select("sequence_id", F.col("frame_id").cast("long").alias("frame_id"), harmonize_label(F.col(name)).alias("true_label"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__line"))
     return first_per(rows, ("sequence_id", "frame_id"), F.desc("__line")).drop("__line")
 
 
@@ -181,6 +182,14 @@ def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("run_dir", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1))
 
 
+def compare_runs(evaluations: DataFrame, models: DataFrame, key: str = "run_dir") -> DataFrame:
+    """Evaluation and model metrics of runs side by side, by the folder they are in; a run that has one kind
+    only has nulls for the other, and columns of both are told apart by prefix."""
+    e = evaluations.select(key, *[F.col(f"`{c}`").alias(f"eval_{c}") for c in evaluations.columns if c != key])
+    m = models.select(key, *[F.col(f"`{c}`").alias(f"model_{c}") for c in models.columns if c != key])
+    return e.join(m, key, "full")
+
+
 def read_parts(spark: SparkSession, glob: str) -> DataFrame:
     """Checkpoint parts as one table, with the part each row came from; parts sort by name."""
     return spark.read.option("header", True).csv(glob).withColumn("part", _stem())

@@ -47,12 +47,17 @@ def write_review_queue(flagged: DataFrame, path: str, key: str = "sequence_key")
 
 
 def write_list(df: DataFrame, column: str, path: str) -> None:
-    """The distinct values of a column, one per line."""
-    df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().write.mode("overwrite").text(path)
+    """The distinct values of a column, one per line, in `path`/list, and their counts in `path`/counts."""
+    values = df.select(F.col(column).cast("string").alias("value"))
+    values.where("value is not null").distinct().write.mode("overwrite").text(f"{path}/list")
+    values.agg(F.count("*").alias("rows"), F.count("value").alias("values"), F.count_distinct("value").alias("distinct")).write.mode("overwrite").json(f"{path}/counts")
 
 
 def write_agreement(both: DataFrame, path: str) -> None:
-    """Agreed predictions, disagreed frames and the report, side by side."""
+    """Agreed predictions, disagreed frames, the report, and metadata (numbers of frames by status and of
+    sequences), side by side."""
+    status = lambda x: F.count_if(F.col("status") == x).alias(x)
+    both.agg(F.count("*").alias("frames"), F.count_distinct("sequence_id").alias("sequences"), *map(status, ("agreed", "disagreed", "only_in_a", "only_in_b"))).write.mode("overwrite").json(f"{path}/metadata")
     both.where("status = 'agreed'").select("sequence_id", "frame_id", "label", "confidence").write.mode("overwrite").option("header", True).csv(f"{path}/predictions")
     both.where("status = 'disagreed'").drop("label", "confidence", "status").write.mode("overwrite").option("header", True).csv(f"{path}/disagreed")
     agreement_report(both).write.mode("overwrite").json(f"{path}/report")

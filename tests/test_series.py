@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqloom.operators import metrics, postprocess, sampling, segments, series
@@ -207,3 +208,25 @@ def test_weighted_draws_follow_weights(spark):
     d = sampling.weighted_resample(df, 5000, F.col("w"), "id")
     assert d.count() == 5000
     assert abs(d.where("id < 20").count() / 5000 - 0.5) < 0.05
+
+
+def test_windows_of_short_tracks_average_all_their_frames(spark):
+    frames = spark.createDataFrame([("a", 1, 2 * k, k) for k in range(3)] + [("b", 2, 2 * k, k) for k in range(9)], "sequence_id string, track_id long, frame_id long, pos long")
+    starts = series.sliding_windows(frames, 4, 3).select("sequence_id", "track_id", "start")
+    probs = starts.withColumn("p", F.when(F.col("start") == 0, F.array(F.lit(0.2), F.lit(0.8))).otherwise(F.array(F.lit(1.0), F.lit(0.0))))
+    got = {(r.sequence_id, r.pos): (r.code, r.confidence, r.covered) for r in series.overlap_average(frames, probs, 4, 2).collect()}
+    assert all(got["a", k] == (1, 0.8, True) for k in range(3))
+    assert [got["b", k] for k in range(9)] == [(1, 0.8, True)] * 3 + [(0, 0.6, True)] + [(0, 1.0, True)] * 3 + [(0, 0.0, False)] * 2
+
+
+def test_arrays_of_short_series(spark):
+    from seqloom.functions import arrays
+
+    df = spark.createDataFrame([(k, [float(x % 2) for x in range(k)]) for k in range(6)], "k int, a array<double>")
+    got = df.select("k", arrays.periodogram(F.col("a")).alias("p"), arrays.periodicity(F.col("a"), 4.0).alias("x"), arrays.mean(F.col("a")).alias("m"), arrays.deviation(F.col("a")).alias("d")).collect()
+    for r in got:
+        a = np.array([float(x % 2) for x in range(r.k)])
+        want = np.abs(np.fft.rfft(a - a.mean()))[1 : (r.k - 1) // 2 + 1] if r.k >= 3 else []
+        assert np.allclose(r.p, want)
+        assert (r.m, r.d) == (None, None) if not r.k else np.allclose((r.m, r.d), (a.mean(), a.std()))
+        assert r.k >= 4 or not r.x.is_periodic

@@ -83,10 +83,13 @@ def test_sinks_read_back(spark, tmp_path):
     sinks.write_coco(p, str(tmp_path / "coco"))
     assert sorted(x.category_id for x in spark.read.json(str(tmp_path / "coco")).first().annotations) == [0, 1]
     sinks.write_list(p, "label", str(tmp_path / "list"))
-    assert spark.read.text(str(tmp_path / "list")).count() == 2
+    assert spark.read.text(str(tmp_path / "list" / "list")).count() == 2
+    assert spark.read.json(str(tmp_path / "list" / "counts")).first().distinct == 2
     a = p.select(F.lit("s").alias("sequence_id"), "frame_id", "label", "confidence")
     sinks.write_agreement(fusion.agreement(a, a), str(tmp_path / "agree"))
     assert spark.read.json(str(tmp_path / "agree/report")).first().agreed == 2
+    meta = spark.read.json(str(tmp_path / "agree/metadata")).first()
+    assert (meta.frames, meta.agreed, meta.disagreed, meta.sequences) == (2, 2, 0, 1)
 
 
 def test_parts_and_metrics(spark, tmp_path):
@@ -97,6 +100,16 @@ def test_parts_and_metrics(spark, tmp_path):
     (tmp_path / "m" / "r1" / "eval.json").write_text(json.dumps({"model": "a", "accuracy": 0.5, "frame_metrics": {"accuracy": 0.6, "macro_f1": 0.4}}))
     r = readers.read_run_metrics(spark, str(tmp_path / "m")).first()
     assert r.frame_metrics.macro_f1 == 0.4 and r.run_dir.endswith("r1")
+    runs = readers.read_run_metrics(spark, str(tmp_path / "m")).select("run_dir", "accuracy")
+    other = spark.createDataFrame([(r.run_dir, 0.7), ("elsewhere", 0.1)], "run_dir string, accuracy double")
+    got = {x.run_dir: (x.eval_accuracy, x.model_accuracy) for x in readers.compare_runs(runs, other).collect()}
+    assert got == {r.run_dir: (0.5, 0.7), "elsewhere": (None, 0.1)}
+
+
+def test_hand_annotations(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"image": "x.jpg", "turn_signal": "left"}, {"image": "y.jpg", "tail_light": "on", "more": 1}]))
+    got = readers.read_annotations(spark, str(tmp_path / "a.json")).orderBy("image").collect()
+    assert [tuple(x) for x in got] == [("x.jpg", "left", None), ("y.jpg", None, "on")]
 
 
 def image_rows(spark):
