@@ -49,16 +49,23 @@ def light_on(turn: Column, tail: Column) -> Column:
     return (F.lower(turn).isin("left", "right", "both", "hazard") | (F.lower(tail) == "on")).cast("int")
 
 
+#: What an answer's JSON object looks like, in which order labels are looked for in other text, and
+#: the words for a single image.
+ANSWER = r'(?s)\{[^{}]*"label"[^{}]*\}'
+NAMED = ("left", "right", "hazard", "both", "none")
+SINGLE = ("single", "single_image", "image", "single-image")
+
+
 def parse_answer(c: Column, labels: tuple[str, ...] = LABELS) -> Column:
     """(label, reasoning, parsed) of a model's answer: the first flat JSON object with a label, else the
     first label named in the text (left, right, hazard, both, none), else none and "Parse failed"."""
-    found = F.regexp_extract(c, r'(?s)\{[^{}]*"label"[^{}]*\}', 0)
+    found = F.regexp_extract(c, ANSWER, 0)
     fields = F.from_json(found, "label string, reasoning string")
     label = F.lower(F.coalesce(fields["label"], F.lit("none")))
     label = F.when(label == "both", "hazard").when(label.isin(*labels), label).otherwise("none")
     readable = (found != "") & F.try_parse_json(found).isNotNull()
     text, named = F.lower(c), None
-    for name in ("left", "right", "hazard", "both", "none"):
+    for name in NAMED:
         hit = F.lit("hazard" if name == "both" else name)
         named = F.when(text.contains(name), hit) if named is None else named.when(text.contains(name), hit)
     return F.struct(
@@ -93,7 +100,7 @@ def phrase_labels(phrases: Column) -> Column:
 def inference_mode(explicit: Column, model: Column, path: Column) -> Column:
     """video, single or unknown: as stated, else from the model's name, else from the path."""
     said = F.lower(F.trim(explicit))
-    out = F.when(said == "video", "video").when(said.isin("single", "single_image", "image", "single-image"), "single")
+    out = F.when(said == "video", "video").when(said.isin(*SINGLE), "single")
     for c in (model, path):
         low = F.lower(c)
         out = out.when(low.contains("video"), "video").when(low.contains("single") | low.contains("image"), "single")
