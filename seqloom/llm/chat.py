@@ -17,6 +17,8 @@ from .common import quoted
 
 ROLE, TEXT, TURN, END = "<|role|>", "<|text|>", "<|turn|>", "<|end|>"
 ASSISTANT = "assistant"
+#: Turns that one fold goes over.
+BLOCK = 256
 _STATE = "struct<role:string,pos:bigint,parts:array<string>,spans:array<struct<start:bigint,length:bigint>>>"
 
 
@@ -33,7 +35,9 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     text of the role `learn`, as it stands in formatted).
 
     Rows are ordered by turn (null first), ties by role and text. Null texts and roles count as empty.
-    Rows with a null conv_id are one conversation. An empty table gives an empty result.
+    Rows with a null conv_id are one conversation; repeated rows are turns of their own. Extra columns are
+    ignored. An empty table gives an empty result. A conversation is one row of the result and is put together
+    by one task, in time that grows with its turns.
     """
     turns = F.array_sort(F.collect_list(F.struct(quoted(turn).isNotNull().alias("has"), quoted(turn).alias("turn"), F.coalesce(quoted(role), F.lit("")).alias("role"), F.coalesce(quoted(text), F.lit("")).alias("text"))))
     # Two turns that compare equal are alike in all columns; null turns are told apart by `has`.
@@ -53,9 +57,19 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
             F.when(t["role"] == learn, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
         )
 
-    empty = F.struct(F.lit(None).cast("string").alias("role"), F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("parts"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")).cast(_STATE)
-    folded = pieces.select("conv_id", F.aggregate("turns", empty, merge).alias("s"))
-    return folded.select("conv_id", F.concat(F.array_join("s.parts", ""), F.lit(END)).alias("formatted"), F.col("s.spans").alias("loss_spans"))
+    # Blocks of turns are folded apart, so that arrays are copied as they grow only inside a block.
+    def folded(first: Column) -> Column:
+        before = F.get("turns", first - 1)["role"]
+        empty = F.struct(before.alias("role"), F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("parts"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")).cast(_STATE)
+        state = lambda s: F.struct(s["pos"].alias("pos"), F.array_join(s["parts"], "").alias("text"), s["spans"].alias("spans"))
+        return F.aggregate(F.slice("turns", first + 1, BLOCK), empty, merge, state)
+
+    blocks = pieces.select("conv_id", F.transform(F.sequence(F.lit(0), F.size("turns") - 1, F.lit(BLOCK)), folded).alias("blocks"))
+    ends = F.aggregate("blocks", F.array(F.lit(0).cast("bigint")), lambda at, b: F.concat(at, F.array(F.element_at(at, -1) + b["pos"])))
+    starts = F.slice(ends, F.lit(1), F.size("blocks"))
+    moved = F.zip_with("blocks", starts, lambda b, at: F.transform(b["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length"))))
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "")
+    return blocks.select("conv_id", F.concat(text, F.lit(END)).alias("formatted"), F.flatten(moved).alias("loss_spans"))
 
 
 def parse_chats(formatted: Column) -> Column:
@@ -73,8 +87,17 @@ def parse_chats(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, in order, nothing between. A substring is counted off from the
+    start of its string: a part is cut out for each block of spans, and spans from their part."""
+
+    def part(first: Column) -> Column:
+        some = F.slice(spans, first + 1, BLOCK)
+        start, last = F.get(some, F.lit(0))["start"], F.get(some, F.size(some) - 1)
+        return F.struct(some.alias("spans"), start.alias("start"), F.substring(formatted, (start + 1).cast("int"), (last["start"] + last["length"] - start).cast("int")).alias("text"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(spans) - 1, F.lit(0)), F.lit(BLOCK)), part)
+    cut = lambda p: F.transform(p["spans"], lambda s: unescaped(F.substring(p["text"], (s["start"] - p["start"] + 1).cast("int"), s["length"].cast("int"))))
+    return F.array_join(F.flatten(F.transform(parts, cut)), "")
 
 
 def digest(chats: DataFrame) -> DataFrame:
