@@ -60,8 +60,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
     """goals with base (whole copies) and threshold: documents whose hash is under it are taken once more.
 
-    docs has source, size, hash. The extra copies are the longest run of documents, by rising hash, whose
-    words fit in target - base * source_size.
+    docs has source, size, hash. The extra copies are the run of documents, by rising hash, whose words come
+    nearest to target - base * source_size: the first document that does not fit is taken too if more than
+    half of it fits, so a source misses its target by half of that document at most.
     """
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = goals.withColumn("base", base).withColumn("prefix", F.lit(0).cast("long"))
@@ -77,23 +78,27 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
         sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
         running = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
         # The first bucket that does not fit as a whole; one past the last if all fit.
-        over = sums.withColumn("upto", running).select(F.col("source").alias("s"), "bucket", "size", "upto")
+        over = sums.withColumn("upto", running).select(F.col("source").alias("s"), "bucket", F.col("size").alias("bucket_size"), "upto")
         found = (
             state.join(over, F.col("source").eqNullSafe(F.col("s")), "left")
             .groupBy(*state.columns)
             .agg(
-                F.min(F.when(F.col("upto") > F.col("room"), F.col("bucket"))).alias("at"),
+                F.min(F.when(F.col("upto") > F.col("room"), F.struct("bucket", "bucket_size"))).alias("at"),
                 F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))).alias("used"),
             )
         )
         full = F.shiftleft(F.col("prefix"), BITS) + (1 << BITS)
-        state = materialise(
+        found = (
             found.withColumn("room", F.col("room") - F.coalesce("used", F.lit(0)))
-            .withColumn("prefix", F.coalesce("at", full))
+            .withColumn("prefix", F.coalesce("at.bucket", full))
+            .withColumn("next", F.col("at.bucket_size"))
             .drop("at", "used")
         )
+        state = materialise(found if level == LEVELS - 1 else found.drop("next"))
         # Where all buckets fitted, the prefix is past the range: later levels find no rows and keep it so.
-    return state.withColumn("threshold", F.col("prefix")).drop("prefix", "room")
+    # The last bucket is one hash: `next` is the size of the document that no longer fits.
+    nearer = F.coalesce(2 * F.col("room") > F.col("next"), F.lit(False)).cast("long")
+    return state.withColumn("threshold", F.col("prefix") + nearer).drop("prefix", "room", "next")
 
 
 def mix_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:

@@ -100,10 +100,11 @@ t AS (
 x AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS base FROM t),
 r AS (
   SELECT d.*, x.source_size, x.target, x.base,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto,
+         sum(d.size) OVER (PARTITION BY d.source, d.h) AS alike
   FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, size, source_size, target,
-       (size * least(3, base + CASE WHEN upto <= target - base * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * least(3, base + CASE WHEN upto <= target - base * source_size OR 2 * (target - base * source_size - (upto - alike)) > alike THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -138,6 +138,12 @@ def test_chat_round_trip(spark):
         merged = 1 + sum(a[0] != b[0] for a, b in zip(turns, turns[1:]))
         assert r.formatted.count(chat.END) == merged
     assert chat.format_chats(df.limit(0)).count() == 0
+    long = [(0, i, "assistant" if i % 3 else "user", f"<{i}>é") for i in range(4 * chat.BLOCK + 1)] + [(1, i, "assistant", "[x" * (i % 5)) for i in range(2 * chat.BLOCK)]
+    for r in chat.format_chats(spark.createDataFrame(long, df.drop("pos").schema)).withColumn("turns", chat.parse_chats(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect():
+        turns = [(role, text) for conv, _, role, text in long if conv == r.conv_id]
+        assert [tuple(x) for x in r.turns] == turns and r.loss == "".join(text for role, text in turns if role == "assistant")
+        assert r.formatted.count(chat.END) == (1 if r.conv_id else 1 + sum(a[0] != b[0] for a, b in zip(turns, turns[1:])))
+        assert all(r.formatted[s : s + n].replace("\\", "") in {text for _, text in turns} for s, n in r.loss_spans)
     nulls = spark.createDataFrame([(None, None, "user", "x"), (None, 1, "user", "y"), (None, None, "user", "x")], df.drop("pos").schema)
     assert chat.digest(chat.format_chats(nulls)).first().n_turns == 3
 
@@ -380,12 +386,50 @@ def test_mixing_comes_near_its_targets(spark):
     for r in got:
         by[r.source].append(r)
     for rows in by.values():
-        assert 0 <= rows[0].target - sum(r.taken for r in rows) <= max(r["size"] for r in rows)
+        assert abs(rows[0].target - sum(r.taken for r in rows)) <= max(r["size"] for r in rows) / 2
     again = mixing.mixed(df)
     assert again.count() == sum(r.times for r in got)
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_sizes(df).collect()))
 
 
+@pytest.mark.parametrize("giant", [400, 3000, 20000])
+def test_one_giant_text_does_not_empty_its_source(spark, giant):
+    rows = [(k, words(20), "en", "giant" if k % 2 else "plain", 0) for k in range(400)] + [(1001, "w " * giant, "en", "giant", 0)]
+    got = mixing.mix_sizes(spark.createDataFrame(rows, DOC)).collect()
+    want = mixing_brute([(r.doc_id, r.source, r["size"]) for r in got])
+    assert {r.doc_id: r.taken for r in got} == want
+    for source in ("giant", "plain"):
+        mine = [r for r in got if r.source == source]
+        assert abs(mine[0].target - sum(r.taken for r in mine)) <= max(r["size"] for r in mine) / 2
+
+
+def mixing_brute(rows):
+    """Taken words by document: targets by repeated sharing, then document after document by rising hash."""
+    size, weight = collections.Counter(), {}
+    for _, source, n in rows:
+        size[source] += n
+    for k, source in enumerate(sorted(size)):
+        weight[source] = (1, 2, 3)[k % 3]
+    target, full = {}, set()
+    while True:
+        rest = sum(size.values()) - sum(3 * size[s] for s in full)
+        target = {s: 3.0 * size[s] if s in full else rest * weight[s] / sum(weight[x] for x in size if x not in full) for s in size}
+        over = {s for s in size if s not in full and target[s] > 3 * size[s]}
+        if not over:
+            break
+        full |= over
+    taken = {}
+    for source in size:
+        base = int(target[source] // size[source])
+        room, going = target[source] - base * size[source], True
+        for doc, n in sorted(((d, n) for d, s, n in rows if s == source), key=lambda x: int(hashlib.md5(str(x[0]).encode()).hexdigest()[:15], 16)):
+            fits = going and (n <= room or 2 * room > n)
+            going = going and n <= room
+            room -= n if going else 0
+            taken[doc] = n * min(3, base + fits)
+    return taken
+
+
 # 6
 
 
