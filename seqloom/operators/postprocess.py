@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sampling, series
@@ -24,5 +24,6 @@ def chain(df: DataFrame, window: int = 5, least: int = 3, most: int = 50, label:
 
 def review_sample(df: DataFrame, rate: float, by=("sequence_id", "track_id"), label: str = "label", key: str = "frame_id", n_labels: int = 4) -> DataFrame:
     """A stratified review sample: of each track and label max(1, int(n * rate) // labels) frames."""
-    quota = F.greatest(F.lit(1), F.floor(F.floor(F.count("*").over(sampling.group(*by)) * rate) / n_labels))
-    return sampling.take(df, [*by, label], quota, key)
+    quota = F.greatest(F.lit(1), F.floor(F.floor(F.count("*").over(Window.partitionBy(*by)) * rate) / n_labels))
+    place = F.row_number().over(Window.partitionBy(*by, label).orderBy(sampling.order_hash(key), key))
+    return df.withColumn("__q", quota).withColumn("__r", place).where("__r <= __q").drop("__q", "__r")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from . import metrics
+from .sampling import numbered
 
 
 def activity(left: Column, right: Column) -> list[Column]:
@@ -70,9 +71,7 @@ def topsis(df: DataFrame, criteria: dict[str, tuple[float, bool]]) -> DataFrame:
 def topsis_sensitivity(df: DataFrame, key: str, criteria: dict[str, tuple[float, bool]], by: float = 0.2) -> DataFrame:
     """Rank correlation (Spearman) with the base ranking when one weight changes by +-by and all are scaled to
     sum to 1: criterion, change, spearman, top_changed."""
-    from pyspark.sql import Window
-
-    ranked = lambda d, name: d.select(key, F.row_number().over(Window.orderBy(F.desc("closeness"), key)).alias(name))
+    ranked = lambda d, name: numbered(d.select(key, (-F.col("closeness")).alias("__far")), "__far", name, key).drop("__far")
     base, out = ranked(topsis(df, criteria), "r0"), None
     for c in criteria:
         for m in (1 - by, 1 + by):

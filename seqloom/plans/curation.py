@@ -236,7 +236,15 @@ def a43_topsis(t):
     return rules.topsis(m, {"a": (0.6, True), "b": (0.4, False)}).select("run_id", "closeness")
 
 
-@query()
+@query("""WITH m AS (SELECT s_suppkey AS k, s_acctbal::DOUBLE AS a, (s_suppkey * 37 % 100 + 1)::DOUBLE AS b FROM supplier),
+g AS (SELECT criterion, change::DOUBLE AS change, wa::DOUBLE / (wa + wb)::DOUBLE AS xa, wb::DOUBLE / (wa + wb)::DOUBLE AS xb
+  FROM (VALUES ('', 0, 0.6, 0.4), ('a', -0.2, 0.48, 0.4), ('a', 0.2, 0.72, 0.4), ('b', -0.2, 0.6, 0.32), ('b', 0.2, 0.6, 0.48)) t(criterion, change, wa, wb)),
+v AS (SELECT criterion, change, k, a / sqrt(sum(a * a) OVER w) * xa AS a, b / sqrt(sum(b * b) OVER w) * xb AS b FROM m CROSS JOIN g WINDOW w AS (PARTITION BY criterion, change)),
+e AS (SELECT *, max(a) OVER w AS pa, min(a) OVER w AS wa, min(b) OVER w AS pb, max(b) OVER w AS wb FROM v WINDOW w AS (PARTITION BY criterion, change)),
+d AS (SELECT criterion, change, k, sqrt((a - pa) ** 2 + (b - pb) ** 2) AS p, sqrt((a - wa) ** 2 + (b - wb) ** 2) AS w FROM e),
+r AS (SELECT criterion, change, k, row_number() OVER (PARTITION BY criterion, change ORDER BY round(w / (p + w), 6) DESC, k) AS r FROM d)
+SELECT y.criterion, y.change, round(corr(x.r, y.r), 6) AS spearman, arg_min(x.k, x.r) <> arg_min(y.k, y.r) AS top_changed
+FROM r x JOIN r y USING (k) WHERE x.criterion = '' AND y.criterion <> '' GROUP BY y.criterion, y.change""")
 def a43_topsis_sensitivity(t):
     m = t.supplier.select(F.col("s_suppkey").alias("run_id"), F.col("s_acctbal").cast("double").alias("a"), (F.col("s_suppkey") * 37 % 100 + 1).cast("double").alias("b"))
     return rules.topsis_sensitivity(m, "run_id", {"a": (0.6, True), "b": (0.4, False)})
@@ -264,13 +272,9 @@ def j04_crops_to_detections(t):
 
 @query("SELECT o_orderkey AS a, event_id AS b FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) JOIN (SELECT *, row_number() OVER (ORDER BY event_id) AS k FROM events) USING (k)")
 def j05_positional_zip(t):
-    """Rows of two tables paired by place. Places are numbered by zipWithIndex over sorted rows, not by a
-    window over the whole table."""
-    def numbered(df: DataFrame, c: str, name: str) -> DataFrame:
-        rows = df.select(c).orderBy(c).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-        return t.spark.createDataFrame(rows, f"k long, {name} long")
-
-    return numbered(t.orders, "o_orderkey", "a").join(numbered(t.events, "event_id", "b"), "k").select("a", "b")
+    """Rows of two tables paired by place."""
+    placed = lambda df, c, name: sampling.numbered(df.select(F.col(c).alias(name)), name, "k")
+    return placed(t.orders, "o_orderkey", "a").join(placed(t.events, "event_id", "b"), "k").select("a", "b")
 
 
 _IOU = "greatest(least(d.x2, t.x2) - greatest(d.x1, t.x1), 0) * greatest(least(d.y2, t.y2) - greatest(d.y1, t.y1), 0)"
@@ -482,8 +486,8 @@ def d14_auto_labels(t):
 
 @query()
 def d08_linked_boxes(t):
-    """Tracker over detections of each recording: tests hold its guarantees."""
-    d = t.frames.select(keys.recording_of(F.col("sequence_id")).alias("sequence"), F.col("pos").alias("frame_id"), F.col("event_id").alias("det_id"), "score", "x1", "y1", "x2", "y2")
+    """Tracker over each sequence's detections: tests hold its guarantees."""
+    d = t.frames.select(F.col("sequence_id").alias("sequence"), F.col("pos").alias("frame_id"), F.col("event_id").alias("det_id"), "score", "x1", "y1", "x2", "y2")
     return tracks.link_boxes(d, confirm=1)
 
 

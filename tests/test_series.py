@@ -230,3 +230,48 @@ def test_arrays_of_short_series(spark):
         assert np.allclose(r.p, want)
         assert (r.m, r.d) == (None, None) if not r.k else np.allclose((r.m, r.d), (a.mean(), a.std()))
         assert r.k >= 4 or not r.x.is_periodic
+
+
+def test_ranks_by_parts_equal_a_window(spark):
+    rows = [(k, None if k % 7 == 0 else "ab"[k % 3 == 0], float(k % 50)) for k in range(3000)] + [(None, "a", 0.5), (None, "a", 0.5), (11, "b", 1.0)]
+    df = spark.createDataFrame(rows, "key long, label string, x double")
+    order = lambda k: (k is not None, ((k or 0) * sampling.MULT + 42) % sampling.PRIME)
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    kept = sampling.take(df, ["label"], 10, "key")
+    assert kept.columns == df.columns
+    want = [r for g in by.values() for r in sorted(g, key=lambda r: order(r[0]))[:10]]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+    split = sampling.stratified_split(df, 0.25, "label", "key").groupBy("label").agg(F.count_if(F.col("split") == "val").alias("v"), F.count("*").alias("n")).collect()
+    assert all(r.v == r.n // 4 and r.n == len(by[r.label]) for r in split)
+    none = df.limit(0)
+    assert sampling.take(none, ["label"], 3, "key").count() == sampling.stratified_split(none, 0.2, "label", "key").count() == 0
+
+
+@pytest.mark.parametrize("parts", [4, 64])
+def test_rows_are_numbered_by_ranges(spark, parts):
+    df = spark.createDataFrame([(float(k % 5) if k % 2 else k / 7, k) for k in range(500)] + [(None, -1)], "x double, k long")
+    got = sampling.numbered(df, "x", "n", "k", parts=parts).collect()
+    want = sorted(((r.x is not None, r.x or 0, r.k) for r in got))
+    assert [(r.x is not None, r.x or 0, r.k) for r in sorted(got, key=lambda r: r.n)] == want
+    assert sorted(r.n for r in got) == list(range(1, 502))
+    assert sampling.numbered(df.limit(0), "x", "n").count() == 0
+
+
+def test_partners_are_next_in_hash_order(spark):
+    rows = [(k, "ab"[k % 5 == 0], [float(k)]) for k in range(400)] + [(1000, "c", [7.0])]
+    got = {r.key: r.mixed[0] for r in sampling.mix_partners(spark.createDataFrame(rows, "key long, label string, v array<double>"), ["label"], "key", "v").collect()}
+    for label in "abc":
+        ring = sorted((r for r in rows if r[1] == label), key=lambda r: (r[0] * sampling.MULT + 42) % sampling.PRIME)
+        for r, mate in zip(ring, ring[1:] + ring[:1]):
+            assert abs(got[r[0]] - (0.7 * r[2][0] + 0.3 * mate[2][0])) < 1e-9
+
+
+def test_draws_fall_on_rows_of_any_weight(spark):
+    df = spark.createDataFrame([(k, 0.0 if k % 4 == 0 else 10000.0 if k == 5 else 1e-6 if k % 4 == 1 else 1.0) for k in range(4000)], "key long, w double")
+    got = sampling.weighted_resample(df, 5000, F.col("w"), "key")
+    assert got.columns == ["draw", "key", "w"] and got.count() == got.select("draw").distinct().count() == 5000
+    shares = {r.key: r["count"] for r in got.groupBy("key").count().collect()}
+    assert all(k % 4 for k in shares) and abs(shares[5] / 5000 - 10000 / 12000) < 0.03
+    assert sampling.weighted_resample(df.withColumn("w", F.lit(0.0)), 10, F.col("w"), "key").count() == 0
