@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_skewed, materialise, quoted
+from .common import LARGE, discard, join_skewed, materialise, quoted
 
 LENGTH, K = 400, 200
 WINDOW = LENGTH - K + 1
@@ -262,16 +262,18 @@ def find_repeats(texts: DataFrame) -> DataFrame:
     # very many runs are few, and broadcast.
     every = materialise(long.mapInArrow(members, "a long, c long, k1 long, k2 int, n_bytes long, first long, span int, off int"))
     groups = every.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1")
-    found = materialise(join_skewed(every, groups, "a", "n", every.count()))
+    total = every.count()
+    found = materialise(join_skewed(every, groups, "a", "n", total)).drop("n")
     discard(every)
     alike = found.where("not differ").select(*KEY, "first", (F.col("first") + F.col("span")).alias("last"))
     mixed_groups = found.where("differ")
     each = materialise(mixed_groups.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "span", "off")).alias("one")))
-    wholes = each.where("n > 1").select("a", "c", F.lit(0).alias("from"), F.lit(None).cast("int").alias("to"))
+    wholes = each.where("n > 1").select("a", "c", F.lit(0).alias("from"), F.lit(None).cast("int").alias("to"), "n")
     strings = materialise(cut_strings(texts, each))
-    pieces = sorted_repeats(strings).unionByName(wholes)
-    # Nothing is known of single runs in which no window repeats: they drop out here.
-    told = mixed_groups.join(pieces, ["a", "c"]).select(*KEY, (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.coalesce("to", "span")).alias("last"))
+    pieces = materialise(sorted_repeats(strings).withColumn("n", F.lit(1).cast("long")).unionByName(wholes))
+    # Nothing is known of single runs in which no window repeats: they drop out here. A passage of very many
+    # documents is one string: it meets its runs by broadcast.
+    told = join_skewed(mixed_groups, pieces, ["a", "c"], "n", total).select(*KEY, (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.coalesce("to", "span")).alias("last"))
     return alike.unionByName(told)
 
 
@@ -380,6 +382,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # All copies of a text have its spans: each enters a list once, whatever their number.
     spans = find_repeats(texts).distinct().groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = materialise(spans)
+    copies = texts.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") > LARGE)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,4 +404,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = read.select("doc_id", *text_key(F.col("text")), F.sha2("text", 256).alias("whole"))
     none = F.lit(0).cast("long")
     removed = F.coalesce("n_removed", none)
-    return own.join(changed, KEY, "left").select("doc_id", removed.alias("n_removed"), "n_bytes", F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), (removed > 0).alias("has_repeats"), "kept")
+    # Texts of very many copies meet them by broadcast.
+    changed = materialise(changed.join(copies, KEY, "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))))
+    return join_skewed(own, changed, KEY, "n", docs.count(), "left").select("doc_id", removed.alias("n_removed"), "n_bytes", F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), (removed > 0).alias("has_repeats"), "kept")
