@@ -128,7 +128,9 @@ def classes(docs: DataFrame, text: str = "text", huge_chars: int = 1 << 20, piec
     shared = keyed.groupBy("class_key").agg(F.count("*").alias("count")).where("count > 1").select("class_key")
     # Where the texts of those classes are is told by cheap hashes: texts that share them by chance meet other
     # classes too, which only makes those look unlike and be split by SHA-256.
-    places = keyed.select("h1", "h2", "n_bytes", "class_key").distinct().join(shared, "class_key")
+    at = ["h1", "h2", "n_bytes"]
+    places = keyed.groupBy(at).agg(F.count("*").alias("n"), F.collect_set("class_key").alias("keys"))
+    places = materialise(places.select(*at, "n", F.explode("keys").alias("class_key")).join(shared, "class_key"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +139,8 @@ def classes(docs: DataFrame, text: str = "text", huge_chars: int = 1 << 20, piec
                 at = range(0, len(x), piece_chars)
                 yield pa.RecordBatch.from_pydict({"class_key": pa.array([k] * len(at), pa.binary()), "no": pa.array(range(len(at)), pa.int32()), "piece": pa.array([x[i : i + piece_chars] for i in at], pa.string())})
 
-    again = read.select(F.col(t), size.alias("n_bytes"), *by).join(places, ["h1", "h2", "n_bytes"]).select("class_key", t)
+    # A text of very many copies is one key: it meets its class by broadcast, and no copy is moved.
+    again = join_skewed(read.select(F.col(t), size.alias("n_bytes"), *by), places, at, "n", keyed.count()).select("class_key", t)
     pieces = again.mapInArrow(cut, "class_key binary, no int, piece string")
     unlike = materialise(pieces.groupBy("class_key", "no").agg((F.min("piece") != F.max("piece")).alias("unlike")).where("unlike").select("class_key").distinct())
     keyed = keyed.drop("h1", "h2")
