@@ -340,11 +340,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     grid = grid or Grid(bits)
     prints = materialise(with_fingerprints(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), "text", "fp", words, bits))
     found = components(links(prints, "fp", grid))
-    rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found, F.col("fp") == F.col("node"), "left")
-    rooted = materialise(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, F.col("fp") == F.col("node"), "left")
+    rooted = materialise(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"))
+    # Neither a component of very many fingerprints nor a fingerprint of very many rows goes to one task.
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = materialise(join_skewed(rooted, ids, "root", "members", rooted.count()).select("fp", "component_id", "n"))
+    return join_skewed(prints, named, "fp", "n", prints.count()).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 # Near-duplicates by the similarity of shingle sets
@@ -468,7 +469,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
                 sets.append(np.frombuffer(own.as_py(), np.uint64))
         yield from flush()
 
-    sets = docs.select("h", "text").mapInArrow(read, "fp binary, print binary, shingles binary").join(needed, "fp", "left_semi").dropDuplicates(["fp"])
+    sets = docs.select("h", "text").mapInArrow(read, "fp binary, print binary, shingles binary").dropDuplicates(["fp"]).join(needed, "fp", "left_semi")
     met = members.join(sets, "fp").select("g", "fp", "print", "shingles").repartition("g").sortWithinPartitions("g")
     return met.mapInArrow(meet, "a binary, b binary").distinct()
 
