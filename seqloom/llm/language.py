@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_arrow, materialise, quoted
+from .common import fresh, join_skewed, map_arrow, materialise, quoted
 
 #: Hash buckets for trigrams, and smoothing.
 GRAMS, ALPHA = 1 << 16, 0.5
@@ -129,11 +129,11 @@ def best(scores: Column, languages: list[str]) -> Column:
 
 
 def host_priors(scored: DataFrame, languages: list[str]) -> DataFrame:
-    """scored(host, domain, suffix, scores) to one row per host: host, prior (ln p for each language)."""
+    """scored(host, domain, suffix, scores) to one row per host: host, prior (ln p for each language), n (rows)."""
     n = len(languages)
     known = F.array_max("scores") > F.array_min("scores")  # a text without letters says nothing
     votes = [F.count_if(known & (F.col("lang") == name)) for name in languages]
-    hosts = materialise(scored.withColumn("lang", best(F.col("scores"), languages)).groupBy("host", "domain", "suffix").agg(F.array(*votes).alias("votes")))
+    hosts = materialise(scored.withColumn("lang", best(F.col("scores"), languages)).groupBy("host", "domain", "suffix").agg(F.array(*votes).alias("votes"), F.count("*").alias("n")))
 
     def summed(*by: str) -> DataFrame:
         return hosts.groupBy(*by).agg(F.array(*[F.sum(F.get("votes", F.lit(k))) for k in range(n)]).alias("own"))
@@ -146,7 +146,7 @@ def host_priors(scored: DataFrame, languages: list[str]) -> DataFrame:
     whole = summed().select(smoothed("own", flat).alias("whole"))
     suffixes = summed("suffix").crossJoin(F.broadcast(whole)).select("suffix", smoothed("own", "whole").alias("above"))
     domains = summed("domain", "suffix").join(suffixes, "suffix").select("domain", "suffix", smoothed("own", "above").alias("above"))
-    return hosts.join(domains, ["domain", "suffix"]).select("host", "domain", "suffix", F.transform(smoothed("votes", "above"), F.ln).alias("prior"))
+    return hosts.join(domains, ["domain", "suffix"]).select("host", F.transform(smoothed("votes", "above"), F.ln).alias("prior"), "n")
 
 
 def fused(scores: Column, prior: Column, declared: Column, hint: Column, languages: list[str]) -> Column:
@@ -176,7 +176,7 @@ def identify(rows: DataFrame, model: Model, carry: list[str], text: str = "text"
     scored once, whatever their length, and written with what is carried; the written rows meet the priors.
     """
     languages = model.languages
-    hide, d, u, h, dom, suf, ll = fresh(rows, "markup", "declared", "url", "host", "domain", "suffix", "scores")
+    hide, d, u, h, dom, suf, ll, pr, many, post = fresh(rows, "markup", "declared", "url", "host", "domain", "suffix", "scores", "prior", "n", "posterior")
     labels = F.split(F.col(h), r"\.")
     read = rows.select(
         *[quoted(c) for c in dict.fromkeys([*carry, text])],
@@ -192,12 +192,13 @@ def identify(rows: DataFrame, model: Model, carry: list[str], text: str = "text"
     near = F.regexp_extract(F.coalesce(F.col(u), F.lit("")), r"://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1)
     country = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv]), F.col(suf))
     hint = F.when(near != "", F.lower(near)).otherwise(F.when(F.col(u).isNotNull(), country))
-    joined = scored.join(priors.select(F.col("host").alias("__h"), F.col("domain").alias("__d"), F.col("suffix").alias("__s"), F.col("prior").alias("__p")), (F.col(h) == F.col("__h")) & (F.col(dom) == F.col("__d")) & (F.col(suf) == F.col("__s")))
-    posterior = fused(F.col(ll), F.col("__p"), F.col(d), hint, languages)
-    out = joined.withColumn("__post", posterior)
+    # Hosts of very many rows meet them by broadcast.
+    joined = join_skewed(scored, priors.toDF(h, pr, many), h, many, scored.count())
+    posterior = fused(F.col(ll), F.col(pr), F.col(d), hint, languages)
+    out = joined.withColumn(post, posterior)
     heard = F.array_max(F.col(ll)) > F.array_min(F.col(ll)) if len(languages) > 1 else F.lit(True)
     kept = [quoted(c) for c in dict.fromkeys([*carry, *([text] if keep_text else [])])]
-    return out.select(*kept, best(F.col("__post"), languages).alias("lang_id"), F.array_max("__post").alias("posterior"), (heard & (F.array_max("__post") >= sure)).alias("accepted"))
+    return out.select(*kept, best(F.col(post), languages).alias("lang_id"), F.array_max(post).alias("posterior"), (heard & (F.array_max(post) >= sure)).alias("accepted"))
 
 
 def keep_identified(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", sure: float = SURE) -> DataFrame:
