@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, quoted
+from .common import join_skewed, materialise, quoted
 
 #: host, path, verdict. A rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -119,7 +119,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     whole = pages.select(quoted(page_id).alias("page_id"), F.coalesce(quoted(url), F.lit("")).alias("text"))
     host, path, key = host_of(F.col("text")), path_of(F.col("text")), [F.xxhash64("text").alias("k1"), F.hash("text").alias("k2")]
     parts = whole.select("page_id", host.alias("host"), path.alias("path"), *key)
-    urls = whole.select("text").distinct().select(*key, "text", ruled(host, path, rules)["verdict"].alias("verdict"))
+    urls = whole.groupBy("text").agg(F.count("*").alias("copies")).select(*key, "text", "copies", ruled(host, path, rules)["verdict"].alias("verdict"))
     # Written once: the counts and the scores read it, and the exchange deals the URLs over all tasks.
     urls = materialise(urls.withColumn("held", F.pmod("k1", F.lit(5)) == 0))
     learn = lambda v: F.count_if((F.col("verdict") == v) & ~F.col("held"))
@@ -128,6 +128,8 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     ratios = materialise(model(counts, order).join(counts.select("gram", "n"), "gram"))
     scores = materialise(scored(urls, ratios, order))
     limit = cut(scores.where("held and verdict is not null"))
-    judged = parts.select("*", ruled(F.col("host"), F.col("path"), rules).alias("hit")).join(scores.select("k1", "k2", "score"), ["k1", "k2"])
+    judged = parts.select("*", ruled(F.col("host"), F.col("path"), rules).alias("hit"))
+    # A URL of very many pages meets them by broadcast.
+    judged = join_skewed(judged, scores.select("k1", "k2", "score", "copies"), ["k1", "k2"], "copies", whole.count())
     own = F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block")
     return judged.crossJoin(F.broadcast(limit)).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"), "score")
