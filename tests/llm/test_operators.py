@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, exact, language, mixing, phrases, pieces, queries, simhash, suffixes, urls, wordpieces
+from seqloom.llm import chat, common, exact, language, mixing, phrases, pieces, queries, simhash, suffixes, urls, wordpieces
 from seqloom.llm.common import table
 from seqloom.llm.vocabulary import SPACE, read_pieces
 
@@ -113,6 +113,55 @@ def test_urls_are_scored_whole(spark):
     assert got[1000].verdict == "allow" and got[1001].verdict == "block"
 
 
+def judged_brute(texts):
+    """(verdict, score) of each URL by plain loops: rules, the model of those not held out, the cut on the others."""
+
+    def rule(t):
+        head, sep, tail = t.partition("://")
+        cut = next((i for i, c in enumerate(tail) if c in "/?#"), len(tail))
+        host, path = "".join(c.lower() if c.isascii() else c for c in tail[:cut]), tail[cut:].split("?")[0].split("#")[0]
+        fits = [(len(h + p), v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if sep and fits else None
+
+    every = sorted({t or "" for t in texts})
+    told = {t: rule(t) for t in every}
+    held = {t: xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63) for t in every}
+    held = {t: h % 5 == 0 for t, h in held.items()}
+    ratios = naive_model([({"allow": "a", "block": "r"}.get(told[t]) if not held[t] else None, t) for t in every])
+    score = {}
+    for t in every:
+        s = "\2" * 4 + t + "\3"
+        found = [ratios[s[i - 4 : i + 1]] for i in range(4, len(s))]
+        score[t] = sum(found) / len(found)
+    bins = collections.defaultdict(lambda: [0, 0])
+    for t in every:
+        if held[t] and told[t]:
+            bins[int(min(max(np.floor(score[t] / urls.BIN), -urls.BINS), urls.BINS))][told[t] == "block"] += 1
+    a, r = (sum(x[k] for x in bins.values()) for k in (0, 1))
+    assert a and r
+    options = []
+    for b in bins:
+        low = max((x for x in bins if x < b), default=b - 1)
+        right = sum(bins[x][0] for x in bins if x >= b) / a + sum(bins[x][1] for x in bins if x < b) / r
+        options.append((right, -abs((b + low + 1) / 2 * urls.BIN), b, (b + low + 1) / 2 * urls.BIN))
+    limit = max(options)[3]
+    return {t: (told[t] or ("allow" if score[t] >= limit else "block"), score[t]) for t in every}
+
+
+@pytest.mark.parametrize("large", [1000, 1])
+def test_verdicts_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(common, "LARGE", large)
+    monkeypatch.setattr(urls, "HOT", 200)  # most grams are joined
+    r = random.Random(1)
+    texts = [f"http{r.choice(['', 's'])}://{r.choice(['a.org', 'B.example.org', 'c.com', 'd.com', 'e.net'])}/{r.choice(['en', 'fr', 'de', 'es'])}/{r.randint(0, 30)}{r.choice(['', '?q=1', '#x'])}" for _ in range(90)]
+    texts += [None, "", "no scheme", "x://y", *texts[:9], *[texts[0]] * 40]
+    got = urls.judge(spark.createDataFrame(list(enumerate(texts)), "page_id long, url string").withColumn("copies", F.lit(1))).orderBy("page_id").collect()
+    want = judged_brute(texts)
+    assert len(got) == len(texts) and {x.verdict for x in got if not x.rule} == {"allow", "block"}
+    for x, t in zip(got, texts):
+        assert x.verdict == want[t or ""][0] and abs(x.score - want[t or ""][1]) < 1e-9
+
+
 def test_urls_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -349,9 +398,32 @@ def test_fingerprints_of_similar_sets_are_within_the_radius():
             assert np.abs(counts[0] - counts[1]).sum() <= far <= simhash.RADIUS
 
 
-def test_components_of_a_large_star(spark, monkeypatch):
-    from seqloom.llm import common
+@pytest.mark.parametrize("total", [10, 100_000])
+def test_joins_on_large_keys(spark, monkeypatch, total):
+    """Keys of many rows, by broadcast or not: the same rows, those without a partner too."""
+    monkeypatch.setattr(common, "LARGE", 3)
+    rows = [(1, "a", k) for k in range(7)] + [(1, "b", k) for k in range(2)] + [(2, "a", 0), (3, "c", 0), (3, "c", 0)]
+    one = spark.createDataFrame([(1, "a", 7, "x"), (1, "b", 2, "y"), (2, "a", 1, "z")], "k int, l string, n long, v string")
+    for how in ("inner", "left"):
+        got = common.join_skewed(spark.createDataFrame(rows, "k int, l string, i int"), one, ["k", "l"], "n", total, how).collect()
+        found = {(1, "a"): "x", (1, "b"): "y", (2, "a"): "z"}
+        want = [(*r, found.get(r[:2])) for r in rows if how == "left" or r[:2] in found]
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
 
+def test_large_groups_change_no_result(spark, sf_dir, monkeypatch, odd):
+    """Operators give the same rows where every key counts as a large one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    many = docs.unionByName(docs.where("doc_id % 4 = 0")).unionByName(odd.select(*docs.columns))
+    runs = [exact.exact_duplicates, simhash.groups, suffixes.remove_repeats, simhash.drop_near_duplicates, language.keep_identified]
+    plain = [sorted(map(repr, f(many).collect())) for f in runs]
+    monkeypatch.setattr(common, "LARGE", 1)
+    monkeypatch.setattr(suffixes, "LARGE", 1)
+    for f, want in zip(runs, plain):
+        assert sorted(map(repr, f(many).collect())) == want, f.__name__
+
+
+def test_components_of_a_large_star(spark, monkeypatch):
     monkeypatch.setattr(common, "LARGE", 5)
     star = [(0, k) for k in range(1, 60)] + [(70, 71), (59, 60)]
     got = {(r.node, r.root) for r in simhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
