@@ -6,6 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,3 +101,41 @@ def join_skewed(rows: DataFrame, one: DataFrame, key: str | list[str], n: str, t
     names = [key] if isinstance(key, str) else key
     rest = rows.join(F.broadcast(one.where(large).select(*names)), key, "left_anti")
     return rows.join(hot, key).unionByName(rest.join(one.where(~large).drop(n), key, how))
+
+
+def numbered(df: DataFrame, group: str, order: list[str], idx: str) -> DataFrame:
+    """df with idx, each row's place from 0 in its group (a string, never null) by `order`, nulls first; equal
+    rows follow each other in any order. Rows are dealt by ranges of group and order, so a group of any size is
+    spread over the tasks; what a group has in earlier tasks is a number for each task, which is broadcast.
+    Writes the rows once."""
+    row, part, local, before = fresh(df, "row", "part", "local", "before")
+    by = [F.col(group).asc(), *[quoted(c).asc_nulls_first() for c in order], F.col(row).asc()]
+    dealt = df.withColumn(row, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop(row)
+    dealt = dealt.withColumn(part, F.spark_partition_id())
+    at = df.columns.index(group)
+
+    def count(batches):
+        last, n = None, 0
+        for batch in batches:
+            places = np.empty(batch.num_rows, dtype=np.int64)
+            names = batch.column(at)
+            starts = [0, *(np.flatnonzero(pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                if a == b:
+                    continue
+                if (name := names[a].as_py()) != last:
+                    last, n = name, 0
+                places[a:b] = np.arange(n, n + b - a)
+                n += b - a
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places)], names=[*batch.schema.names, local])
+
+    rows = materialise(map_arrow(dealt, count, T.StructType([*dealt.schema.fields, T.StructField(local, T.LongType())])))
+    ends = rows.groupBy(part).agg(F.min(group), F.max(F.struct(group, local))).collect()  # one row for each task
+    earlier, last, n = [], None, 0
+    for task, first, (name, place) in sorted(ends):
+        if first == last:
+            earlier.append((task, first, n))
+        n = place + 1 + (n if name == last else 0)
+        last = name
+    starts = df.sparkSession.createDataFrame(earlier, T.StructType([T.StructField(part, T.IntegerType()), T.StructField(group, T.StringType()), T.StructField(before, T.LongType())]))
+    return rows.join(F.broadcast(starts), [part, group], "left").select(*map(quoted, df.columns), (F.col(local) + F.coalesce(before, F.lit(0))).alias(idx))

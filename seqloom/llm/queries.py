@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import shipped
-from . import chat, exact, language, mixing, phrases, pieces, simhash, suffixes, urls, wordpieces
+from . import chat, dialogue, exact, language, merkle, mixing, phrases, pieces, quality, simhash, suffixes, urls, wordpieces
 from .common import table
 
 
@@ -62,7 +62,37 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_url_filter, op2_chat_format, op3_token_counts, op4_simhash, op5_mixing, op6_suffix_dedup, op7_sentencepiece, op8_language_id, op9_phrase_fingerprints, op10_exact_dedup)}
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, and the verdict at 0.7."""
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"))
+    return quality.score(documents, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What it takes to repair each conversation after about a quarter of its turns was damaged."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"))
+    harm = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    turns = rows.withColumn("harm", harm).where("harm <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return dialogue.report(rows, turns.drop("copy"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, checked against texts of which about a fifth has lost its capitals."""
+    documents = table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), lower))
+    return merkle.manifest(documents, tampered)
+
+
+QUERIES = {f.__name__: shipped(f) for f in (op1_url_filter, op2_chat_format, op3_token_counts, op4_simhash, op5_mixing, op6_suffix_dedup, op7_sentencepiece, op8_language_id, op9_phrase_fingerprints, op10_exact_dedup, op11_quality_classifier, op12_conversation_repair, op13_merkle_manifest)}
 
 SQL = {
     "op2_chat_format": r"""
