@@ -168,26 +168,38 @@ def overlap_average(frames: DataFrame, probs: DataFrame, size: int, classes: int
 
 def training_windows(df: DataFrame, size: int, stride: int, purity: float = 0.0, training: bool = False, code: str = "true_code", by=KEY, order: str = ORDER) -> DataFrame:
     """Windows with their majority code (smallest of equals) and its share. In training, impure windows are
-    left out, and the step is 1 while a window holds a signal (code > 0). A fold over each track's starts."""
+    left out, and the step is 1 while a window holds a signal (code > 0): then which starts are taken is a fold
+    over each track's starts, block by block; a window's majority is worked out for those that are taken only."""
     tracks = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, code))), lambda x: x[code]).alias("c"))
-    starts = F.when(F.size("c") >= size, F.sequence(F.lit(0), F.size("c") - size)).otherwise(F.array().cast("array<int>"))
+    many = F.size("c") - size
+    starts = F.when(many >= 0, F.sequence(F.lit(0), many)).otherwise(F.array().cast("array<int>"))
     window = lambda i: F.slice(F.col("c"), i + 1, F.lit(size))
     best = lambda w: F.array_max(F.transform(F.array_distinct(w), lambda v: F.struct(F.size(F.filter(w, lambda x: x == v)).alias("n"), (-v).alias("v"))))
     if training:
-        zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("out"))
-
-        def step(s: Column, i: Column) -> Column:
-            w = window(i)
-            pure = best(w)["n"] / F.lit(float(size)) >= purity
-            go = F.when(F.exists(w, lambda x: x > 0), 1).otherwise(stride)
-            taken = F.struct((i + go).cast("int").alias("next"), F.when(pure, F.concat(s["out"], F.array(i))).otherwise(s["out"]).alias("out"))
-            return F.when(i == s["next"], taken).otherwise(s)
-
-        chosen = F.aggregate(starts, zero, step)["out"]
+        # Whether a window holds a signal: the next signal from its start on lies inside it.
+        w = along(by, order)
+        ahead = F.min(F.when(F.col(code) > 0, F.col("__i"))).over(w.rowsBetween(0, size - 1)).isNotNull()
+        marked = position(df, "__i", by, order).withColumn("__go", F.when(ahead, 1).otherwise(stride))
+        tracks = marked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, code, "__go"))).alias("x"))
+        tracks = tracks.select(*by, F.transform("x", lambda x: x[code]).alias("c"), F.transform("x", lambda x, i: F.struct(i.alias("i"), x["__go"].alias("go"))).alias("go"))
+        none = F.array().cast("array<int>")
+
+        def step(s: Column, x: Column) -> Column:
+            taken = F.struct((x["i"] + x["go"]).cast("int").alias("next"), F.concat(s["out"], F.array(x["i"])).alias("out"))
+            return F.when(x["i"] == s["next"], taken).otherwise(s)
+
+        def block(s: Column, xs: Column) -> Column:
+            ran = F.aggregate(xs, F.struct(s["next"].alias("next"), none.alias("out")), step)
+            return F.struct(ran["next"].alias("next"), F.concat(s["out"], F.array(ran["out"])).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<array<int>>").alias("out"))
+        able = F.when(many >= 0, F.slice("go", F.lit(1), many + 1)).otherwise(F.slice("go", F.lit(1), F.lit(0)))
+        chosen = F.flatten(F.aggregate(in_blocks(able), zero, block)["out"])
     else:
         chosen = F.filter(starts, lambda i: i % stride == 0)
     each = tracks.withColumn("start", F.explode(chosen)).withColumn("b", best(window(F.col("start"))))
-    return each.select(*by, "start", (-F.col("b.v")).alias("code"), (F.col("b.n") / F.lit(float(size))).alias("purity"))
+    out = each.select(*by, "start", (-F.col("b.v")).alias("code"), (F.col("b.n") / F.lit(float(size))).alias("purity"))
+    return out.where(F.col("purity") >= purity) if training else out
 
 
 def context(df: DataFrame, around: int, value: str, by=KEY, order: str = ORDER) -> DataFrame:
@@ -243,28 +255,64 @@ TRANSITIONS = ((0.8, 0.1, 0.1, 0.0), (0.1, 0.8, 0.05, 0.05), (0.1, 0.05, 0.8, 0.
 SEEN, OTHER = 1.0, 0.1
 
 
+#: Frames of a block in folds along a track. A fold copies what it has collected at each step, so what grows is
+#: a block first, then the list of blocks; work stays in proportion to the track.
+FOLD = 128
+
+
+def in_blocks(values: Column, size: int = FOLD) -> Column:
+    """An array as an array of blocks, the last one maybe short."""
+    many = F.ceil(F.size(values) / size).cast("int")
+    starts = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(values, k * size + 1, F.lit(size)))
+
+
 def hmm_smooth(df: DataFrame, label: str = "label", by=KEY, order: str = ORDER) -> DataFrame:
     """The most likely state sequence (Viterbi) in logarithms, so long tracks do not underflow; the first
-    state wins ties. One forward fold with back-pointers and one backward fold per track."""
+    state wins ties. A forward fold over each track's frames keeps the states' scores and, for each frame, the
+    states before in one number of two bits a state; a backward fold follows them. Both run block by block."""
     log = lambda p: F.lit(math.log(p) if p else -math.inf)
     n, total = len(STATES), SEEN + OTHER * (len(STATES) - 1)
     code = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, STATES)), F.when(c == "both", "hazard").otherwise(c)).cast("int"), F.lit(0))
     index = lambda c: F.greatest(code(c), F.lit(1)) - 1
-    seen = lambda c: F.array(*[F.when(index(c) == s, log(SEEN / total)).otherwise(log(OTHER / total)) for s in range(n)])
     tracks = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, label))).alias("rows"))
-    rest = F.slice("rows", F.lit(2), F.size("rows"))
-
-    def forward(state: Column, row: Column) -> Column:
-        emit = seen(row[label])
-        ways = [F.array(*[F.get(state["score"], F.lit(r)) + log(TRANSITIONS[r][s]) for r in range(n)]) for s in range(n)]
-        score = F.array(*[F.array_max(w) + F.get(emit, F.lit(s)) for s, w in enumerate(ways)])
-        back = F.array(*[(F.array_position(w, F.array_max(w)) - 1).cast("int") for w in ways])
-        return F.struct(score.alias("score"), F.concat(state["back"], F.array(back)).alias("back"))
-
-    start = F.struct(F.transform(seen(F.get("rows", F.lit(0))[label]), lambda x: x + math.log(1 / n)).alias("score"), F.array().cast("array<array<int>>").alias("back"))
-    scored = tracks.select(*by, "rows", F.aggregate(rest, start, forward).alias("s"))
-    last = (F.array_position("s.score", F.array_max("s.score")) - 1).cast("int")
-    path = F.aggregate(F.reverse("s.back"), F.array(last), lambda p, b: F.concat(F.array(F.get(b, F.get(p, F.lit(0)))), p))
+    seen = tracks.withColumn("seen", F.transform("rows", lambda r: index(r[label])))
+    emit = lambda c, s: F.when(c == s, log(SEEN / total)).otherwise(log(OTHER / total))
+    scores = lambda each: F.struct(*[x.alias(f"s{k}") for k, x in enumerate(each)])
+    best = lambda s: F.greatest(*[s[f"s{r}"] for r in range(n)])
+
+    def first(values: list[Column], top: Column) -> Column:
+        """Which of them is the largest, the first of equals."""
+        out = F.lit(n - 1)
+        for r in reversed(range(n - 1)):
+            out = F.when(values[r] == top, r).otherwise(out)
+        return out
+
+    def forward(state: Column, c: Column) -> Column:
+        ways = [[state["score"][f"s{r}"] + log(TRANSITIONS[r][s]) for r in range(n)] for s in range(n)]
+        back = sum((F.shiftleft(first(w, F.greatest(*w)), 2 * s) for s, w in enumerate(ways)), F.lit(0))
+        return F.struct(scores([F.greatest(*w) + emit(c, s) for s, w in enumerate(ways)]).alias("score"), F.concat(state["back"], F.array(back)).alias("back"))
+
+    def forward_block(state: Column, block: Column) -> Column:
+        none = F.array().cast("array<int>")
+        ran = F.aggregate(block, F.struct(state["score"].alias("score"), none.alias("back")), forward)
+        return F.struct(ran["score"].alias("score"), F.concat(state["back"], F.array(ran["back"])).alias("back"))
+
+    def backward(path: Column, back: Column) -> Column:
+        before = F.call_function("shiftright", back, F.get(path, F.lit(0)) * 2).bitwiseAND(3)
+        return F.concat(F.array(before), path)
+
+    def backward_block(state: Column, block: Column) -> Column:
+        """The states before each frame of the block; the state that it starts from stands first of all."""
+        path = F.aggregate(F.reverse(block), F.array(state["at"]), backward)
+        return F.struct(F.get(path, F.lit(0)).alias("at"), F.concat(F.array(F.slice(path, F.lit(1), F.size(block))), state["paths"]).alias("paths"))
+
+    start = F.struct(scores([emit(F.get("seen", F.lit(0)), s) + math.log(1 / n) for s in range(n)]).alias("score"), F.array().cast("array<array<int>>").alias("back"))
+    rest = in_blocks(F.slice("seen", F.lit(2), F.size("seen")))
+    scored = seen.select(*by, "rows", F.aggregate(rest, start, forward_block).alias("s"))
+    last = first([F.col(f"s.score.s{r}") for r in range(n)], best(F.col("s.score")))
+    zero = F.struct(last.alias("at"), F.array().cast("array<array<int>>").alias("paths"))
+    path = F.concat(F.flatten(F.aggregate(F.reverse("s.back"), zero, backward_block)["paths"]), F.array(last))
     rows = scored.select(*by, F.explode(F.arrays_zip(F.col("rows"), path.alias("path"))).alias("z"))
     names = F.array(*map(F.lit, STATES))
     out = rows.select(*by, F.col(f"z.rows.{order}").alias(order), F.get(names, F.col("z.path")).alias(label), F.col(f"z.rows.{label}").alias("original_label"))

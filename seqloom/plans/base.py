@@ -126,7 +126,8 @@ def query(sql: str | None = None, *views: str):
             body = sql.strip()
             if needed:
                 ctes = ",\n".join(_SQL_VIEWS[v] for v in needed)
-                body = f"WITH {ctes},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes}\n{body}"
+                start = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(w)), None)
+                body = f"{start}{ctes},\n{body[len(start) :]}" if start else f"WITH {ctes}\n{body}"
             SQL[f.__name__] = body
         return f
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,9 +126,12 @@ def w14_training_windows(t):
     return series.training_windows(t.frames, 10, 3)
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT sequence_id, track_id, pos, list(true_code) OVER w AS c, count(*) OVER w AS n FROM frames WINDOW w AS (PARTITION BY sequence_id, track_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+x AS (SELECT sequence_id, track_id, pos, pos + CASE WHEN list_max(c) > 0 THEN 1 ELSE 3 END AS next, [len(list_filter(c, lambda v: v = k)) FOR k IN range(4)] AS n FROM s WHERE n = 10),
+r AS (SELECT * FROM x WHERE pos = 0 UNION ALL SELECT x.* FROM r JOIN x ON x.sequence_id = r.sequence_id AND x.track_id = r.track_id AND x.pos = r.next)
+SELECT sequence_id, track_id, pos::INTEGER AS start, (list_position(n, list_max(n)) - 1)::INTEGER AS code, list_max(n) / 10.0::DOUBLE AS purity FROM r WHERE list_max(n) >= 6""", "frames")
 def w14_training_windows_dynamic(t):
-    """The step depends on the window before: tests hold the fold against a plain loop."""
+    """The step depends on the window before."""
     return series.training_windows(t.frames, 10, 3, 0.6, True)
 
 
@@ -248,9 +253,25 @@ def w26_primary_segment(t):
     return _segment_lists(t).select(*KEY, p["label"].alias("label"), p["start_frame"].alias("start_frame"))
 
 
-@query()
+def _viterbi_sql() -> str:
+    """Two recursions: scores with the states before, forward; the states themselves, backward."""
+    log = lambda p: f"'{math.log(p) if p else '-Infinity'}'::DOUBLE"
+    total = series.SEEN + 3 * series.OTHER
+    emit = lambda s: f"CASE WHEN c = {s} THEN {log(series.SEEN / total)} ELSE {log(series.OTHER / total)} END"
+    ways = ", ".join("[" + ", ".join(f"f.score[{r + 1}] + {log(series.TRANSITIONS[r][s])}" for r in range(4)) + f"] AS w{s}" for s in range(4))
+    return f"""WITH RECURSIVE o AS (SELECT sequence_id, track_id, frame_id, label, row_number() OVER (PARTITION BY sequence_id, track_id ORDER BY frame_id) - 1 AS k,
+  greatest(coalesce(list_position(['none', 'left', 'right', 'hazard'], CASE WHEN label = 'both' THEN 'hazard' ELSE label END), 1), 1) - 1 AS c FROM labelled WHERE model_name = 'model_a'),
+f AS (SELECT sequence_id, track_id, k, [{', '.join(f'{emit(s)} + {log(0.25)}' for s in range(4))}] AS score, NULL::INTEGER[] AS back FROM o WHERE k = 0
+  UNION ALL SELECT sequence_id, track_id, k, [{', '.join(f'list_max(w{s}) + {emit(s)}' for s in range(4))}], [{', '.join(f'list_position(w{s}, list_max(w{s}))::INTEGER' for s in range(4))}]
+  FROM (SELECT o.sequence_id, o.track_id, o.k, o.c, {ways} FROM f JOIN o ON o.sequence_id = f.sequence_id AND o.track_id = f.track_id AND o.k = f.k + 1)),
+b AS (SELECT sequence_id, track_id, k, list_position(score, list_max(score))::INTEGER AS at, back FROM f QUALIFY k = max(k) OVER (PARTITION BY sequence_id, track_id)
+  UNION ALL SELECT f.sequence_id, f.track_id, f.k, b.back[b.at], f.back FROM b JOIN f ON f.sequence_id = b.sequence_id AND f.track_id = b.track_id AND f.k = b.k - 1)
+SELECT o.sequence_id, o.track_id, o.frame_id, ['none', 'left', 'right', 'hazard'][b.at] AS label, o.label AS original_label, ['none', 'left', 'right', 'hazard'][b.at] <> o.label AS smoothed
+FROM o JOIN b ON o.sequence_id = b.sequence_id AND o.track_id = b.track_id AND o.k = b.k"""
+
+
+@query(_viterbi_sql(), "labelled")
 def w27_hmm_smoothing(t):
-    """Viterbi: tests hold the folds against a plain dynamic program."""
     return series.hmm_smooth(voted(t))
 
 

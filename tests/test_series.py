@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -134,6 +135,22 @@ def test_hmm_equals_a_loop(spark):
     assert [x.label for x in got] == want
 
 
+def test_hmm_of_a_long_track(spark):
+    """Some hundred blocks; work grows with the track, so this takes seconds."""
+    r = random.Random(16)
+    t = "".join(r.choice("nnllrhb") * r.randint(1, 4) for _ in range(16_000))
+    began = time.perf_counter()
+    got = [x.label for x in series.hmm_smooth(track(spark, t)).orderBy("frame_id").collect()]
+    assert got == viterbi([NAMES[c] for c in t])
+    assert len(t) > 35_000 and time.perf_counter() - began < 40
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 256, 300])
+def test_blocks_of_arrays(spark, n):
+    got = spark.range(1).select(series.in_blocks(F.array(*map(F.lit, range(n))) if n else F.array().cast("array<int>")).alias("b")).first().b
+    assert [x for b in got for x in b] == list(range(n)) and all(0 < len(b) <= series.FOLD for b in got)
+
+
 def repair_loop(segs, n):
     out, cursor, last = [], 0, n - 1
     for i, (label, s, e) in enumerate(segs):
@@ -163,6 +180,7 @@ def test_segment_repair_equals_a_loop(spark):
 def test_training_windows_equal_a_loop(spark):
     r = random.Random(8)
     tracks = [[r.choice([0, 0, 0, 1, 2]) for _ in range(r.randint(1, 50))] for _ in range(40)]
+    tracks.append([r.choice([0] * 30 + [1, 2]) for _ in range(20_000)])
     df = spark.createDataFrame([(f"s{k}", k, i, c) for k, t in enumerate(tracks) for i, c in enumerate(t)], "sequence_id string, track_id long, frame_id long, true_code int")
     got = {}
     for x in series.training_windows(df, 8, 3, 0.6, True).collect():
