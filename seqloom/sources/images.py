@@ -5,15 +5,19 @@ Images come from Spark's `image` source as BGR bytes. Hue is on the scale 0-179,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lower and upper bound of (hue, saturation, value) of a yellow lamp.
 YELLOW = ((15, 100, 100), (35, 255, 255))
+#: Where the lamps are, as shares of height and width.
+TOP, LEFT, RIGHT = 0.4, 0.4, 0.6
 
 
 def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -38,8 +42,8 @@ def hsv(bgr: np.ndarray) -> np.ndarray:
 def lamp(bgr: np.ndarray, side: str) -> np.ndarray:
     """The bottom 60 % and the outer 40 % of a side; the whole image for another name."""
     h, w = bgr.shape[:2]
-    low = bgr[int(h * 0.4) :]
-    return low[:, : int(w * 0.4)] if side == "left" else low[:, int(w * 0.6) :] if side == "right" else bgr
+    low = bgr[int(h * TOP) :]
+    return low[:, : int(w * LEFT)] if side == "left" else low[:, int(w * RIGHT) :] if side == "right" else bgr
 
 
 def energy(bgr: np.ndarray, box=YELLOW) -> int:
@@ -73,13 +77,46 @@ def colour_histogram(images: DataFrame, step: int = 5, side: str = "whole") -> D
     return images.mapInPandas(run, "origin string, h int, s int, v int, n long")
 
 
+def _places(step: int) -> tuple[int, int, int]:
+    """Bins of hue, saturation and value, with a layer of zeros below each."""
+    return (179 // step + 2, 255 // step + 2, 255 // step + 2)
+
+
+def colour_volumes(histogram: DataFrame, step: int = 5) -> DataFrame:
+    """origin and volume, the summed-volume table of each image: at (h, s, v) the pixels of all bins below, laid
+    out in one array. A group is one image's bins, of which there are some 100,000 at most."""
+    shape = _places(step)
+
+    def run(bins: pa.Table) -> pa.Table:
+        n = np.zeros(shape, dtype=np.int64)
+        at = tuple(bins[c].to_numpy() + 1 for c in "hsv")
+        np.add.at(n, at, bins["n"].to_numpy())
+        total = n.cumsum(0).cumsum(1).cumsum(2).astype(np.int32)
+        return pa.table({"origin": bins["origin"][:1], "volume": pa.array([total.ravel()], pa.list_(pa.int32()))})
+
+    return histogram.groupBy("origin").applyInArrow(run, "origin string, volume array<int>")
+
+
 def range_energies(histogram: DataFrame, ranges: DataFrame, step: int = 5) -> DataFrame:
-    """Energies of every image in every colour range (range_id, h0, h1, s0, v0), a parameter list: one join with
-    the broadcast ranges and one aggregation, no image is read again."""
-    r = F.broadcast(ranges)
-    inside = (F.col("h") * step >= F.col("h0")) & (F.col("h") * step <= F.col("h1")) & (F.col("s") * step >= F.col("s0")) & (F.col("v") * step >= F.col("v0"))
-    each = histogram.crossJoin(r)
-    return each.groupBy("origin", "range_id").agg((F.sum(F.when(inside, F.col("n")).otherwise(0)) * 255).alias("energy"))
+    """Energies of every image in every colour range (range_id, h0, h1, s0, v0 and maybe s1, v1), a parameter
+    list: eight look-ups in the image's summed volumes. A bin is inside by its lower edges. Images keep one row
+    each until the last step, which lists the ranges; no image is read again."""
+    nh, ns, nv = _places(step)
+    first = lambda c, n: F.least(F.greatest(F.ceil(F.col(c) / step), F.lit(0)), F.lit(n - 1)).cast("int")
+    after = lambda c, n: (F.least(F.greatest(F.floor(F.col(c) / step), F.lit(-1)), F.lit(n - 2)) + 1).cast("int") if c in ranges.columns else F.lit(n - 1)
+    edges = {"h0": first("h0", nh), "h1": after("h1", nh), "s0": first("s0", ns), "s1": after("s1", ns), "v0": first("v0", nv), "v1": after("v1", nv)}
+    listed = ranges.select("range_id", *[c.alias(k) for k, c in edges.items()])
+    one = F.broadcast(listed.agg(F.collect_list(F.struct(*listed.columns)).alias("ranges")))
+    below = lambda r, h, s, v: F.get("volume", (r[h] * ns + r[s]) * nv + r[v])
+
+    def pixels_in(r: Column) -> Column:
+        full = (r["h0"] < r["h1"]) & (r["s0"] < r["s1"]) & (r["v0"] < r["v1"])
+        corners = [(sign * t * u, below(r, h, s, v)) for sign, h in ((1, "h1"), (-1, "h0")) for t, s in ((1, "s1"), (-1, "s0")) for u, v in ((1, "v1"), (-1, "v0"))]
+        return F.when(full, sum((x if sign > 0 else -x for sign, x in corners[1:]), corners[0][1])).otherwise(0)
+
+    each = colour_volumes(histogram, step).crossJoin(one)  # one row
+    found = F.transform("ranges", lambda r: F.struct(r["range_id"].alias("range_id"), (pixels_in(r).cast("long") * 255).alias("energy")))
+    return each.select("origin", F.explode(found).alias("r")).select("origin", "r.*")
 
 
 def resized(bgr: np.ndarray, size: int, letterbox: bool = True) -> np.ndarray:
@@ -134,16 +171,40 @@ def difference_maps(normal: DataFrame, by: str, order: str) -> DataFrame:
     return each.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda v: v["x"]).alias("difference"))
 
 
-def infer(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: list[str]) -> DataFrame:
-    """A user's batch function over rows; what raises becomes rows with label `error`. schema names keys, label,
-    confidence and raw_output; load models once per worker inside `predict`."""
+def infer(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame] | Callable[[], Callable], schema: str, keys: list[str], load: bool = False) -> DataFrame:
+    """A user's batch function over rows; rows that it fails on become rows with label `error`. A batch that fails
+    is halved until the rows at fault stand alone, so all others keep their predictions: k bad rows of a batch of n
+    cost about 2 k log n further calls. schema names keys, label, confidence and raw_output. With `load`, predict
+    is called without arguments once for each Python worker and gives the batch function: for models that take
+    long to load."""
+    name = uuid.uuid4().hex
+
+    def halves(f: Callable, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        todo = [pdf]
+        while todo:
+            part = todo.pop()
+            try:
+                yield f(part)
+            except Exception as e:  # noqa: BLE001  a failed row is told, not lost
+                if len(part) == 1:
+                    yield part[keys].assign(label="error", confidence=0.0, raw_output=f"{type(e).__name__}: {e}")
+                else:
+                    todo += [part.iloc[len(part) // 2 :], part.iloc[: len(part) // 2]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = predict
+        if load:
+            from seqloom.sources import images as here
+
+            if name not in here.LOADED:
+                here.LOADED[name] = predict()
+            f = here.LOADED[name]
         for pdf in batches:
-            try:
-                yield predict(pdf)
-            except Exception as e:  # noqa: BLE001  a failed batch is told, not lost
-                out = pdf[keys].copy()
-                yield out.assign(label="error", confidence=0.0, raw_output=f"{type(e).__name__}: {e}")
+            if len(pdf):
+                yield from halves(f, pdf)
 
     return df.mapInPandas(run, schema)
+
+
+#: Batch functions of this Python worker, by call of infer().
+LOADED: dict[str, Callable] = {}

@@ -145,6 +145,51 @@ def test_inference_failures_become_rows(spark):
     assert {r.k: r.label for r in got} == {k: "error" if k == 3 else "left" for k in range(6)}
 
 
+def test_energies_equal_pixel_counts(spark):
+    """Summed volumes against counting pixels, for ranges on and off the edges of bins, also beyond the scale."""
+    r = np.random.default_rng(3)
+    pictures = {f"i{k}": r.integers(0, 256, (20 + k, 30, 3)).astype(np.uint8) for k in range(3)}
+    df = spark.createDataFrame([(k, 30, len(p), 3, bytearray(p.tobytes())) for k, p in pictures.items()], "origin string, width int, height int, channels int, data binary")
+    rows = [(0, 0, 179, 0, 255, 0, 255), (1, 10, 40, 50, 200, 100, 255), (2, 0, 0, 0, 0, 0, 0), (3, 175, 300, 255, 300, 0, 255), (4, 60, 20, 0, 255, 0, 255), (5, -5, 90, 3, 77, 4, 78)]
+    rows += [(6 + k, *sorted(r.integers(0, 180, 2).tolist()), *sorted(r.integers(0, 256, 2).tolist()), *sorted(r.integers(0, 256, 2).tolist())) for k in range(40)]
+    names = "range_id int, h0 int, h1 int, s0 int, s1 int, v0 int, v1 int"
+    for step in (5, 7):
+        hist = images.colour_histogram(df, step)
+        got = {(x.origin, x.range_id): x.energy for x in images.range_energies(hist, spark.createDataFrame(rows, names), step).collect()}
+        bins = {k: images.hsv(p).reshape(-1, 3).astype(int) // step * step for k, p in pictures.items()}
+        for k, b in bins.items():
+            for i, h0, h1, s0, s1, v0, v1 in rows:
+                assert got[k, i] == 255 * int(((b >= (h0, s0, v0)) & (b <= (h1, s1, v1))).all(axis=1).sum()), (k, i)
+        assert len(got) == len(rows) * 3
+        assert images.colour_volumes(hist, step).count() == 3
+
+
+def test_only_rows_at_fault_are_errors(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def predict(pdf):
+        calls.add(1)
+        if pdf["k"].isin([3, 700, 701]).any():
+            raise RuntimeError("no")
+        return pdf.assign(label="left", confidence=1.0, raw_output="")[["k", "label", "confidence", "raw_output"]]
+
+    got = images.infer(spark.range(1000, numPartitions=1).withColumnRenamed("id", "k"), predict, "k long, label string, confidence double, raw_output string", ["k"]).collect()
+    assert len(got) == 1000 and {r.k for r in got if r.label == "error"} == {3, 700, 701}
+    assert calls.value < 70
+
+
+def test_models_are_loaded_once_for_each_worker(spark):
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+        return lambda pdf: pdf.assign(label="left", confidence=1.0, raw_output="")[["k", "label", "confidence", "raw_output"]]
+
+    df = spark.range(40, numPartitions=40).withColumnRenamed("id", "k")
+    assert images.infer(df, load, "k long, label string, confidence double, raw_output string", ["k"], load=True).where("label = 'left'").count() == 40
+    assert 0 < loads.value < 20
+
+
 def test_stream_reads_each_file_once(spark, tmp_path):
     src, out, chk = (str(tmp_path / x) for x in ("src", "out", "chk"))
     spark.range(10).write.parquet(f"{src}/a")
@@ -160,14 +205,55 @@ def test_stream_reads_each_file_once(spark, tmp_path):
 
 
 def test_reviews_keep_the_latest(spark, tmp_path):
-    src, state, chk = (str(tmp_path / x) for x in ("src", "state", "chk"))
+    src, chk = (str(tmp_path / x) for x in ("src", "chk"))
     make = lambda *rows: spark.createDataFrame(rows, "sequence_id string, label string, reviewed_at long").coalesce(1)
     first = make(("a", "left", 1), ("b", "none", 1))
     first.write.parquet(f"{src}/1")
-    jobs.upsert_reviews(spark, f"{src}/*", first.schema, state, chk).awaitTermination()
-    make(("a", "right", 2), ("c", "none", 2)).write.parquet(f"{src}/2")
-    jobs.upsert_reviews(spark, f"{src}/*", first.schema, state, chk).awaitTermination()
-    assert {r.sequence_id: r.label for r in spark.read.parquet(f"{state}/v=1").collect()} == {"a": "right", "b": "none", "c": "none"}
+    jobs.upsert_reviews(spark, f"{src}/*", first.schema, chk).awaitTermination()
+    make(("a", "right", 2), ("c", "none", 2), ("b", "left", 0)).write.parquet(f"{src}/2")
+    jobs.upsert_reviews(spark, f"{src}/*", first.schema, chk).awaitTermination()
+    labels = lambda **at: {r.sequence_id: r.label for r in jobs.read_reviews(spark, chk, **at).collect()}
+    assert labels() == {"a": "right", "b": "none", "c": "none"}
+    assert labels(batch=0) == {"a": "left", "b": "none"}
+    assert jobs.unprocessed(make(("a", "", 0), ("d", "", 0)), jobs.read_reviews(spark, chk), "sequence_id").count() == 1
+
+
+def files(folder):
+    return {str(p): p.stat().st_size for p in folder.rglob("*") if p.is_file() and p.suffix != ".crc"}
+
+
+def test_a_batch_of_reviews_writes_what_it_changes(spark, tmp_path):
+    src, chk = str(tmp_path / "src"), tmp_path / "chk"
+    many = spark.range(60_000).select(F.concat(F.lit("sequence "), "id").alias("sequence_id"), F.sha2(F.col("id").cast("string"), 256).alias("label"), F.lit(1).cast("long").alias("reviewed_at"))
+    run = lambda: jobs.upsert_reviews(spark, f"{src}/*", many.schema, str(chk)).awaitTermination()
+    many.write.parquet(f"{src}/1")
+    run()
+    before = files(chk / "state")
+    many.where("sequence_id = 'sequence 7'").withColumn("reviewed_at", F.lit(2).cast("long")).withColumn("label", F.lit("left")).coalesce(1).write.parquet(f"{src}/2")
+    run()
+    wrote = sum(n for p, n in files(chk / "state").items() if p not in before)
+    assert 0 < wrote < sum(before.values()) / 50
+    got = jobs.read_reviews(spark, str(chk))
+    assert got.count() == 60_000 and got.where("label = 'left'").count() == 1
+
+
+def test_reviews_after_a_killed_run(spark, tmp_path):
+    """A run that dies before its batch is committed leaves the batch to the next run."""
+    src, chk = str(tmp_path / "src"), tmp_path / "chk"
+    make = lambda *rows: spark.createDataFrame(rows, "sequence_id string, label string, reviewed_at long").coalesce(1)
+    first = make(("a", "left", 1))
+    run = lambda: jobs.upsert_reviews(spark, f"{src}/*", first.schema, str(chk)).awaitTermination()
+    first.write.parquet(f"{src}/1")
+    run()
+    make(("a", "right", 2), ("b", "none", 2)).write.parquet(f"{src}/2")
+    run()
+    want = sorted(map(tuple, jobs.read_reviews(spark, str(chk)).collect()))
+    for p in (chk / "commits").iterdir():
+        if p.name.strip(".").split(".")[0] == "1":
+            p.unlink()
+    run()
+    assert sorted(map(tuple, jobs.read_reviews(spark, str(chk)).collect())) == want == [("a", 2, "right"), ("b", 2, "none")]
+    assert (chk / "commits" / "1").exists()
 
 
 def test_tracker_links_and_confirms(spark):
