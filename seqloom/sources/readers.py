@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import canonical_sequence_id
 from ..functions.labels import PLACEHOLDERS, harmonize_label
 from ..operators.fusion import first_per
+from .json_parts import read_objects
 
 FRAME_COLUMNS = {"sequence": "string", "track_id": "long", "frame_id": "long", "class_id": "int", "score": "double", "x1": "double", "y1": "double", "x2": "double", "y2": "double", "crop_path": "string", "img_path": "string", "width": "int", "height": "int", "sequence_id": "string"}
 OPTIONAL_COLUMNS = {"true_label": "string", "sampled_frame_id": "long", "signal_start_frame": "long"}
@@ -36,16 +37,18 @@ def blank_placeholders(df: DataFrame, label: str) -> DataFrame:
     return df.crossJoin(F.broadcast(empty)).withColumn(label, F.when(~F.col("__blank"), F.col(label))).drop("__blank")
 
 
-def _stem() -> Column:
-    return F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[A-Za-z]+$", "")
+def _stem(path: Column | None = None) -> Column:
+    return F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path") if path is None else path, "/"), -1), r"\.[A-Za-z]+$", "")
 
 
 def read_predictions(spark: SparkSession, path: str, model: str) -> DataFrame:
     """A folder of one CSV or JSON file per sequence. The id is the file's stem, or the one in its metadata;
-    labels and ids are normalised; files named like reports are passed over."""
-    shape = "metadata struct<sequence_id:string>, predictions array<struct<frame_id:long,label:string,confidence:double,raw_output:string>>"
-    js = spark.read.schema(shape).option("multiLine", True).option("pathGlobFilter", "*.json").json(path).withColumn("stem", _stem())
-    js = js.where(~F.col("stem").rlike(NOT_PREDICTIONS)).select(F.coalesce("metadata.sequence_id", "stem").alias("id"), F.explode("predictions").alias("p")).select("id", "p.*")
+    labels and ids are normalised; files named like reports are passed over. A JSON file of any size is read by as
+    many tasks as it has splits."""
+    found = read_objects(spark, path, "*.json").withColumn("stem", _stem(F.col("path"))).where(~F.col("stem").rlike(NOT_PREDICTIONS))
+    parsed = lambda key, shape: found.where(F.col("key") == key).select("path", "stem", F.from_json("object", shape).alias("p"))
+    ids = parsed("metadata", "sequence_id string").select("path", F.col("p.sequence_id").alias("id"))
+    js = parsed("predictions", "frame_id long, label string, confidence double, raw_output string").join(ids, "path", "left").select(F.coalesce("id", "stem").alias("id"), "p.*")
     cs = spark.read.option("header", True).option("pathGlobFilter", "*.csv").schema("frame_id long, label string, confidence double").option("enforceSchema", False).csv(path).withColumn("id", _stem())
     cs = cs.where(~F.col("id").rlike(NOT_PREDICTIONS)).withColumn("raw_output", F.lit(None).cast("string"))
     both = js.unionByName(cs.select(*js.columns))
@@ -53,12 +56,13 @@ def read_predictions(spark: SparkSession, path: str, model: str) -> DataFrame:
     return both.select(canonical_sequence_id(F.col("id")).alias("sequence_id"), "frame_id", F.lit(model).alias("model_name"), harmonize_label(F.col("label")).alias("label"), conf.alias("confidence"), "raw_output")
 
 
-RESULTS = "results array<struct<sequence_id:string,track_id:long,num_frames:int,ground_truth:string,prediction:struct<label:string,segments:array<struct<label:string,start_frame:int,end_frame:int>>>>>"
+RESULT = "sequence_id string, track_id long, num_frames int, ground_truth string, prediction struct<label:string,segments:array<struct<label:string,start_frame:int,end_frame:int>>>"
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Nested results: one row per sequence with its label and segments."""
-    r = spark.read.schema(RESULTS).option("multiLine", True).json(path).select(F.explode("results").alias("r"))
+    """Nested results: one row per sequence with its label and segments. A file of any size is read by as many
+    tasks as it has splits."""
+    r = read_objects(spark, path).where("key = 'results'").select(F.from_json("object", RESULT).alias("r"))
     return r.select("r.sequence_id", "r.track_id", "r.num_frames", "r.ground_truth", F.col("r.prediction.label").alias("label"), F.col("r.prediction.segments").alias("segments"))
 
 
