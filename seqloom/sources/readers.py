@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from ..functions.keys import canonical_sequence_id
 from ..functions.labels import PLACEHOLDERS, harmonize_label
 from ..operators.fusion import first_per
 from .json_parts import read_objects
+from .zips import read_members
 
 FRAME_COLUMNS = {"sequence": "string", "track_id": "long", "frame_id": "long", "class_id": "int", "score": "double", "x1": "double", "y1": "double", "x2": "double", "y2": "double", "crop_path": "string", "img_path": "string", "width": "int", "height": "int", "sequence_id": "string"}
 OPTIONAL_COLUMNS = {"true_label": "string", "sampled_frame_id": "long", "signal_start_frame": "long"}
@@ -130,19 +128,9 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zipped(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """Members of zip files as rows: archive, member, text."""
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        if member.endswith(suffix):
-                            yield pd.DataFrame({"archive": [name], "member": [member], "text": [z.read(member).decode()]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, text string")
+    """Members of zip files as rows: archive, member, text. Archives of any size are read by as many tasks as they
+    have splits: the reader cuts them before each member, and a task holds one member at a time (see zips)."""
+    return read_members(spark, path, suffix)
 
 
 def read_detector_labels(spark: SparkSession, path: str) -> DataFrame:
