@@ -41,17 +41,16 @@ STEP = 1 << 21
 #: The shape of a word that equals the one before.
 AGAIN = 7
 
-_RUNS = re.compile(r"(?P<A>[A-Z]+)|(?P<a>[a-z]+)|(?P<n>[0-9]+)|(?P<o>[^\x00-\x7f]+)|(?P<s>(.)\6*)", re.S)
+#: Runs of one kind become one letter, and of a run of signs the first three stay.
+_RUNS = (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), (r"[^\x00-\x7f]+", "é"), (r"([!-/:-@\[-\x60{-~]{3})[!-/:-@\[-\x60{-~]+", r"\1"))
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _WORD = re.compile(WORD)
 
 
-def shape(word: str) -> str:
-    """Runs of one kind as one letter; a sign that repeats as itself twice."""
-    out = []
-    for m in _RUNS.finditer(word):
-        out.append(m.lastgroup if m.lastgroup != "s" else m[0][:2])
-    return "".join(out)
+def shapes(words: pa.Array) -> pa.Array:
+    for pattern, letter in _RUNS:
+        words = pc.replace_substring_regex(words, pattern, letter)
+    return words
 
 
 def _mixed(*parts: np.ndarray) -> np.ndarray:
@@ -67,10 +66,11 @@ def _buckets(words: pa.Array, before: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Buckets of the n-grams that end at each word, and the places of these words. before: how many words of
     its text come before a word."""
     coded = words.dictionary_encode()
-    each = coded.dictionary.to_pylist()
     at = coded.indices.to_numpy(zero_copy_only=False)
-    word = np.array([zlib.crc32(w.encode()) for w in each], dtype=np.uint64)[at]
-    form = np.array([zlib.crc32(shape(w).encode(), 1) for w in each], dtype=np.uint64)[at]
+    kinds = shapes(coded.dictionary).dictionary_encode()
+    numbers = lambda each: np.array([zlib.crc32(w.encode()) for w in each.to_pylist()], dtype=np.uint64)
+    word = numbers(coded.dictionary)[at]
+    form = numbers(kinds.dictionary)[kinds.indices.to_numpy(zero_copy_only=False)][at]
     place = np.arange(len(at))
     one, two = place[before >= 1], place[before >= 2]
     form[one[at[one] == at[one - 1]]] = AGAIN
@@ -202,11 +202,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _maybe_told(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """docs without most of those that have no row in told(doc_id): each id sets one of 16 to 32 times as many bits
+    as there are ids, 2^28 at most (32 MB, which bounds what is broadcast). So unlabelled texts are not moved."""
+    bits = 1 << 15
+    while bits < min(16 * told.count(), 1 << 28):
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maps = told.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("long").alias("__map")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("__bits"))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (at % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = docs.withColumn("__map", (at / 32768).cast("long")).join(F.broadcast(maps), "__map")
+    return rows.where(F.call_function("getbit", byte, (at % 8).cast("int")) == 1).drop("__map", "__bits")
+
+
 def _taught(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """y, draw, buckets of each document that has a label and is not held out. A document's labels count once;
-    those that contradict each other, and null ones, teach nothing."""
-    told = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("__most")).where(F.col("y") == F.col("__most")).drop("__most")
-    rows = docs.where(~held_out(F.col("doc_id"))).join(told, "doc_id").select(F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("draw"), "text")
+    those that contradict each other, and null ones, teach nothing. Very common ids need adaptive execution, which
+    splits their rows."""
+    same = F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id")
+    told = labels.where(F.col("quality").isin(0, 1)).select(same, "quality").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("__most")).where(F.col("y") == F.col("__most")).drop("__most")
+    told = told.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    # Moved whatever the size of the labels, so that cost grows in proportion.
+    rows = _maybe_told(docs.select("doc_id", "text"), told).join(told.hint("merge"), "doc_id").select(F.col("y").cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("draw"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,13 +21,21 @@ from .test_operators import none, odd, words  # noqa: F401
 def grams_brute(text):
     """n-grams of words and shapes as tuples."""
     every = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
-    forms = ["=" if k and w == every[k - 1] else quality.shape(w) for k, w in enumerate(every)]
+    shape = dict(zip(every, quality.shapes(pa.array(every, pa.string())).to_pylist()))
+    forms = ["=" if k and w == every[k - 1] else shape[w] for k, w in enumerate(every)]
     out = {(1, w) for w in every} | {(2, *every[k - 1 : k + 1]) for k in range(1, len(every))}
     return out | {(n + 2, *forms[k : k + n]) for n in (1, 2, 3) for k in range(len(forms) - n + 1)}
 
 
 def test_shapes():
-    assert [quality.shape(w) for w in ("The", "OF!!!!", "a,", "é1", "--", "x-y", "###a")] == ["Aa", "A!!", "a,", "on", "--", "a-a", "##a"]
+    assert quality.shapes(pa.array(["The", "OF!!!!", "a,", "é1", "--", "x-y", "###a", "&$%#é", ""])).to_pylist() == ["Aa", "A!!!", "a,", "é0", "--", "a-a", "###a", "&$%é", ""]
+
+
+def test_documents_that_may_have_labels(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    told = spark.range(0, 5000, 17).select(F.col("id").alias("doc_id"))
+    got = {r.doc_id for r in quality._maybe_told(docs, told).collect()}
+    assert set(range(0, 5000, 17)) <= got and len(got) < 700
 
 
 def test_ngram_sets_are_those_of_whole_texts(monkeypatch):
@@ -67,7 +76,7 @@ def test_log_count_ratios():
 
 def test_counts_are_those_of_all_labelled_rows(spark):
     docs = spark.createDataFrame([(k, f"w{k % 3} common") for k in range(60)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id int, quality int")
     kept = [k for k in range(50) if zlib.crc32(str(k).encode()) % 4 != 2]
     ones, zeros, n1, n0 = quality._counts(quality._taught(docs, labels))
     assert (n1, n0) == (sum(k % 2 for k in kept), sum(1 - k % 2 for k in kept))
