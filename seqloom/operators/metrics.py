@@ -47,26 +47,45 @@ def event_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return shared / (e1 - s1 + 1 + e2 - s2 + 1 - shared)
 
 
-def event_candidates(pred: DataFrame, truth: DataFrame, by, iou: float = 0.5, tolerance: int = 2) -> DataFrame:
-    """Pairs of events of one key and label that overlap by `iou` or agree at both ends within the
-    tolerance: pred_ord, true_ord."""
+#: Positions of a cell of time in which events meet.
+CELL = 16
+
+
+def _candidates(pred: DataFrame, truth: DataFrame, by, iou: float, tolerance: int) -> DataFrame:
+    """Events are listed in each cell that they reach, predicted ones wider by the tolerance, and meet there; the
+    cell in which both have begun counts. Events of one label follow each other, so cells hold a few of them."""
     p = pred.select(*by, "label", F.col("event_ord").alias("pred_ord"), F.col("start").alias("ps"), F.col("end").alias("pe"))
     t = truth.select(*by, "label", F.col("event_ord").alias("true_ord"), F.col("start").alias("ts"), F.col("end").alias("te"))
+    cell = lambda c: F.floor(c / CELL)
+    p = p.withColumn("__cell", F.explode(F.sequence(cell(F.col("ps") - tolerance), cell(F.col("pe") + tolerance))))
+    t = t.withColumn("__cell", F.explode(F.sequence(cell(F.col("ts")), cell(F.col("te")))))
+    here = F.col("__cell") == cell(F.greatest(F.col("ps") - tolerance, F.col("ts")))
     ok = (event_overlap(F.col("ps"), F.col("pe"), F.col("ts"), F.col("te")) >= iou) | ((F.abs(F.col("ps") - F.col("ts")) <= tolerance) & (F.abs(F.col("pe") - F.col("te")) <= tolerance))
-    return p.join(t, [*by, "label"]).where(ok).select(*by, "label", "pred_ord", "true_ord")
+    return p.join(t, [*by, "label", "__cell"]).where(here & ok).drop("__cell")
 
 
-def match_events(pred: DataFrame, truth: DataFrame, by, iou: float = 0.5, tolerance: int = 2) -> DataFrame:
-    """Greedy one-to-one matching per key: predicted events in order take their first free candidate.
-    n_pred, n_true, tp, fp, fn. The fold runs over one track's events."""
-    c = event_candidates(pred, truth, by, iou, tolerance).groupBy(*by, "pred_ord").agg(F.array_sort(F.collect_list("true_ord")).alias("c"))
-    lists = c.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pred_ord", "c"))).alias("ps"))
+def event_candidates(pred: DataFrame, truth: DataFrame, by, iou: float = 0.5, tolerance: int = 2) -> DataFrame:
+    """Pairs of events of one key and label that overlap by `iou` (over 0) or agree at both ends within the
+    tolerance: pred_ord, true_ord."""
+    return _candidates(pred, truth, by, iou, tolerance).select(*by, "label", "pred_ord", "true_ord")
 
-    def step(used: Column, x: Column) -> Column:
-        free = F.get(F.filter(x["c"], lambda i: ~F.array_contains(used, i)), F.lit(0))
-        return F.when(free.isNotNull(), F.concat(used, F.array(free))).otherwise(used)
 
-    tp = lists.select(*by, F.size(F.aggregate("ps", F.array().cast("array<bigint>"), step)).cast("long").alias("tp"))
+def match_events(pred: DataFrame, truth: DataFrame, by, iou: float = 0.5, tolerance: int = 2) -> DataFrame:
+    """Greedy one-to-one matching per key: predicted events in order take their first free candidate.
+    n_pred, n_true, tp, fp, fn. Events come in the order of their positions, those of a label without overlap, as
+    events() gives them. A sweep over each label's predicted events: of the events that are taken it keeps those
+    that a later one can still reach, a few at any time."""
+    c = _candidates(pred, truth, by, iou, tolerance).groupBy(*by, "label", "pred_ord").agg(F.min("ps").alias("ps"), F.array_sort(F.collect_list(F.struct("true_ord", "te"))).alias("c"))
+    lists = c.groupBy(*by, "label").agg(F.array_sort(F.collect_list(F.struct("pred_ord", "ps", "c"))).alias("ps"))
+    zero = F.struct(F.lit(0).cast("long").alias("tp"), F.array().cast("array<struct<true_ord:bigint,te:bigint>>").alias("used"))
+
+    def step(state: Column, x: Column) -> Column:
+        near = F.filter(state["used"], lambda u: u["te"] + tolerance >= x["ps"])
+        free = F.get(F.filter(x["c"], lambda i: ~F.exists(state["used"], lambda u: u["true_ord"] == i["true_ord"])), F.lit(0))
+        taken = F.struct((state["tp"] + 1).alias("tp"), F.concat(near, F.array(F.struct(free["true_ord"].cast("long").alias("true_ord"), free["te"].cast("long").alias("te")))).alias("used"))
+        return F.when(free.isNotNull(), taken).otherwise(F.struct(state["tp"].alias("tp"), near.alias("used")))
+
+    tp = lists.select(*by, F.aggregate("ps", zero, step)["tp"].alias("tp")).groupBy(*by).agg(F.sum("tp").alias("tp"))
     n = lambda df, name: df.groupBy(*by).agg(F.count("*").alias(name))
     out = n(pred, "n_pred").join(n(truth, "n_true"), list(by), "full_outer").join(tp, list(by), "left").na.fill(0, ["n_pred", "n_true", "tp"])
     return out.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_true") - F.col("tp"))

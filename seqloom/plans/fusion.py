@@ -269,7 +269,17 @@ def j19_event_candidates(t):
     return metrics.event_candidates(*_events(t), series.KEY)
 
 
-@query()
+_RATIO = "coalesce(round({a} / nullif({b}, 0), 6), 0)::DOUBLE"
+
+
+@query(f"""WITH RECURSIVE {_EV}, p AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, track_id ORDER BY s) AS o FROM pe), q AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, track_id ORDER BY s) AS o FROM te),
+x AS (SELECT p.*, q.o AS t, greatest(least(p.e, q.e) - greatest(p.s, q.s) + 1, 0) AS shared, q.s AS ts, q.e AS te FROM p JOIN q ON p.sequence_id = q.sequence_id AND p.track_id = q.track_id AND p.label = q.label),
+c0 AS (SELECT sequence_id, track_id, o, list(t ORDER BY t) AS c FROM x WHERE shared::DOUBLE / (e - s + 1 + te - ts + 1 - shared) >= 0.5 OR (abs(s - ts) <= 2 AND abs(e - te) <= 2) GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, track_id ORDER BY o) AS k FROM c0),
+g AS (SELECT sequence_id, track_id, 0::BIGINT AS k, []::BIGINT[] AS used FROM c WHERE k = 1
+  UNION ALL SELECT g.sequence_id, g.track_id, c.k, CASE WHEN len(list_filter(c.c, lambda i: NOT list_contains(g.used, i))) > 0 THEN list_append(g.used, list_filter(c.c, lambda i: NOT list_contains(g.used, i))[1]) ELSE g.used END
+  FROM g JOIN c ON c.sequence_id = g.sequence_id AND c.track_id = g.track_id AND c.k = g.k + 1),
+m AS (SELECT sequence_id, track_id, max(len(used)) AS tp FROM g GROUP BY ALL), a AS (SELECT sequence_id, track_id, count(*) AS n_pred FROM p GROUP BY ALL), b AS (SELECT sequence_id, track_id, count(*) AS n_true FROM q GROUP BY ALL),
+f AS (SELECT sequence_id, track_id, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true, coalesce(tp, 0) AS tp FROM a FULL JOIN b USING (sequence_id, track_id) LEFT JOIN m USING (sequence_id, track_id))
+SELECT *, n_pred - tp AS fp, n_true - tp AS fn, {_RATIO.format(a='tp', b='n_pred')} AS precision, {_RATIO.format(a='tp', b='n_true')} AS recall, coalesce(round(2 * (tp / nullif(n_pred, 0)) * (tp / nullif(n_true, 0)) / nullif(tp / nullif(n_pred, 0) + tp / nullif(n_true, 0), 0), 6), 0)::DOUBLE AS f1 FROM f""", "labelled")
 def a25_event_metrics(t):
-    """Greedy matching is a fold: tests hold it against a plain loop."""
     return metrics.scores(metrics.match_events(*_events(t), series.KEY))

@@ -1,5 +1,6 @@
 """Hand fixtures, and folds against plain loops on random sequences."""
 
+import bisect
 import math
 import random
 import time
@@ -91,6 +92,29 @@ def test_event_matching_equals_a_loop(spark):
         assert got.get(k, (0, 0, 0)) == want
 
 
+def test_matching_of_a_long_track(spark):
+    """Some 50,000 events of one track in seconds, equal to the loop over all pairs near each other."""
+    r = random.Random(15)
+    a = "".join(r.choice("nnllrh") * r.randint(1, 3) for _ in range(100_000))
+    b = "".join(c if r.random() < 0.9 else r.choice("nlrh") for c in a)
+    p, t = series.events(track(spark, a)), series.events(track(spark, b))
+    began = time.perf_counter()
+    got = metrics.match_events(p, t, series.KEY, 0.5, 2).first()
+    took = time.perf_counter() - began
+    pred, true = runs(a), runs(b)
+    starts, used, tp = [s for _, s, _ in true], set(), 0
+    for label, s, e in pred:
+        for k in range(max(0, bisect.bisect(starts, s - 12) - 2), bisect.bisect(starts, e + 3)):
+            m, x, y = true[k]
+            shared = max(0, min(e, y) - max(s, x) + 1)
+            near = shared / (e - s + 1 + y - x + 1 - shared) >= 0.5 or (abs(s - x) <= 2 and abs(e - y) <= 2)
+            if k not in used and m == label and near:
+                used.add(k)
+                tp += 1
+                break
+    assert (got.n_pred, got.n_true, got.tp) == (len(pred), len(true), tp) and len(pred) > 40_000 and took < 60
+
+
 @pytest.mark.parametrize("n,m,want", [(10, 4, [0, 3, 6, 9]), (7, 3, [0, 3, 6]), (25, 10, [0, 2, 5, 8, 10, 13, 16, 18, 21, 24])])
 def test_resample(spark, n, m, want):
     got = series.resample(track(spark, "n" * n), 1.0, m / n).orderBy("new_idx").collect()
