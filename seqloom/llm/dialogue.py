@@ -210,11 +210,12 @@ def audits(small: DataFrame) -> DataFrame:
     return gaps.join(told, "conv")
 
 
-def repaired(rows: DataFrame, told: DataFrame) -> DataFrame:
-    """The turns after the edits: conv, idx, sub (their order), role, text. Blocks of turns meet their edits."""
+def repaired(rows: DataFrame, told: DataFrame, by: tuple[str, ...] = ("conv", "block")) -> DataFrame:
+    """The turns after the edits: conv, idx, sub (their order), role, text. Blocks of turns meet their edits. Dealt
+    by conv alone, a conversation's turns come in order, from one task."""
     edits = told.select("conv", F.explode("blocks").alias("b")).select("conv", "b.block", F.lit(None).cast("long").alias("idx"), F.col("b.state").cast("string").alias("role"), F.col("b.edits").alias("text"))
     both = edits.unionByName(rows.select("conv", F.expr(f"idx div {BLOCK}").alias("block"), "idx", "role", "text"))
-    dealt = both.repartition("conv", "block").sortWithinPartitions("conv", "block", F.col("idx").asc_nulls_first())
+    dealt = both.repartition(*by).sortWithinPartitions("conv", "block", F.col("idx").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = (line for batch in batches for line in zip(*[c.to_pylist() for c in batch.columns]))
@@ -241,15 +242,19 @@ def repair(turns: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
     repeat each other are turns of their own: all but the first are duplicates. An empty table gives empty
     results; extra columns of any name are ignored. gaps is null where the numbers of turns lie so far apart that
     a long does not hold it."""
-    rows, small = examine(turns, **columns)
-    told = materialise(audits(small))
+    rows, told = _audited(turns, **columns)
     return told, repaired(rows, told)
 
 
+def _audited(turns: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
+    rows, small = examine(turns, **columns)
+    return rows, materialise(audits(small))
+
+
 def digests(turns: DataFrame) -> DataFrame:
-    """conv, repaired_sha256: the turns as role:text, joined by line feeds. A digest runs over a conversation from
-    its first to its last letter, so one task reads it, turn by turn."""
-    dealt = turns.repartition("conv").sortWithinPartitions("conv", "idx", "sub").select("conv", "role", "text")
+    """conv, repaired_sha256 of turns that come in order: role:text, joined by line feeds. A digest runs over a
+    conversation from its first to its last letter, so one task reads it, turn by turn."""
+    dealt = turns.select("conv", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = (line for batch in batches for line in zip(*[c.to_pylist() for c in batch.columns]))
@@ -272,7 +277,8 @@ def report(conversations: DataFrame, turns: DataFrame) -> DataFrame:
     """One row for each conversation of the first table, also where `turns` has nothing left of it: conv_id, gaps,
     blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
     key = F.coalesce(F.concat(F.lit("1"), F.col("conv_id").cast("string")), F.lit("0"))
-    told, after = repair(turns)
+    edited_rows, told = _audited(turns)
+    after = repaired(edited_rows, told, ("conv",))
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     zero: Column = F.lit(0).cast("long")
     rows = conversations.select("conv_id", key.alias("conv")).distinct().join(told.drop("blocks").withColumn("there", F.lit(True)), "conv", "left").join(digests(after), "conv", "left")
