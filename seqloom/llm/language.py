@@ -35,12 +35,50 @@ STEP = 1 << 20
 #: Languages that country domains hint at.
 SUFFIX_LANGUAGE = {"uk": "en", "us": "en", "au": "en", "ie": "en", "fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "ar": "es"}
 
-_MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_OPENS = re.compile(r"(?i)<(script|style)\b")
+_CLOSES = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+
+
+class Ahead:
+    """Where something comes next, for places that only move forward: a text is searched once, also where there
+    is no more of it."""
+
+    def __init__(self, search):
+        self.search, self.found = search, (0, 0)
+
+    def __call__(self, at: int) -> tuple[int, int] | None:
+        """Start and end of the first one from a place on."""
+        if self.found and (self.found == (0, 0) or self.found[0] < at):
+            self.found = self.search(at)
+        return self.found
 
 
 def plain(html: str) -> str:
-    """The text of a page: scripts, styles, comments and tags become spaces."""
-    return _MARKUP.sub(" ", html)
+    """The text of a page: scripts, styles, comments and tags become spaces. One that is not closed is a tag, and
+    a tag that is not closed is text. One scan forward, in proportion to the page whatever is in it."""
+
+    def fixed(mark: str) -> Ahead:
+        return Ahead(lambda at: (k, k + len(mark)) if (k := html.find(mark, at)) >= 0 else None)
+
+    def matched(pattern: re.Pattern) -> Ahead:
+        return Ahead(lambda at: m.span() if (m := pattern.search(html, at)) else None)
+
+    closes = {name: matched(p) for name, p in _CLOSES.items()}
+    comment, tag = fixed("-->"), fixed(">")
+    out, copied, at = [], 0, html.find("<")
+    while at >= 0:
+        end = tag(at + 1)
+        if not end:
+            break  # nothing more is closed
+        if m := _OPENS.match(html, at):
+            end = closes.get(m[1].lower(), tag)(m.end()) or end
+        elif html.startswith("<!--", at):
+            end = comment(at + 4) or end
+        out += [html[copied:at], " "]
+        copied = end[1]
+        at = html.find("<", copied)
+    out.append(html[copied:])
+    return "".join(out)
 
 
 def gram_ids(data: bytes) -> Iterator[np.ndarray]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import dialogue, merkle, quality, queries
+from seqloom.llm import dialogue, language, merkle, quality, queries
 from seqloom.llm.common import numbered, table
 
 from .test_operators import none, odd, words  # noqa: F401
@@ -333,3 +334,23 @@ def test_places_in_groups(spark):
         mine = sorted((r.idx, r.x, r.k) for r in got if r.g == g)
         assert [i for i, _, _ in mine] == list(range(len(mine)))
         assert [(x, k) for _, x, k in mine] == sorted(((x, k) for a, x, k in rows if a == g), key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
+
+
+# 8: the text of pages
+
+
+def test_pages_lose_their_markup():
+    pattern = __import__("re").compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    r = random.Random(12)
+    pieces = ["<script>", "<SCRIPT src=a>", "</script>", "</script  >", "<style>", "</Style\n>", "<scripts>", "<!--", "-->", "<!-->", "<", ">", "<p>", "</p", "text", " ", "é", "<>", "--", "</", "/script>", "<!-"]
+    for _ in range(20_000):
+        page = "".join(r.choice(pieces) for _ in range(r.randint(0, 14)))
+        assert language.plain(page) == pattern.sub(" ", page), page
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<style ", "<!--", "<", "<!-- >", "</script ", "<script></style>", "< >", "-->", "<script>x</script", "<style></style>"])
+def test_pages_are_read_in_proportion(piece):
+    page = piece * (5_000_000 // len(piece))
+    began = time.process_time()
+    language.plain(page)
+    assert time.process_time() - began < 8
