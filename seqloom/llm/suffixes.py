@@ -369,7 +369,7 @@ def sort_groups(strings: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_removed, n_bytes, n_spans, kept_sha256, has_repeats (and kept, the
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats (and kept, the
     bytes that remain, for documents that lose some).
 
     Texts are UTF-8 bytes, null counts as empty; strings are judged on the input, each occurrence in the
@@ -406,4 +406,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     removed = F.coalesce("n_removed", none)
     # Texts of very many copies meet them by broadcast.
     changed = materialise(changed.join(copies, KEY, "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))))
-    return join_skewed(own, changed, KEY, "n", docs.count(), "left").select("doc_id", removed.alias("n_removed"), "n_bytes", F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), (removed > 0).alias("has_repeats"), "kept")
+    return join_skewed(own, changed, KEY, "n", docs.count(), "left").select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), (removed > 0).alias("has_repeats"), "kept")
