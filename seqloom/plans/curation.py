@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, keys, labels
 from ..operators import edits, fusion, rules, sampling, series, tracks
+from ..operators.quantiles import quantiles
 from .base import Tables, query
 
 KEY = ["sequence_id", "track_id"]
@@ -107,8 +108,9 @@ def a35_curation_histograms(t):
 
 @query("SELECT ground_truth AS label, min(left_activity) AS low, max(left_activity) AS high, median(left_activity) AS median, round(avg(left_activity), 6) AS mean FROM params GROUP BY 1", "params")
 def a36_feature_statistics(t):
-    c = F.col("left_activity")
-    return t.params.groupBy(F.col("ground_truth").alias("label")).agg(F.min(c).alias("low"), F.max(c).alias("high"), F.median(c).alias("median"), _R6(F.avg(c)).alias("mean"))
+    c, rows = F.col("left_activity"), t.params.withColumnRenamed("ground_truth", "label")
+    rest = rows.groupBy("label").agg(F.min(c).alias("low"), F.max(c).alias("high"), _R6(F.avg(c)).alias("mean"))
+    return rest.join(quantiles(rows, ["label"], "left_activity", {"median": 0.5}), "label")
 
 
 @query("WITH n AS (SELECT true_label AS label, count(*) AS n FROM frames GROUP BY 1) SELECT label, coalesce(n, 0) AS n, round(sum(n) OVER ()::DOUBLE / (4 * greatest(coalesce(n, 0), 1)), 6) AS weight FROM domain LEFT JOIN n USING (label)", "frames", "domain")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import postprocess, segments, series
+from ..operators.quantiles import quantiles
 from .base import Tables, query
 from .fusion import labelled, model
 
@@ -377,7 +378,7 @@ def sequence_summary(t: Tables) -> DataFrame:
 @query(f"WITH {_RUNS}, d AS (SELECT sequence_id, track_id, true_label, count(*) AS n FROM frames GROUP BY ALL), x AS (SELECT sequence_id, track_id, round(max(n) / sum(n), 6) AS share FROM d GROUP BY ALL), e AS (SELECT count(*) AS total_events, count(DISTINCT track_id) AS with_signal FROM (SELECT DISTINCT track_id, run FROM r WHERE true_label <> 'none')), h AS (SELECT count(*) FILTER (true_label = 'none') AS n_none, count(*) FILTER (true_label = 'left') AS n_left, count(*) FILTER (true_label = 'right') AS n_right, count(*) FILTER (true_label = 'hazard') AS n_hazard FROM frames) SELECT total_events, with_signal, n_none, n_left, n_right, n_hazard, round(avg(share), 5) AS mean_share, round(median(share), 5) AS median_share FROM x, e, h GROUP BY ALL", "frames")
 def a24_dataset_summary(t):
     s = sequence_summary(t)
-    return s.agg(F.sum("events").alias("total_events"), F.count_if(F.col("events") > 0).alias("with_signal"), *[F.sum(f"n_{x}").alias(f"n_{x}") for x in ("none", "left", "right", "hazard")], F.round(F.avg("dominant_share"), 5).alias("mean_share"), F.round(F.median("dominant_share"), 5).alias("median_share"))
+    return s.agg(F.sum("events").alias("total_events"), F.count_if(F.col("events") > 0).alias("with_signal"), *[F.sum(f"n_{x}").alias(f"n_{x}") for x in ("none", "left", "right", "hazard")], F.round(F.avg("dominant_share"), 5).alias("mean_share")).crossJoin(F.broadcast(quantiles(s, [], "dominant_share", {"m": 0.5}))).withColumn("median_share", F.round("m", 5)).drop("m")
 
 
 @query("SELECT f.event_id, f.sequence_id || '__track_' || f.track_id AS key, coalesce(l.label, 'none') AS label, l.label IS NOT NULL AS matched FROM frames f LEFT JOIN labelled l ON l.event_id = f.event_id AND l.model_name = 'model_b'", "labelled")

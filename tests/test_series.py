@@ -10,7 +10,7 @@ import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
-from seqloom.operators import metrics, postprocess, sampling, segments, series
+from seqloom.operators import metrics, postprocess, quantiles, sampling, segments, series
 
 NAMES = {"n": "none", "l": "left", "r": "right", "h": "hazard", "b": "both"}
 
@@ -190,6 +190,25 @@ def repair_loop(segs, n):
     return out
 
 
+@pytest.mark.parametrize("bins", [4096, 3])
+def test_exact_quantiles(spark, monkeypatch, bins):
+    """Against numpy: groups of one value, ties, negative and very unequal values, nulls and infinities."""
+    monkeypatch.setattr(quantiles, "BINS", bins)
+    r = np.random.default_rng(4)
+    groups = {"one": [3.5], "ties": [1.0] * 40 + [2.0] * 41, "normal": r.normal(size=501).tolist(), "far": [1e300, -1e300, *r.random(30).tolist()], "powers": [10.0**k for k in range(-20, 20)], None: r.integers(-5, 5, 60).astype(float).tolist()}
+    rows = [(g, v) for g, vs in groups.items() for v in [*vs, None, float("nan"), float("inf")]] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q9": 0.9, "q10": 1.0}
+    got = {x.g: x for x in quantiles.quantiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        for name, share in shares.items():
+            assert got[g][name] == pytest.approx(np.quantile(vs, share), rel=1e-9, abs=1e-9), (g, name)
+    whole = quantiles.quantiles(df.where("g = 'normal'"), [], "v", {"m": 0.5}).first().m
+    assert whole == pytest.approx(np.median(groups["normal"]))
+    assert quantiles.quantiles(df.limit(0), [], "v", {"m": 0.5}).collect() == []
+
+
 def test_segment_repair_equals_a_loop(spark):
     r = random.Random(7)
     bound = lambda: None if r.random() < 0.2 else r.randint(-5, 30)
