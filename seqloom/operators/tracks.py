@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box, iou
+from .assignment import best_pairs, near_pairs
 
 
 def best_match(dets: DataFrame, tracks: DataFrame, by: list[str], least: float = 0.8) -> DataFrame:
@@ -31,47 +36,53 @@ def drop_short(df: DataFrame, by: list[str], least: int) -> DataFrame:
     return df.withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where(F.col("__n") >= least).drop("__n")
 
 
-def link_boxes(dets: DataFrame, by: str = "sequence", min_score: float = 0.5, min_iou: float = 0.3, max_lost: int = 5, confirm: int = 3) -> DataFrame:
+def link_boxes(dets: DataFrame, by: str = "sequence", min_score: float = 0.5, min_iou: float = 0.3, max_lost: int = 5, confirm: int = 3, appearance: str | None = None, max_distance: float = 0.3, share: float = 0.5) -> DataFrame:
     """Track ids for one recording's detections (by, frame_id, det_id, score, box): frame after frame, open
-    tracks and boxes are paired by falling overlap; a track without a box for over max_lost frames ends,
-    and those of fewer than `confirm` boxes drop out. Rows of a recording stream through its task frame by
-    frame; only open tracks are held until the last filter, a window. Parallel over recordings."""
+    tracks and boxes are paired so that the sum of overlaps above min_iou is the largest; a track without a box
+    for over max_lost frames ends, and those of fewer than `confirm` boxes drop out. With a vector column
+    `appearance`, pairs whose cosine distance is over max_distance are left out, and likeness counts with that
+    share. Rows of a recording stream through its task frame by frame; only open tracks are held until the last
+    filter, a window. Boxes meet in a grid, so a frame's work grows with the overlaps in it. Parallel over
+    recordings."""
     cols = ["x1", "y1", "x2", "y2"]
 
-    def overlap(a, b) -> float:
-        w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-        return w * h / union if union > 0 else 0.0
+    def likeness(a, b) -> float:
+        """Cosine; without a vector on either side nothing speaks against the pair."""
+        if a is None or b is None:
+            return 1.0
+        a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
+        size = np.sqrt(a @ a) * np.sqrt(b @ b)
+        return float(a @ b / size) if size else 0.0
+
+    def paired(tracks: list, boxes: list) -> list[tuple[int, int]]:
+        pairs = near_pairs([t[0] for t in tracks], [b[3:7] for b in boxes], min_iou)
+        if not appearance:
+            return best_pairs([(t, b, o - min_iou + 1e-9) for t, b, o in pairs])
+        alike = [(t, b, o, likeness(tracks[t][2], boxes[b][7])) for t, b, o in pairs]
+        return best_pairs([(t, b, (1 - share) * (o - min_iou) + share * (x - 1 + max_distance) + 1e-9) for t, b, o, x in alike if 1 - x <= max_distance])
 
     def run(batches):
-        import itertools
-
-        import pandas as pd
-
         rows = (r for pdf in batches for r in pdf.itertuples(index=False))
         for name, group in itertools.groupby(rows, key=lambda r: r[0]):
             open_tracks, next_id, out = {}, 0, []
-            for frame, dets_here in itertools.groupby(group, key=lambda r: r[1]):
-                dets_here = list(dets_here)
+            for frame, here in itertools.groupby(group, key=lambda r: r[1]):
+                here = list(here)
                 open_tracks = {k: v for k, v in open_tracks.items() if frame - v[1] <= max_lost}
-                pairs = sorted(((-overlap(v[0], d[3:7]), k, i) for k, v in open_tracks.items() for i, d in enumerate(dets_here)), key=lambda x: x)
-                used_t, used_d = set(), {}
-                for o, k, i in pairs:
-                    if -o >= min_iou and k not in used_t and i not in used_d:
-                        used_t.add(k)
-                        used_d[i] = k
-                for i, d in enumerate(dets_here):
-                    if i not in used_d:
-                        used_d[i] = next_id
+                ids = list(open_tracks)
+                found = {b: ids[t] for t, b in paired([open_tracks[k] for k in ids], here)}
+                for i, d in enumerate(here):
+                    if i not in found:
+                        found[i] = next_id
                         next_id += 1
-                    open_tracks[used_d[i]] = (d[3:7], frame)
-                    out.append((name, frame, d[2], used_d[i]))
+                    open_tracks[found[i]] = (d[3:7], frame, d[7])
+                    out.append((name, frame, d[2], found[i]))
                 if len(out) > 10_000:
                     yield pd.DataFrame(out, columns=[by, "frame_id", "det_id", "track_id"])
                     out = []
             if out:
                 yield pd.DataFrame(out, columns=[by, "frame_id", "det_id", "track_id"])
 
-    good = dets.where(F.col("score") >= min_score).select(by, F.col("frame_id").cast("long"), F.col("det_id").cast("long"), *[F.col(c).cast("double") for c in cols])
+    look = F.col(appearance).cast("array<double>") if appearance else F.lit(None).cast("array<double>")
+    good = dets.where(F.col("score") >= min_score).select(by, F.col("frame_id").cast("long"), F.col("det_id").cast("long"), *[F.col(c).cast("double") for c in cols], look.alias("__look"))
     found = good.repartition(by).sortWithinPartitions(by, "frame_id", "det_id").mapInPandas(run, f"`{by}` string, frame_id long, det_id long, track_id long")
     return drop_short(found, [by, "track_id"], confirm)

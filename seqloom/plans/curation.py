@@ -486,9 +486,18 @@ def d14_auto_labels(t):
     return series.back_label(k, "b").select(*KEY, "track_label").distinct()
 
 
-@query()
+_BOX = "{'id': %s, 'x1': d.x1, 'y1': d.y1, 'x2': d.x2, 'y2': d.y2, 'f': d.frame_id}"
+_SHARED = "greatest(least(o.x2, d.x2) - greatest(o.x1, d.x1), 0) * greatest(least(o.y2, d.y2) - greatest(o.y1, d.y1), 0)"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT sequence_id AS sequence, pos AS frame_id, event_id AS det_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY sequence_id ORDER BY pos) AS k FROM frames WHERE score >= 0.5),
+s AS (SELECT sequence, k, frame_id, det_id, 0::BIGINT AS track_id, 1::BIGINT AS next, [{_BOX % '0::BIGINT'}] AS open FROM d WHERE k = 1
+  UNION ALL SELECT sequence, k, frame_id, det_id, coalesce(id, next), next + (id IS NULL)::BIGINT, list_append(list_filter(near, lambda o: o.id IS DISTINCT FROM id), {_BOX.replace('d.', '') % 'coalesce(id, next)'})
+  FROM (SELECT *, list_sort(list_filter(list_transform(near, lambda o: {{'o': -({_SHARED.replace('d.', '')})::DOUBLE / ((o.x2 - o.x1) * (o.y2 - o.y1) + (x2 - x1) * (y2 - y1) - {_SHARED.replace('d.', '')}), 'id': o.id}}), lambda p: p.o <= -0.3::DOUBLE))[1].id AS id
+    FROM (SELECT d.*, s.next, list_filter(s.open, lambda o: d.frame_id - o.f <= 5) AS near FROM s JOIN d ON d.sequence = s.sequence AND d.k = s.k + 1)))
+SELECT sequence, frame_id, det_id, track_id FROM s""", "frames")
 def d08_linked_boxes(t):
-    """Tracker over each sequence's detections: tests hold its guarantees."""
+    """Tracker over each sequence's detections, one in a frame; tests hold frames of many against brute force."""
     d = t.frames.select(F.col("sequence_id").alias("sequence"), F.col("pos").alias("frame_id"), F.col("event_id").alias("det_id"), "score", "x1", "y1", "x2", "y2")
     return tracks.link_boxes(d, confirm=1)
 

@@ -1,11 +1,13 @@
+import itertools
 import json
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import fusion, models, rules, tracks
+from seqloom.operators import assignment, fusion, models, rules, tracks
 from seqloom.sources import images, readers, sinks
 from seqloom.streaming import jobs
 
@@ -265,6 +267,51 @@ def test_tracker_links_and_confirms(spark):
     assert all(by[10 * f + k] == by[k] for f in range(6) for k in range(2)) and by[0] != by[1]
 
 
+def test_near_pairs_are_all_pairs():
+    r = np.random.default_rng(5)
+    for scale, least in ((30, 0.3), (200, 0.05), (5, 0.8), (0.01, 0.3)):
+        corner, size = r.uniform(-100, 100, (120, 2)), r.uniform(0, 1, (120, 2)) ** 3 * scale
+        boxes = np.hstack([corner, corner + size]).tolist() + [[0, 0, 0, 0], [5, 5, 4, 9]]
+        a, b = boxes[:60] + boxes[120:], boxes[60:] + boxes[:20]
+        want = sorted((i, k, assignment.overlap(x, y)) for i, x in enumerate(a) for k, y in enumerate(b) if assignment.overlap(x, y) >= least)
+        assert sorted(assignment.near_pairs(a, b, least)) == want
+
+
+def test_pairs_have_the_largest_weight():
+    r = np.random.default_rng(6)
+    for _ in range(150):
+        n, m = map(int, r.integers(1, 5, 2))
+        pairs = [(i, k, round(float(r.uniform(-0.2, 1)), 3)) for i in range(n) for k in range(m) if r.random() < 0.6]
+        weight = {(i, k): w for i, k, w in pairs}
+        got = assignment.best_pairs(pairs)
+        assert len({i for i, _ in got}) == len({k for _, k in got}) == len(got)
+        best = max(sum(max(weight.get((i, k), 0), 0) for i, k in zip(range(n), p) if k < m) for p in itertools.permutations(range(m + n), n))
+        assert abs(sum(weight[p] for p in got) - best) < 1e-9
+
+
+def test_crowded_frames(spark):
+    """10,000 boxes in each frame that move a little: all are followed, and few pairs are looked at."""
+    r = np.random.default_rng(7)
+    corner, size = r.uniform(0, 4000, (10_000, 2)), r.uniform(20, 40, (10_000, 2))
+    frames = [corner + f * r.normal(0, 0.5, corner.shape) for f in range(3)]
+    assert len(assignment.near_pairs(np.hstack([frames[0], frames[0] + size]).tolist(), np.hstack([frames[1], frames[1] + size]).tolist(), 0.3)) < 60_000
+    pdf = pd.concat([pd.DataFrame({"sequence": "r", "frame_id": f, "det_id": f * 10_000 + np.arange(10_000), "score": 0.9, "x1": c[:, 0], "y1": c[:, 1], "x2": c[:, 0] + size[:, 0], "y2": c[:, 1] + size[:, 1]}) for f, c in enumerate(frames)])
+    got = tracks.link_boxes(spark.createDataFrame(pdf), confirm=1).toPandas().set_index("det_id").track_id.sort_index()
+    right = (got.loc[:9_999].to_numpy() == got.loc[10_000:19_999].to_numpy()).mean()
+    assert len(got) == 30_000 and right > 0.995
+
+
+def test_appearance_tells_crossing_tracks_apart(spark):
+    """Two boxes that change places between frames: vectors decide, overlap alone does not."""
+    look = {0: [1.0, 0.0], 1: [0.0, 1.0]}
+    rows = [("r", f, 2 * f + k, 0.9, 10.0 * (k if f < 2 else 1 - k), 0.0, 10.0 * (k if f < 2 else 1 - k) + 50, 50.0, look[k]) for f in range(4) for k in range(2)]
+    df = spark.createDataFrame(rows, "sequence string, frame_id long, det_id long, score double, x1 double, y1 double, x2 double, y2 double, look array<double>")
+    with_look = {r.det_id: r.track_id for r in tracks.link_boxes(df, appearance="look").collect()}
+    without = {r.det_id: r.track_id for r in tracks.link_boxes(df).collect()}
+    assert all(with_look[2 * f + k] == with_look[k] for f in range(4) for k in range(2))
+    assert without[6] == without[1]
+
+
 def test_classifier_and_rule(spark):
     rows = [(float(k % 2), [float(k % 2) * 3 + (k % 7) * 0.1, 1.0]) for k in range(60)]
     df = spark.createDataFrame(rows, "label double, features array<double>")
