@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fitted(a: Column, size: Column | int, fill: Column) -> Column:
@@ -55,23 +58,21 @@ def deviation(a: Column) -> Column:
     return let(F.struct(a.alias("a"), mean(a).alias("m")), lambda v: F.sqrt(F.try_divide(F.aggregate(v["a"], F.lit(0.0), lambda s, x: s + (x - v["m"]) * (x - v["m"])), F.size(v["a"]))))
 
 
-def periodogram(a: Column) -> Column:
-    """DFT magnitudes of the series less its mean, at the positive frequencies k / n below one half. Costs
-    n * n steps: for tracks of tens to hundreds of values."""
-    empty = F.array().cast("array<double>")
-
-    def power(c: Column) -> Column:
-        """Of values c around their mean."""
-        bins = F.sequence(F.lit(1), F.floor((F.size(c) - 1) / 2).cast("int"))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _magnitudes(series: pd.Series) -> pd.Series:
+    def one(a):
+        if a is None or len(a) < 3:
+            return None if a is None else []
+        x = np.asarray(a, dtype=float)
+        return np.abs(np.fft.rfft(x - x.mean()))[1 : (len(x) - 1) // 2 + 1]
 
-        def part(turn: Column, f) -> Column:
-            return F.aggregate(F.transform(c, lambda x, i: x * f(turn * i)), F.lit(0.0), lambda s, x: s + x)
+    return series.map(one)
 
-        size = lambda t: F.sqrt(F.pow(part(t, F.cos), F.lit(2.0)) + F.pow(part(t, F.sin), F.lit(2.0)))
-        return F.transform(F.transform(bins, lambda k: F.lit(2.0) * F.pi() * k / F.size(c)), size)
 
-    centred = let(F.struct(a.alias("a"), mean(a).alias("m")), lambda v: F.transform(v["a"], lambda x: x - v["m"]))
-    return F.when(F.size(a) >= 3, let(centred, power)).otherwise(empty)
+def periodogram(a: Column) -> Column:
+    """DFT magnitudes of the series less its mean, at the positive frequencies k / n below one half; none of under
+    three values. A fast transform of any length, n log n steps, on Arrow batches."""
+    return _magnitudes(a.cast("array<double>"))
 
 
 def periodicity(a: Column, fps: float = 10.0, f_min: float = 1.0, f_max: float = 2.5, times: float = 2.0) -> Column:

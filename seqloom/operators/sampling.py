@@ -10,6 +10,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialise
+
 #: A prime and a multiplier: (key * MULT + seed) % PRIME orders keys.
 PRIME, MULT = 1_000_003, 7919
 
@@ -118,17 +120,38 @@ def falls_into(points: DataFrame, x: str, intervals: DataFrame, low: str, high:
     return points.withColumn("__cell", cell(x)).join(listed, [*by, "__cell"]).where((F.col(x) >= F.col(low)) & (F.col(x) < F.col(high))).drop("__cell", width)
 
 
+#: A prime for draws, 2^31 - 1, and factors of a square and a number modulo it.
+DRAWS, SQUARE, LINEAR = 2_147_483_647, 48_271, 69_621
+
+
+def uniform(number: Column, seed: int = 42) -> Column:
+    """A number in (0, 1) for each whole number: a square modulo a prime, so that other engines agree."""
+    d = F.pmod(number, F.lit(DRAWS))
+    return ((d * d % DRAWS * SQUARE + d * LINEAR + seed) % DRAWS + 0.5) / DRAWS
+
+
+def placed(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """The row number in a group by columns of any kind, from 1. Rows are dealt by ranges of group and order and
+    written, numbered in their range, and moved by the group's rows in lower ranges: no group is one task."""
+    dealt = materialise(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part"))  # one row for each range
+    counts = counts.select(*by, "__part", (upto - F.col("__n")).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+    return matched(dealt.withColumn("__inner", inner), counts, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__inner")).drop("__inner", "__part", "__before")
+
+
 def weighted_resample(df: DataFrame, n: int, weight: Column, key: str, seed: int = 42) -> DataFrame:
     """n draws with replacement, in proportion to weight. Weights are summed by hash buckets, each draw falls
     into one bucket, and inside it into one row; no window runs over the whole table. Cells are as wide as a
     mean row, so a draw meets two rows or so at any size."""
-    rows = df.withColumn("__w", weight.cast("double")).withColumn("__b", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    rows = df.withColumn("__w", weight.cast("double")).withColumn("__b", F.coalesce(order_hash(key, seed) % PARTS, F.lit(-1)))
     w = Window.partitionBy("__b").orderBy(key)
     rows = rows.withColumn("__hi", F.sum("__w").over(w)).withColumn("__lo", F.col("__hi") - F.col("__w"))
     sums = rows.groupBy("__b").agg(F.max("__hi").alias("__s"), F.count("*").alias("__n"))  # at most PARTS rows
     sums = sums.withColumn("__shi", F.sum("__s").over(Window.orderBy("__b"))).withColumn("__slo", F.col("__shi") - F.col("__s"))
     sums = sums.withColumn("__t", F.max("__shi").over(Window.partitionBy())).withColumn("__step", F.col("__t") / PARTS)
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), ((F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)).alias("__u"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("__u"))
     whole = sums.agg(F.max("__t").alias("__total"), F.max("__step").alias("__step"))  # one row
     draws = draws.crossJoin(F.broadcast(whole)).withColumn("__y", F.col("__u") * F.col("__total")).select("draw", "__y", "__step")
     placed = falls_into(draws, "__y", F.broadcast(sums), "__slo", "__shi", "__step", [])

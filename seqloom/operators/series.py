@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .sampling import placed
+
 KEY = ("sequence_id", "track_id")
 ORDER = "frame_id"
 NONE = "none"
@@ -243,10 +245,10 @@ def moving_average(df: DataFrame, value: str, size: int = 3, by=KEY, order: str
 
 
 def length_batches(df: DataFrame, tolerance: int, most: int, by=KEY) -> DataFrame:
-    """Tracks of like length in batches of at most `most`: bucket, batch, num_frames."""
+    """Tracks of like length in batches of at most `most`: bucket, batch, num_frames. A bucket of any size is
+    ranked by ranges."""
     n = df.groupBy(*by).agg(F.count("*").alias("num_frames")).withColumn("bucket", F.floor(F.col("num_frames") / tolerance))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("num_frames", *by)) - 1
-    return n.withColumn("batch", F.floor(place / most))
+    return placed(n, ["bucket"], ["num_frames", *by], "__place").withColumn("batch", F.floor((F.col("__place") - 1) / most)).drop("__place")
 
 
 #: Fixed values of the hidden Markov smoother: states, transitions from each, and weights of what is seen.

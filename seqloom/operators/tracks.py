@@ -6,19 +6,43 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box, iou
 from .assignment import best_pairs, near_pairs
 
 
+def _cells(low: str, high: str, least: float, look: bool) -> Column:
+    """Cells (level, place) along one axis. A side of length w lies on the level of the next power of two, in the
+    cell of that width where it begins; one that looks lists the levels and cells where a side may lie that shares
+    `least` of their union with it: its length is between w * least and w / least, it begins at most
+    w (1 / least - 1) before and w (1 - least) after it."""
+    w, x = (F.col(high) - F.col(low)).cast("double"), F.col(low).cast("double")
+    level = lambda v: F.ceil(F.log2(v))
+    cell = lambda v, k: F.floor(v / F.pow(F.lit(2.0), k))
+    if not look:
+        return F.array(F.struct(level(w).alias("level"), cell(x, level(w)).alias("cell")))
+    slack = w * 1e-6  # more than rounding moves
+    levels = F.sequence(level(w * least - slack), level(w / least + slack))
+    each = lambda k: F.transform(F.sequence(cell(x - w * (1 / least - 1) - slack, k), cell(x + w * (1 - least) + slack, k)), lambda c: F.struct(k.alias("level"), c.alias("cell")))
+    return F.flatten(F.transform(levels, each))
+
+
 def best_match(dets: DataFrame, tracks: DataFrame, by: list[str], least: float = 0.8) -> DataFrame:
-    """Each detection's track of the largest overlap in its frame, from `least` on; the first track wins ties.
-    An equi-join on the frame carries the overlap test."""
-    d = dets.select(*by, "det_id", *[F.col(c).alias(f"d_{c}") for c in ("x1", "y1", "x2", "y2")])
-    t = tracks.select(*by, "trk_id", *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = d.join(t, by).withColumn("iou", iou(box("d_"), box("t_"))).where(F.col("iou") >= least)
+    """Each detection's track of the largest overlap in its frame, from `least` (over 0) on; the first track wins
+    ties. Boxes of a frame meet in cells of a grid, by size and place, so pairs grow with the overlaps in a frame
+    and not with the square of its boxes."""
+    sides = ("x1", "y1", "x2", "y2")
+
+    def gridded(df: DataFrame, prefix: str, look: bool) -> DataFrame:
+        c = lambda k: f"{prefix}{k}"
+        full = df.where((F.col(c("x2")) > F.col(c("x1"))) & (F.col(c("y2")) > F.col(c("y1"))))
+        return full.withColumn("__x", F.explode(_cells(c("x1"), c("x2"), least, look))).withColumn("__y", F.explode(_cells(c("y1"), c("y2"), least, look)))
+
+    d = gridded(dets.select(*by, "det_id", *[F.col(c).alias(f"d_{c}") for c in sides]), "d_", True)
+    t = gridded(tracks.select(*by, "trk_id", *[F.col(c).alias(f"t_{c}") for c in sides]), "t_", False)
+    pairs = d.join(t, [*by, "__x", "__y"]).withColumn("iou", iou(box("d_"), box("t_"))).where(F.col("iou") >= least)
     rank = F.row_number().over(Window.partitionBy(*by, "det_id").orderBy(F.desc("iou"), "trk_id"))
     return pairs.withColumn("__r", rank).where("__r = 1").select(*by, "det_id", "trk_id", "iou")
 

@@ -294,8 +294,10 @@ def j06_best_iou_match(t):
 @query("WITH a AS (SELECT event_id AS anchor, sequence_id, track_id, frame_id AS af FROM frames WHERE event_id IN (SELECT event_id FROM events WHERE event_type = 'signup')), w AS (SELECT a.anchor, f.event_id, row_number() OVER (PARTITION BY a.anchor ORDER BY f.frame_id) - 1 AS k FROM a JOIN frames f ON f.sequence_id = a.sequence_id AND f.track_id = a.track_id AND f.frame_id BETWEEN greatest(0, af - 10) AND af + 10) SELECT anchor, event_id FROM w WHERE k % 2 = 0", "frames")
 def j07_anchor_windows(t):
     a = t.frames.join(t.events.where("event_type = 'signup'").select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("anchor"), *KEY, F.col("frame_id").alias("af"))
-    f = F.col("frame_id")
-    near = t.frames.join(a, KEY).where((f >= F.greatest(F.lit(0), F.col("af") - 10)) & (f <= F.col("af") + 10))
+    f, cell = F.col("frame_id"), lambda c: F.floor(c / 21)
+    a = a.withColumn("low", F.greatest(F.lit(0), F.col("af") - 10)).withColumn("high", F.col("af") + 10)
+    a = a.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))  # two at most
+    near = t.frames.withColumn("cell", cell(f)).join(a, [*KEY, "cell"]).where(f.between(F.col("low"), F.col("high")))
     return series.stride_sample(near, 2, by=("anchor",)).select("anchor", "event_id")
 
 
@@ -439,9 +441,12 @@ def r07_random_sample(t):
     return t.events.orderBy(sampling.order_hash("event_id"), "event_id").limit(100).select("event_id")
 
 
-@query()
+@query(f"""WITH w AS (SELECT event_id, true_label, CASE WHEN true_label = 'none' THEN 1 ELSE 4 END::DOUBLE AS w, (event_id * {sampling.MULT} + 42) % {sampling.PRIME} % {sampling.PARTS} AS b FROM frames),
+c AS (SELECT *, sum(w) OVER (PARTITION BY b ORDER BY event_id) AS hi FROM w), s AS (SELECT b, max(hi) AS s FROM c GROUP BY b), p AS (SELECT b, sum(s) OVER (ORDER BY b) AS shi, sum(s) OVER (ORDER BY b) - s AS slo FROM s),
+d AS (SELECT range AS draw, ((range * range % {sampling.DRAWS} * {sampling.SQUARE} + range * {sampling.LINEAR} + 42) % {sampling.DRAWS} + 0.5::DOUBLE) / {sampling.DRAWS}::DOUBLE * (SELECT max(shi) FROM p) AS y FROM range((SELECT count(*) FROM frames)))
+SELECT draw, event_id, true_label FROM d JOIN p ON y >= slo AND y < shi JOIN c ON c.b = p.b AND y - slo >= hi - w AND y - slo < hi""", "frames")
 def r08_weighted_resample(t):
-    """Seeded draws with replacement: tests hold the shares against the weights."""
+    """Seeded draws with replacement."""
     f = t.frames.withColumn("w", F.when(F.col("true_label") == "none", 1.0).otherwise(4.0))
     return sampling.weighted_resample(f, f.count(), F.col("w"), "event_id").select("draw", "event_id", "true_label")
 

@@ -235,9 +235,14 @@ def w23_segments_last_wins(t):
     return segments.to_frames(t.frames.select(*KEY, "pos", "event_id"), _segment_rows(t), KEY, overlap="last").select("event_id", "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SEGS}, n AS (SELECT sequence_id, track_id, count(*)::INT - 1 AS last FROM frames GROUP BY ALL),
+x AS (SELECT segs.*, last, row_number() OVER w AS k, count(*) OVER (PARTITION BY sequence_id, track_id) AS m FROM segs JOIN n USING (sequence_id, track_id) WINDOW w AS (PARTITION BY sequence_id, track_id ORDER BY seg_ord)),
+r AS (SELECT sequence_id, track_id, 0::BIGINT AS k, 0 AS cursor, []::STRUCT(l VARCHAR, s INT, e INT)[] AS parts FROM n
+  UNION ALL SELECT sequence_id, track_id, k, CASE WHEN cursor > last THEN cursor ELSE b + 1 END, CASE WHEN cursor > last THEN parts ELSE list_append(parts, {{'l': label, 's': a, 'e': b}}) END
+  FROM (SELECT *, CASE WHEN k = m THEN last ELSE least(greatest(e, a), last) END AS b FROM (SELECT x.*, r.cursor, r.parts, least(greatest(x.s, r.cursor), x.last) AS a FROM r JOIN x ON x.sequence_id = r.sequence_id AND x.track_id = r.track_id AND x.k = r.k + 1))),
+z AS (SELECT r.*, last, len(parts) AS n FROM r JOIN n USING (sequence_id, track_id) QUALIFY k = max(k) OVER (PARTITION BY sequence_id, track_id))
+SELECT sequence_id, track_id, array_to_string(list_transform(parts, lambda p, i: p.l || ':' || p.s || '-' || CASE WHEN i = n THEN last ELSE p.e END), ',') AS repaired FROM z""", "frames")
 def w24_segment_repair(t):
-    """The cursor runs through the segments: tests hold the fold against a plain loop."""
     return _segment_lists(t).select(*KEY, _text(segments.repair(F.col("segments"), F.col("n"))).alias("repaired"))
 
 

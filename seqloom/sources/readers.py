@@ -158,13 +158,15 @@ def landscape(images: DataFrame, least: int = 50) -> DataFrame:
 
 
 def resolve_images(frames: DataFrame, images: DataFrame, path: str = "crop_path", base: str = "") -> DataFrame:
-    """Frames with their image, found by the path as it is, under the base, or by name under the base."""
-    known = images.select(F.regexp_replace("origin", r"^file:/*", "/").alias("__o"), F.struct(*images.columns).alias("image"))
-    tries = [F.col(path), F.concat(F.lit(f"{base}/"), F.col(path)), F.concat(F.lit(f"{base}/"), F.element_at(F.split(path, "/"), -1))]
-    out = frames
-    for k, c in enumerate(tries):
-        out = out.withColumn(f"__p{k}", c).join(known.select(F.col("__o").alias(f"__p{k}"), F.col("image").alias(f"__i{k}")), f"__p{k}", "left")
-    return out.withColumn("image", F.coalesce(*[f"__i{k}" for k in range(3)])).drop(*[f"__{x}{k}" for k in range(3) for x in "pi"])
+    """Frames with their image, found by the path as it is, under the base, or by name under the base. Which image
+    a path stands for is settled with names alone; then each image's bytes are moved once."""
+    origin = F.regexp_replace("origin", r"^file:/*", "/").alias("__o")
+    tries = [F.col("__p"), F.concat(F.lit(f"{base}/"), F.col("__p")), F.concat(F.lit(f"{base}/"), F.element_at(F.split("__p", "/"), -1))]
+    paths = frames.select(F.col(path).alias("__p")).where("__p is not null").distinct()
+    named = paths.select("__p", F.posexplode(F.array(*tries)).alias("__k", "__o")).join(images.select(origin).distinct(), "__o")
+    found = named.groupBy("__p").agg(F.min_by("__o", "__k").alias("__o"))
+    out = frames.join(found, F.col(path) == F.col("__p"), "left").drop("__p")
+    return out.join(images.select(origin, F.struct(*images.columns).alias("image")), "__o", "left").drop("__o")
 
 
 def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -8,8 +8,10 @@ from collections import Counter
 
 import pytest
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from seqloom.functions import arrays
 from seqloom.operators import metrics, postprocess, quantiles, sampling, segments, series
 
 NAMES = {"n": "none", "l": "left", "r": "right", "h": "hazard", "b": "both"}
@@ -280,8 +282,28 @@ def test_windows_of_short_tracks_average_all_their_frames(spark):
     assert [got["b", k] for k in range(9)] == [(1, 0.8, True)] * 3 + [(0, 0.6, True)] + [(0, 1.0, True)] * 3 + [(0, 0.0, False)] * 2
 
 
+@pytest.mark.parametrize("n", [3, 4, 97, 1000, 100_003])
+def test_periodogram_of_any_length(spark, n):
+    x = np.random.default_rng(n).normal(size=n) + np.sin(np.arange(n))
+    df = spark.createDataFrame(pd.DataFrame({"a": [x.tolist()]}))
+    got = np.array(df.select(arrays.periodogram(F.col("a")).alias("p")).first().p)
+    k = np.arange(1, (n - 1) // 2 + 1)
+    some = k if n <= 1000 else np.array([1, 2, 17, 15_915, 50_001])
+    want = [abs(((x - x.mean()) * np.exp(-2j * np.pi * j * np.arange(n) / n)).sum()) for j in some]
+    assert len(got) == len(k) and np.allclose(got[some - 1], want, rtol=1e-6, atol=1e-6)
+
+
+def test_places_in_groups_of_any_size(spark):
+    r = random.Random(17)
+    rows = [(r.choice("aab"), r.choice([None, "x", "y", "z"]), k % 7, k) for k in range(1500)]
+    df = spark.createDataFrame(rows, "g string, s string, v int, k int").repartition(6)
+    got = sampling.placed(df, ["g"], ["v", "s", "k"], "place").collect()
+    for g in "ab":
+        mine = sorted((x.place, x.v, x.s is not None, x.s or "", x.k) for x in got if x.g == g)
+        assert [p for p, *_ in mine] == list(range(1, len(mine) + 1)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+
+
 def test_arrays_of_short_series(spark):
-    from seqloom.functions import arrays
 
     df = spark.createDataFrame([(k, [float(x % 2) for x in range(k)]) for k in range(6)], "k int, a array<double>")
     got = df.select("k", arrays.periodogram(F.col("a")).alias("p"), arrays.periodicity(F.col("a"), 4.0).alias("x"), arrays.mean(F.col("a")).alias("m"), arrays.deviation(F.col("a")).alias("d")).collect()

@@ -267,6 +267,29 @@ def test_tracker_links_and_confirms(spark):
     assert all(by[10 * f + k] == by[k] for f in range(6) for k in range(2)) and by[0] != by[1]
 
 
+@pytest.mark.parametrize("least", [0.8, 0.3, 0.5])
+def test_best_match_meets_all_pairs(spark, least):
+    """Boxes of very unlike sizes, on the edges of cells, equal ones and empty ones, against all pairs."""
+    r = np.random.default_rng(8)
+    rows = []
+    for frame in range(3):
+        corner, size = r.integers(-64, 64, (60, 2)) * r.choice([1, 0.5, 0.1]), 2.0 ** r.integers(-3, 7, (60, 2)) * r.choice([1.0, 0.9, 1.1], (60, 2))
+        boxes = np.hstack([corner, corner + size])
+        moved = boxes + r.normal(0, 0.05, boxes.shape) * np.hstack([size, size]) * (r.random((60, 1)) < 0.7)
+        rows += [(frame, k, *map(float, b), *map(float, m)) for k, (b, m) in enumerate(zip(boxes, moved))]
+        rows += [(frame, 98, 1.0, 1.0, 1.0, 5.0, 1.0, 1.0, 1.0, 5.0), (frame, 99, *rows[-1][2:6], *rows[-1][6:])]
+    df = spark.createDataFrame(rows, "f int, k long, ax1 double, ay1 double, ax2 double, ay2 double, bx1 double, by1 double, bx2 double, by2 double")
+    side = lambda p, name: df.select("f", F.col("k").alias(name), *[F.col(f"{p}{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    got = {(x.f, x.det_id): (x.trk_id, round(x.iou, 9)) for x in tracks.best_match(side("a", "det_id"), side("b", "trk_id"), ["f"], least).collect()}
+    want = {}
+    for f, k, *a in rows:
+        ways = [(-assignment.overlap(a[:4], b[6:]), b[1]) for b in rows if b[0] == f]
+        o, trk = min(ways)
+        if -o >= least:
+            want[f, k] = (trk, round(-o, 9))
+    assert got == want and len(want) > 30
+
+
 def test_near_pairs_are_all_pairs():
     r = np.random.default_rng(5)
     for scale, least in ((30, 0.3), (200, 0.05), (5, 0.8), (0.01, 0.3)):
