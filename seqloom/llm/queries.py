@@ -94,7 +94,85 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: shipped(f) for f in (op1_url_filter, op2_chat_format, op3_token_counts, op4_simhash, op5_mixing, op6_suffix_dedup, op7_sentencepiece, op8_language_id, op9_phrase_fingerprints, op10_exact_dedup, op11_quality_classifier, op12_conversation_repair, op13_merkle_manifest)}
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text: eight shifts for each byte."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    piece = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    return f"sha256({' || '.join(map(piece, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _fold_sql(name: str, runs: str) -> str:
+    """What a node's place becomes, level by level, when `now` stands there, and the siblings passed."""
+    around = "list_concat(hs[1:(i % 16)::INT], {}hs[((i % 16) + 2)::INT:])"
+    rest = around.format("")
+    whole = "list_concat(list_append(hs[1:(i % 16)::INT], now), hs[((i % 16) + 2)::INT:])"
+    return f"""{name} AS (SELECT id, tree, 0 AS level, i, now, proof FROM {name}_start
+  UNION ALL SELECT f.id, f.tree, f.level + 1, f.i // 16, sha256(array_to_string({whole}, '')), proof || array_to_string({rest}, '') FROM {name} f JOIN {runs} r ON r.tree = f.tree AND r.level = f.level AND r.run = f.i // 16)"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """All nodes of trees over leaves (tree, i, h), and the runs of nodes that have a parent."""
+    return f"""{name} AS (SELECT tree, 0 AS level, i, h FROM {leaves}
+  UNION ALL SELECT tree, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name}) WHERE c > 1 GROUP BY tree, level, i // 16),
+{name}_runs AS (SELECT tree, level, i // 16 AS run, list(h ORDER BY i) AS hs FROM (SELECT *, count(*) OVER (PARTITION BY tree, level) AS c FROM {name}) WHERE c > 1 GROUP BY ALL),
+{name}_top AS (SELECT tree, h FROM {name} QUALIFY level = max(level) OVER (PARTITION BY tree))"""
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_MANIFEST = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, {_leaf('text')} AS leaf, {_leaf(_LOWER)} AS lower, coalesce({_crc32('doc_id::VARCHAR')} % 5 = 0, false) AS tampered FROM documents),
+o AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM d),
+{_tree_sql('a', 'o')},
+s AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS i FROM a_top),
+{_tree_sql('b', 's')},
+f_start AS (SELECT id, tree, i, CASE WHEN tampered THEN lower ELSE leaf END AS now, '' AS proof FROM o),
+{_fold_sql('f', 'a_runs')},
+g_start AS (SELECT id, '' AS tree, s.i, now, proof FROM (SELECT * FROM f QUALIFY level = max(level) OVER (PARTITION BY id)) x JOIN s ON s.name = x.tree),
+{_fold_sql('g', 'b_runs')},
+e AS (SELECT * FROM g QUALIFY level = max(level) OVER (PARTITION BY id))
+SELECT doc_id, leaf, a_top.h AS subroot, b_top.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = b_top.h AS verified
+FROM e JOIN o USING (id) JOIN a_top ON a_top.tree = o.tree CROSS JOIN b_top"""
+
+
+def _add(x: str, cost: str, letter: str) -> str:
+    return f"{{'c': {x}.c + {cost}, 't': {x}.t || '{letter}'}}"
+
+
+def _least(*xs: str) -> str:
+    return f"list_sort([{', '.join(xs)}])[1]"
+
+
+_FAR = "{'c': 1000000000::BIGINT, 't': ''}"
+_SPREAD = f"{_least('u', _add('n', '2', 'I'), _add('s', '2', 'I'), _add('a', '2', 'I'))}"
+_REPAIR = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS harm FROM conversations),
+m AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE harm <> 0),
+o AS (SELECT coalesce('1' || conv_id::VARCHAR, '0') AS conv, turn, role, text, role[1] AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM m),
+t AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY k) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, CASE WHEN k > 1 AND lag(initial) OVER (PARTITION BY conv ORDER BY k) || initial NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM o),
+w AS (SELECT DISTINCT conv, 0::BIGINT AS k, {{'c': 0::BIGINT, 't': ''}} AS n, {_FAR} AS s, {_FAR} AS u, {_FAR} AS a FROM t
+  UNION ALL SELECT conv, k, {_add('n', '3', 'D')}, {_least(_add('s', '3', 'D'), f"CASE WHEN open AND initial = 's' THEN {_add('n', 'l', 'K')} ELSE {_FAR} END")},
+    {_least(_add('u', '3', 'D'), f"CASE WHEN open AND initial = 'u' THEN {_add('x', 'l', 'K')} ELSE {_FAR} END", f"CASE WHEN open THEN {_add('x', 'l + 2', 'R')} ELSE {_FAR} END")},
+    {_least(_add('a', '3', 'D'), f"CASE WHEN open AND initial = 'a' THEN {_add('u', 'l', 'K')} ELSE {_FAR} END", f"CASE WHEN open THEN {_add('u', 'l + 2', 'R')} ELSE {_FAR} END")}
+  FROM (SELECT *, {_least('n', 's', 'a')} AS x FROM (SELECT * REPLACE ({_least('a', _add('u', '2', 'I'))} AS a) FROM (
+    SELECT t.conv, t.k, t.initial, t.fault IN (0, 3) AS open, CASE WHEN t.fault = 3 THEN 1 ELSE 0 END AS l, w.n, w.s, {_SPREAD} AS u, w.a FROM w JOIN t ON t.conv = w.conv AND t.k = w.k + 1)))),
+z AS (SELECT conv, {_least('n', 'a', _add('u', '2', 'I'), _add('s', '4', 'II'), _add('n', '4', 'II'))} AS best FROM w QUALIFY k = max(k) OVER (PARTITION BY conv)),
+p AS (SELECT conv, best.t AS audit, 0::BIGINT AS done, 0::BIGINT AS k, '' AS prior, NULL::VARCHAR AS made FROM z
+  UNION ALL SELECT conv, audit, done, k, CASE WHEN role IS NULL THEN prior ELSE role[1] END, CASE WHEN role IS NULL THEN made ELSE coalesce(made || chr(10), '') || role || ':' || text END
+  FROM (SELECT p.conv, p.audit, p.done + 1 AS done, p.prior, p.made, CASE WHEN p.audit[p.done + 1] = 'I' THEN p.k ELSE p.k + 1 END AS k,
+    CASE p.audit[p.done + 1] WHEN 'D' THEN NULL WHEN 'K' THEN t.role ELSE CASE WHEN p.prior = 'u' THEN 'assistant' ELSE 'user' END END AS role, CASE WHEN p.audit[p.done + 1] = 'I' THEN '' ELSE t.text END AS text
+    FROM p LEFT JOIN t ON t.conv = p.conv AND t.k = p.k + 1 WHERE p.done < length(p.audit))),
+e AS (SELECT conv, sha256(coalesce(made, '')) AS digest FROM p WHERE done = length(audit)),
+q AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, sum(illegal)::BIGINT AS illegal FROM t GROUP BY conv)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.t, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('1' || conv_id::VARCHAR, '0') AS conv FROM conversations) x LEFT JOIN q USING (conv) LEFT JOIN z USING (conv) LEFT JOIN e USING (conv)"""
+
 SQL = {
+    "op12_conversation_repair": _REPAIR,
+    "op13_merkle_manifest": _MANIFEST,
     "op2_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, role, text FROM conversations
