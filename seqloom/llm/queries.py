@@ -171,6 +171,16 @@ SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id, coalesce('1' || conv_id::VARCHAR, '0') AS conv FROM conversations) x LEFT JOIN q USING (conv) LEFT JOIN z USING (conv) LEFT JOIN e USING (conv)"""
 
 SQL = {
+    "op6_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT id, i, md5(b[i + 1:i + 400]) AS h FROM (SELECT id, b, unnest(range(0, n - 399)) AS i FROM d)),
+r AS (SELECT id, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+g AS (SELECT id, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS k FROM (SELECT *, lag(i) OVER (PARTITION BY id ORDER BY i) AS before FROM r)),
+s AS (SELECT id, k, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY id, k),
+l AS (SELECT id, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends, sum(z - a)::BIGINT AS gone, count(*) AS spans FROM s GROUP BY id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(CASE WHEN spans IS NULL THEN b ELSE list_reduce(list_transform(range(0, spans + 1), lambda j: b[CASE WHEN j = 0 THEN 0 ELSE ends[j] END + 1:CASE WHEN j = spans THEN n ELSE starts[j + 1] END]), lambda x, y: x || y) END) AS kept_sha256, coalesce(gone, 0) > 0 AS has_repeats
+FROM d LEFT JOIN l USING (id)""",
     "op12_conversation_repair": _REPAIR,
     "op13_merkle_manifest": _MANIFEST,
     "op2_chat_format": r"""
