@@ -160,17 +160,18 @@ def edited(state: int, edits: str, rows: Iterator[tuple[str, str]]) -> Iterator[
 
 def examine(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The turns with their place in the conversation (conv, a key that is never null, conv_id, turn, role, text,
-    idx), and without texts, but with what is wrong with them (conv, idx, turn, code). Turns come by number (null first), those of one number by role and text.
+    idx), and without texts, but with what is wrong with them (conv, idx, turn, code). Turns come by number (null first), those of one number by a digest of role and text.
     A turn's first fault counts: blank, duplicate (role and text seen before), truncated."""
     key = F.coalesce(F.concat(F.lit("1"), quoted(conv_id).cast("string")), F.lit("0"))
     rows = turns.select(key.alias("conv"), quoted(conv_id).alias("conv_id"), quoted(turn).alias("turn"), quoted(role).alias("role"), quoted(text).alias("text"))
-    rows = materialise(numbered(rows, "conv", ["turn", "role", "text"], "idx"))
+    # Short, since keys of ranges are sampled; equal turns have equal ones.
+    same = F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
+    rows = materialise(numbered(rows.withColumn("same", same), "conv", ["turn", "same"], "idx"))
     bare = F.rtrim("text", F.lit(SPACE))
     initial = F.coalesce(F.nullif(F.instr(F.lit(INITIALS), F.substring("role", 1, 1)), F.lit(0)), F.lit(4)) - 1
     initial = F.when(F.col("role") == "", 3).otherwise(initial)
     blank, cut = bare == "", ~F.right(bare, F.lit(1)).isin(".", "!", "?")
-    same = F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
-    small = rows.select("conv", "idx", "turn", initial.alias("initial"), blank.alias("blank"), cut.alias("cut"), same.alias("same"))
+    small = rows.select("conv", "idx", "turn", "same", initial.alias("initial"), blank.alias("blank"), cut.alias("cut"))
     seen = small.groupBy("conv", "same").agg(F.min("idx").alias("first"), F.count("*").alias("n")).where("n > 1")
     small = join_skewed(small, seen, ["conv", "same"], "n", rows.count(), how="left")
     fault = F.when(F.col("blank"), 1).when(F.col("idx") > F.col("first"), 2).when(F.col("cut"), 3).otherwise(0)

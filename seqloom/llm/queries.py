@@ -151,7 +151,7 @@ _SPREAD = f"{_least('u', _add('n', '2', 'I'), _add('s', '2', 'I'), _add('a', '2'
 _REPAIR = f"""
 WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS harm FROM conversations),
 m AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE harm <> 0),
-o AS (SELECT coalesce('1' || conv_id::VARCHAR, '0') AS conv, turn, role, text, role[1] AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM m),
+o AS (SELECT coalesce('1' || conv_id::VARCHAR, '0') AS conv, turn, role, text, role[1] AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role)::VARCHAR || ':' || role || text)) AS k FROM m),
 t AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY k) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, CASE WHEN k > 1 AND lag(initial) OVER (PARTITION BY conv ORDER BY k) || initial NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM o),
 w AS (SELECT DISTINCT conv, 0::BIGINT AS k, {{'c': 0::BIGINT, 't': ''}} AS n, {_FAR} AS s, {_FAR} AS u, {_FAR} AS a FROM t
   UNION ALL SELECT conv, k, {_add('n', '3', 'D')}, {_least(_add('s', '3', 'D'), f"CASE WHEN open AND initial = 's' THEN {_add('n', 'l', 'K')} ELSE {_FAR} END")},

@@ -160,7 +160,7 @@ def cheapest_brute(rows):
 
 def repair_brute(turns):
     """turns (turn, role, text) of one conversation to its row."""
-    turns = sorted(turns, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    turns = sorted(turns, key=lambda x: (x[0] is not None, x[0] or 0, h(f"{len(x[1].encode())}:", *x[1:])))
     seen, faults = set(), []
     for _, role, text in turns:
         bare = text.strip(" \t\n\v\f\r")
