@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import discard, materialise, shared_dir  # noqa: F401
+
 #: Words are maximal runs of bytes other than ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -26,40 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only on a local master, where one machine runs everything, may it be
-    missing: then a temporary folder is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        master = spark.sparkContext.master
-        if not master.split("[")[0] == "local":
-            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-        where = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost
-    executors and gives the optimizer real sizes. The table goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table that materialise() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/seqloom-" in path:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """For each stem a column name that df does not have yet (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}
