@@ -163,7 +163,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Texts are equal when identical after no change; a null text counts as empty. keep_id is the largest
     doc_id of the group (null ids are smaller than any; null if there are no others). Exactly one row of
-    a group is kept: of rows that repeat keep_id, an arbitrary one, as they are alike in both columns.
+    a group is kept: of rows that repeat keep_id, an arbitrary one, as they are alike in both columns. Texts of
+    any length are read whole, in pieces.
     Extra columns of docs are ignored, whatever their names; an empty table gives an empty result.
     """
     each = _groups(docs, doc_id, text, **how).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
@@ -173,7 +174,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with one row of each group of equal texts, the one with the largest doc_id; all columns stay.
 
-    Null texts count as empty; of rows that repeat text and doc_id, one stays.
+    Null texts count as empty, texts of any length are read whole; of rows that repeat text and doc_id, one stays.
+    An empty table gives an empty result, and columns of docs may have any names.
     """
     sha, keep, n = fresh(docs, "sha", "keep", "n")
     groups = _groups(docs, doc_id, text, **how).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))

@@ -107,7 +107,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     Documents are taken by falling doc_id (null ids last, ties by a hash of the text), the first one
     following the last. The edited text has its last floor(n_chars / 3) code points replaced by the first
-    as many, or all, of the next document. Null texts count as empty; one document alone is its own next;
+    as many, or all, of the next document. doc_id has to be a whole number; texts of any length are parsed whole,
+    two at a time. Null texts count as empty; one document alone is its own next;
     an empty table gives an empty result; extra columns are ignored.
 
     One shuffle deals ranges of ids over the tasks, with a copy of each range's first document for the

@@ -301,8 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             slope, shift = logistic(margins, y, np.where(y == 1, n1, n0) / (n1 + n0) / np.maximum(n[y], 1) * len(y))
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), *[pa.array([float(v)]) for v in (bias, slope, shift)]], names=["w", "bias", "slope", "shift"])
 
-    # One task, for a sample of bounded size.
-    w, bias, slope, shift = sample.coalesce(1).sortWithinPartitions("draw").mapInArrow(run, "w binary, bias double, slope double, shift double").first()
+    # One task, for a sample of bounded size; the others choose it.
+    w, bias, slope, shift = sample.repartition(1).sortWithinPartitions("draw").mapInArrow(run, "w binary, bias double, slope double, shift double").first()
     discard(taught)
     return Model(ratio, np.frombuffer(bytes(w), dtype=np.float32), bias, slope, shift)
 

@@ -332,8 +332,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
     """One row per row of docs: doc_id, fingerprint (lowercase hex), component_id (the smallest doc_id
     reachable over links, the row's own included).
 
-    A null or empty text, or one without words, has fingerprint zero and is linked like any other. Null
-    ids are passed over for component_id, which is null only if no row of the component has an id.
+    A null or empty text, or one without words, has fingerprint zero and is linked like any other; a text of
+    any length is read whole, by the task that holds its row. Null ids are passed over for component_id, which is null only if no row of the component has an id.
     Repeated rows stay; extra columns of docs are ignored; an empty table gives an empty result. Only
     distinct fingerprints are compared, so copies cost nothing.
     """

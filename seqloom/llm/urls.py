@@ -113,7 +113,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
 
     The model reads whole urls, scheme, query and fragment included; rules read host and path. A null url
     counts as an empty one (its score is the end mark's); one without :// has an empty host and path and is
-    judged like any other. Repeated rows stay and get one verdict; extra columns are ignored; an empty
+    judged like any other. A URL of any length is read whole. Repeated rows stay and get one verdict; extra columns are ignored; an empty
     table gives an empty result. Without ruled URLs all scores are 0 and all verdicts allow.
     """
     whole = pages.select(quoted(page_id).alias("page_id"), F.coalesce(quoted(url), F.lit("")).alias("text"))

@@ -95,7 +95,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     """One row per row of docs: doc_id, n_words, n_tokens.
 
     Words are split at ASCII white space; each begins with the vocabulary's space mark. Null and empty
-    texts count 0. Repeated rows stay; extra columns are ignored; an empty table gives an empty result.
+    texts count 0. doc_id has to be a whole number; a text of any length is read whole. Repeated rows stay; extra columns are ignored; an empty table gives an empty result.
     The vocabulary (a fixed file) is read on the driver and broadcast; nothing is shuffled.
     """
     entries = docs.sparkSession.sparkContext.broadcast([p for p, kind, _ in read_pieces(vocabulary) if kind == "piece"])

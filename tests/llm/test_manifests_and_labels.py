@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import dialogue, language, merkle, quality, queries
+from seqloom.llm import dialogue, language, merkle, quality, queries, urls
 from seqloom.llm.common import numbered, table
 
 from .test_operators import none, odd, words  # noqa: F401
@@ -354,3 +354,15 @@ def test_pages_are_read_in_proportion(piece):
     began = time.process_time()
     language.plain(page)
     assert time.process_time() - began < 8
+
+
+# 1: long URLs
+
+
+def test_urls_of_any_length_are_judged(spark):
+    r = random.Random(13)
+    tail = "".join(r.choice("abcdefghij/") for _ in range(60_000))
+    rows = [(k, f"http://a{k % 7}.{'org' if k % 2 else 'com/de/x'}/{k}") for k in range(60)] + [(60, f"http://x.org/{tail}"), (61, f"http://y.net/{tail}"), (62, "h" * 30_000)]
+    got = {x.page_id: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows) and got[60].verdict == "allow" and got[60].path == f"/{tail}"
+    assert got[61].verdict in ("allow", "block") and (got[62].host, got[62].path) == ("", "")
