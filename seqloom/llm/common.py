@@ -57,16 +57,18 @@ def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataF
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, inner).toDF(*schema.names)
 
 
-def join_skewed(rows: DataFrame, one: DataFrame, key: str | list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+def join_skewed(rows: DataFrame, one: DataFrame, key: str | list[str], n: str, total: int, how: str = "inner", alike: bool = False) -> DataFrame:
     """rows joined with `one`, which has, as column n, how many of the `total` rows have a key, and one row per
     key of more than LARGE rows. Keys of more than a thousandth of all rows, of which there are under a thousand, are broadcast,
     so that no task gets all rows of a key; the others are joined by exchange. Column n goes. With how="left" rows
-    without a partner stay."""
+    without a partner stay. With `alike` the others are joined by exchange also where they would fit a broadcast,
+    so that cost grows in proportion."""
     large = F.col(n) > max(total // 1000, LARGE)
     hot = F.broadcast(one.where(large).drop(n))
     names = [key] if isinstance(key, str) else key
     rest = rows.join(F.broadcast(one.where(large).select(*names)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(one.where(~large).drop(n), key, how))
+    small = one.where(~large).drop(n)
+    return rows.join(hot, key).unionByName(rest.join(small.hint("merge") if alike else small, key, how))
 
 
 def numbered(df: DataFrame, group: str, order: list[str], idx: str) -> DataFrame:

@@ -140,7 +140,7 @@ def classes(docs: DataFrame, text: str = "text", huge_chars: int = 1 << 20, piec
                 yield pa.RecordBatch.from_pydict({"class_key": pa.array([k] * len(at), pa.binary()), "no": pa.array(range(len(at)), pa.int32()), "piece": pa.array([x[i : i + piece_chars] for i in at], pa.string())})
 
     # A text of very many copies is one key: it meets its class by broadcast, and no copy is moved.
-    again = join_skewed(read.select(F.col(t), size.alias("n_bytes"), *by), places, at, "n", keyed.count()).select("class_key", t)
+    again = join_skewed(read.select(F.col(t), size.alias("n_bytes"), *by), places, at, "n", keyed.count(), alike=True).select("class_key", t)
     pieces = again.mapInArrow(cut, "class_key binary, no int, piece string")
     unlike = materialise(pieces.groupBy("class_key", "no").agg((F.min("piece") != F.max("piece")).alias("unlike")).where("unlike").select("class_key").distinct())
     keyed = keyed.drop("h1", "h2")
