@@ -44,6 +44,8 @@ STEP = 1 << 15
 BLOCK = 1 << 18
 #: Bands of minimum hashes, hashes in one, and fingerprints or shingle sets that meet as one block.
 BANDS, ROWS, MEET = 24, 4, 16384
+#: Shingles of the sets that meet as one block, 32 MB; a block has more where one set has.
+MEET_SHINGLES = 1 << 22
 #: Bits of a shingle set's fingerprint, and how many may differ at a similarity of 0.8: 39 do on average, with
 #: a deviation of 6; of unrelated sets 128 do, and their counts in segments of two bits are 96 apart.
 PRINT, RADIUS = 256, 84
@@ -424,15 +426,17 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
     of similar sets that share cells gets a connected set of links.
 
     Only cells in which different sets meet are looked at, and of cells with the same members one. Members
-    of a cell of more than MEET are dealt into blocks, and each two blocks meet in a group of their own:
-    no task holds more than about 2 * MEET sets, and no pair is left out.
+    of a cell of more than MEET, or of more than MEET_SHINGLES together, are dealt into blocks, and each two
+    blocks meet in a group of their own: no task holds more than about 2 * MEET sets and 2 * MEET_SHINGLES
+    shingles (or two sets, where these are larger), and no pair is left out.
     """
-    spread = prints.where("fp <> X''").groupBy("fp").agg(F.first("cells").alias("cells")).select("fp", F.explode("cells").alias("cell"))
+    spread = prints.where("fp <> X''").groupBy("fp").agg(F.first("cells").alias("cells"), F.first("size").alias("size")).select("fp", "size", F.explode("cells").alias("cell"))
     spread = materialise(spread)
     alike = [F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.hash("fp").cast("long")).alias("s"), F.min("fp").alias("one")]
-    cells = spread.groupBy("cell").agg(F.count("*").alias("n"), *alike).where("n > 1").groupBy("n", "x", "s", "one").agg(F.min("cell").alias("cell"))
-    p = F.ceil(F.col("n") / MEET).cast("int")
-    members = spread.join(cells.select("cell", "n"), "cell").withColumn("p", p).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("p")).cast("int"))
+    counts = spread.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *alike).where("n > 1")
+    cells = counts.groupBy("n", "total", "x", "s", "one").agg(F.min("cell").alias("cell"))
+    p = F.greatest(F.ceil(F.col("n") / MEET), F.least("n", F.ceil(F.col("total") / MEET_SHINGLES))).cast("int")
+    members = spread.join(cells.select("cell", p.alias("p")), "cell").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("p")).cast("int"))
     # Block i meets block j: in group (i, j) with i < j, or in (i, i) if there is one block only.
     other = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     pairs = F.filter(other, lambda x: (x["i"] < x["j"]) | (F.col("p") == 1))
@@ -482,7 +486,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     misses (1 - 0.8 ** ROWS) ** BANDS = 3 in a million pairs at 0.8; every link is decided by the sets.
 
     Documents without words (null and empty texts too) are no copies of each other here and all stay.
-    Of a group's rows that repeat the smallest doc_id and its text one stays. Null ids come last.
+    Of a group's rows that repeat the smallest doc_id and its text one stays; of unlike texts with that doc_id
+    the one of the smallest hash. Null ids come last.
     """
     h, key, other, n = fresh(docs, "h", "key", "other", "n")
     ids = docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("text"))
@@ -491,10 +496,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         for batch in batches:
             own = [shingle_set(t.as_py(), words) for t in batch.column("text")]
             cells = pa.array([band_cells(x) for x in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([set_key(x) for x in own], pa.binary()), cells], names=["doc_id", "h", "fp", "cells"])
+            keys, sizes = pa.array([set_key(x) for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), keys, sizes, cells], names=["doc_id", "h", "fp", "size", "cells"])
 
     kind = next(f.dataType for f in ids.schema.fields if f.name == "doc_id").simpleString()
-    prints = materialise(ids.mapInArrow(keyed, f"doc_id {kind}, h long, fp binary, cells array<long>"))
+    prints = materialise(ids.mapInArrow(keyed, f"doc_id {kind}, h long, fp binary, size long, cells array<long>"))
     none = F.unhex(F.lit(""))
     found = components(similar_links(ids, prints, words, similarity))
     rows = prints.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("n"))

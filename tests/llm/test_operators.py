@@ -360,9 +360,10 @@ def similar_brute(texts, similarity=0.8):
     return sorted(i for i in texts if root[i] == i)
 
 
-@pytest.mark.parametrize("most", [16384, 3])
-def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, shingles", [(16384, 1 << 22), (3, 1 << 22), (16384, 700), (16384, 10)])
+def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch, most, shingles):
     monkeypatch.setattr(simhash, "MEET", most)
+    monkeypatch.setattr(simhash, "MEET_SHINGLES", shingles)
     r, texts = random.Random(9), {}
     for k in range(60):  # from similarity 0.5 to 0.95, many about 0.8
         w = words(240, 500 + k).split()
