@@ -43,6 +43,8 @@ NONE = -(1 << 60)
 REMEMBER, LOCKSTEP_CHARS = 250_000, 32
 BASE = 0xD1342543DE82EF95
 CHUNK = 1 << 15
+#: Chunks whose ids a worker holds at a time.
+SOME = 16
 
 
 class Table:
@@ -314,13 +316,14 @@ class Vocabulary:
         best, back = self.lattice(s, n, enter)
         return [self.trace(back, n + t)[1] if n + t <= len(s) and best[n + t] > NONE else 0 for t in range(self.reach)]
 
-    def chunk_ids(self, s: str, n: int, enter: list[int], leave: int) -> list[int]:
+    def chunk_ids(self, s: str, n: int, enter: list[int], leave: int) -> bytes:
+        """Ids (int32) of the chunk."""
         if not (found := self.bounds(s, n)):
-            return self.trace(self.lattice(s, n, enter)[1], n + leave)[0]
+            return array("i", self.trace(self.lattice(s, n, enter)[1], n + leave)[0]).tobytes()
         head, tail = s[: found[0]], s[found[1] :]
         before = self.trace(self.lattice(head, len(head), enter)[1], len(head))[0]
         after = self.trace(self.lattice(tail, n - found[1], [0])[1], n - found[1] + leave)[0]
-        return before + np.frombuffer(self.ids_of(s[found[0] : found[1]]), np.int32).tolist() + after
+        return array("i", before).tobytes() + self.ids_of(s[found[0] : found[1]]) + array("i", after).tobytes()
 
 
 def marked(text: str) -> str:
@@ -453,10 +456,13 @@ def _giant(texts: DataFrame, vocabulary: str, pieces, chunk: int) -> DataFrame:
         return pa.table({"key": table.column("key"), "no": table.column("no"), "enter": table.column("enter"), "leave": pa.array(after, pa.int32())})
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A few chunks at a time: their ids, in Python, are what a worker would otherwise hold most of."""
         own = _vocabulary(vocabulary, pieces)
         for batch in batches:
-            found = [own.chunk_ids(text_of(no.as_py(), p.as_py()), n.as_py(), e.as_py(), x.as_py()) for no, n, p, e, x in zip(*(batch.column(c) for c in ("no", "n", "part", "enter", "leave")))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(found, pa.list_(pa.int32()))], names=["key", "no", "ids"])
+            for at in range(0, batch.num_rows, SOME):
+                some = batch.slice(at, SOME)
+                found = [own.chunk_ids(text_of(no.as_py(), p.as_py()), n.as_py(), e.as_py(), x.as_py()) for no, n, p, e, x in zip(*(some.column(c) for c in ("no", "n", "part", "enter", "leave")))]
+                yield pa.RecordBatch.from_arrays([some.column("key"), some.column("no"), _lists(found)], names=["key", "no", "ids"])
 
     enters = chunks.mapInArrow(matrices, "key string, no int, m binary").groupBy("key").applyInArrow(scan, "key string, no int, enter array<long>")
     backs = chunks.join(enters, ["key", "no"]).mapInArrow(ways, "key string, no int, enter array<long>, back array<int>")

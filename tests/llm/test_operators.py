@@ -638,6 +638,15 @@ def test_giant_texts_in_chunks(spark):
     assert back == {k: t or "" for k, t in enumerate(texts)}
 
 
+def test_ids_of_a_chunk_are_held_as_bytes():
+    """Four bytes an id: lists of integers took hundreds of MB for a batch of chunks."""
+    v = pieces.Vocabulary(read_pieces())
+    for text in ("the quick brown fox " * 9, "x" * 90):
+        s = pieces.marked(text)
+        got = v.chunk_ids(s, len(s), [0], 0)
+        assert isinstance(got, bytes) and got == v.encode(text)
+
+
 def test_encoding_odd_rows(spark, odd, none):
     back = pieces.decode(pieces.encode(odd, ids="pieces"), "pieces", "text")
     assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()))
