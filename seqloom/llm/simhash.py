@@ -13,8 +13,10 @@ distance, first of sums and then of whole vectors, and what is within it is veri
 are divided by ranges of counts, then dealt into blocks that meet two by two.
 
 The pipeline's near-dedup needs a similarity of shingle sets, 0.8, at which 39 of 256 bits differ: too many
-for any projection that tells texts apart. There cells come from minimum hashes, and inside them the
-fingerprints' Manhattan and Hamming distances bound what the sets then decide (the last part of this module).
+for any projection that tells texts apart. There shingles are dealt to segments by their hashes, each segment
+has a fingerprint of its own, and cells are projections onto the bit counts of one segment: the pigeonhole
+goes by shingles that differ. Inside cells the Manhattan distance of the bit counts of whole fingerprints,
+then their differing bits, bound what the sets then decide (the last part of this module).
 
 Components: star contraction over links between distinct fingerprints, with written tables between
 rounds. Fingerprints stay distributed throughout.
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, join_skewed, map_arrow, materialise, quoted
+from .common import LARGE, discard, fresh, join_skewed, map_arrow, materialise, quoted
 from .suffixes import bitmap, passes
 
 SEED = 42
@@ -42,14 +44,14 @@ SEED = 42
 STEP = 1 << 15
 #: Pairs compared in one step inside a cell.
 BLOCK = 1 << 18
-#: Bands of minimum hashes, hashes in one, and fingerprints or shingle sets that meet as one block.
-BANDS, ROWS, MEET = 24, 4, 16384
+#: Fingerprints or shingle sets that meet as one block, and members of a cell that are compared all at once.
+MEET, FEW = 16384, 64
 #: Shingles of the sets that meet as one block, 32 MB; a block has more where one set has.
 MEET_SHINGLES = 1 << 22
 #: Bits of a shingle set's fingerprint, and how many may differ at a similarity of 0.8: 39 do on average, with
 #: a deviation of 6; of unrelated sets 128 do, and their counts in segments of two bits are 96 apart.
 PRINT, RADIUS = 256, 84
-TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
+TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 96), np.uint64, endpoint=False)
 TIMES |= np.uint64(1)
 
 
@@ -363,17 +365,56 @@ def set_key(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else b""
 
 
-def band_cells(own: np.ndarray) -> np.ndarray:
-    """For each of BANDS bands of ROWS minimum hashes, the key of a set's cell. Sets of similarity s share
-    a band's cell with probability s ** ROWS, whatever the number of documents."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 1024):
-        np.minimum(least, (own[k : k + 1024, None] * TIMES + PLUS).min(axis=0), out=least)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def levels(size: int, similarity: float) -> Iterator[tuple[int, int, int]]:
+    """(level, segments, differ) of a set of shingles. A pair is of the level of its larger set, whose size is at
+    most 2 ** level and over half of that; a set belongs to the levels of all similar pairs it may be in, in
+    which at most `differ` shingles belong to one of both sets only. All sets have the same segments at a level."""
+    part = (1 - similarity) / (1 + similarity)
+    largest = int(size / similarity + 1e-9)
+    for level in range((size - 1).bit_length(), (largest - 1).bit_length() + 1):
+        if differ := int((size + min(1 << level, largest)) * part + 1e-9):
+            most = int((2 << level) * part + 1e-9)
+            yield level, most + -(-most // 32) + 3, differ
+
+
+def segment_counts(own: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bit counts, in pieces of two bits, of the 64-bit fingerprint of each segment (starts[k] to starts[k] +
+    sizes[k] of own): a bit is 1 if over half of the segment's shingles have it."""
+    out = np.empty((len(starts), 32), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + STEP)))
+        some = own[starts[at] : starts[to - 1] + sizes[to - 1], None]
+        bits = np.unpackbits(mixed(some * TIMES[:1] + PLUS[:1]).view(np.uint8), axis=1)
+        ones = np.add.reduceat(bits, starts[at:to] - starts[at], axis=0, dtype=np.int32) * 2 > sizes[at:to, None]
+        out[at:to] = ones[:, ::2].astype(np.uint64) + ones[:, 1::2]
+        at = to
+    return out
+
+
+def segment_cells(own: np.ndarray, similarity: float) -> np.ndarray:
+    """The keys of a set's cells: projections of its segments' bit counts onto one segment each.
+
+    At most `differ` segments of a similar pair are unequal, so of its segments that are not empty, taken in
+    any order that depends on the segment alone, the first differ + 1 of both sets have one in common: where
+    the order of one ends first, one of its differ + 1 is in the other, and before the other's end. Segments
+    of many shingles come first, since they tell most. Sets with no more than `differ` such segments go to
+    cells for their empty ones too, where they meet their like. No similar pair is lost.
+    """
+    out = [np.empty(0, np.uint64)]
+    for level, n, differ in levels(len(own), similarity) if len(own) else ():
+        place = (own >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)  # own is sorted, so places ascend
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        sizes = np.diff(np.r_[starts, len(own)])
+        salt = mixed(np.arange(n, dtype=np.uint64) * np.uint64(64) + np.uint64(level) + PLUS[1])
+        at = place[starts].astype(np.int64)
+        key = mixed(mixed((segment_counts(own, starts, sizes) * TIMES[-32:]).sum(axis=1, dtype=np.uint64)) ^ salt[at])
+        if len(key) > differ:
+            key = key[np.lexsort((key, -sizes))[: differ + 1]]
+        else:
+            key = np.r_[key, mixed(np.delete(salt, at) ^ PLUS[2])]
+        out.append(key)
+    return np.concatenate(out).view(np.int64)
 
 
 def set_print(own: np.ndarray) -> bytes:
@@ -421,26 +462,135 @@ def prints_grid() -> Grid:
     return Grid(PRINT, 2, RADIUS, groups=RADIUS)
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) between keys of shingle sets, all of them of at least that similarity; a connected group
-    of similar sets that share cells gets a connected set of links.
-
-    Only cells in which different sets meet are looked at, and of cells with the same members one. Members
-    of a cell of more than MEET, or of more than MEET_SHINGLES together, are dealt into blocks, and each two
-    blocks meet in a group of their own: no task holds more than about 2 * MEET sets and 2 * MEET_SHINGLES
-    shingles (or two sets, where these are larger), and no pair is left out.
-    """
-    spread = prints.where("fp <> X''").groupBy("fp").agg(F.first("cells").alias("cells"), F.first("size").alias("size")).select("fp", "size", F.explode("cells").alias("cell"))
-    spread = materialise(spread)
-    alike = [F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.hash("fp").cast("long")).alias("s"), F.min("fp").alias("one")]
-    counts = spread.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *alike).where("n > 1")
-    cells = counts.groupBy("n", "total", "x", "s", "one").agg(F.min("cell").alias("cell"))
+def unary(words: np.ndarray) -> np.ndarray:
+    """The bit counts of segments of two bits, each as that many ones: what two of these differ in is the Manhattan
+    distance of the counts."""
+    low, odd = np.uint64(0x5555555555555555), words >> np.uint64(1)
+    return ((words | odd) & low) << np.uint64(1) | (words & odd & low)
+
+
+def near_pairs(cells: np.ndarray, sizes: np.ndarray, prints: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions inside cells (which come sorted) that connect all whose sizes and fingerprints are within
+    the bounds: a range join under the Manhattan distance of bit counts, then their differing bits."""
+    words = prints.view(np.uint64)
+    counts = unary(words)
+
+    def within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs."""
+        left = np.flatnonzero(np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        for rows in (counts, words):
+            left = left[np.bitwise_count(rows[a[left]] ^ rows[b[left]]).sum(axis=1, dtype=np.int64) <= RADIUS]
+        return left
+
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    ends = np.r_[starts[1:], len(cells)]
+    few = ends - starts <= FEW
+    end = np.repeat(np.where(few, ends, 0), ends - starts)
+    out, at = [], np.flatnonzero(end)
+    for step in range(1, FEW):  # each with the one so many places on
+        at = at[at + step < end[at]]
+        for k in range(0, len(at), BLOCK):
+            a = at[k : k + BLOCK]
+            a = a[within(a, a + step)]
+            out.append((a, a + step))
+    for s, e in zip(starts[~few], ends[~few]):  # a search: each meets those not reached yet
+        left, todo = np.arange(s + 1, e), [s]
+        while len(left):
+            if not todo:
+                todo, left = [left[0]], left[1:]
+                continue
+            one = todo.pop()
+            near = within(np.full(len(left), one), left)
+            out.append((np.full(len(near), one), left[near]))
+            todo += left[near].tolist()
+            left = np.delete(left, near)
+    return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+
+
+def dealt(members: DataFrame, key: str) -> DataFrame:
+    """members(key, fp, size, ...) of groups, key replaced by g: a group of more than MEET members, or of more than
+    MEET_SHINGLES together, is dealt into blocks, and each two blocks meet in a group of their own. No task
+    holds more than about 2 * MEET sets and 2 * MEET_SHINGLES shingles (or two sets, where these are larger),
+    and no pair is left out. Groups of one go."""
     p = F.greatest(F.ceil(F.col("n") / MEET), F.least("n", F.ceil(F.col("total") / MEET_SHINGLES))).cast("int")
-    members = spread.join(cells.select("cell", p.alias("p")), "cell").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("p")).cast("int"))
+    counts = members.groupBy(key).agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1").select(key, p.alias("p"))
     # Block i meets block j: in group (i, j) with i < j, or in (i, i) if there is one block only.
     other = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     pairs = F.filter(other, lambda x: (x["i"] < x["j"]) | (F.col("p") == 1))
-    members = materialise(members.select("fp", "cell", F.explode(pairs).alias("pair")).select("fp", F.when(F.col("pair.j") == 0, F.col("cell")).otherwise(F.xxhash64("cell", "pair.i", "pair.j")).alias("g")))
+    blocks = members.join(counts, key).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("p")).cast("int")).withColumn("pair", F.explode(pairs))
+    g = F.when(F.col("pair.j") == 0, F.xxhash64(key)).otherwise(F.xxhash64(key, "pair.i", "pair.j"))
+    return blocks.withColumn("g", g).drop(key, "p", "block", "pair")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between keys of shingle sets, all of them of at least that similarity; a connected group
+    of similar sets gets a connected set of links.
+
+    Only cells in which different sets meet are looked at; there sizes and fingerprints meet first, and only
+    what is within their bounds is sent on as sets, once for what is connected over all cells. Large cells and
+    what is connected in large numbers are dealt into blocks.
+    """
+    known = prints.where("fp <> X''")
+    # Of sets with very many copies one row goes on.
+    hot = F.broadcast(known.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > max(prints.count() // 1000, LARGE)).select("fp"))
+    single = known.join(hot, "fp", "left_anti").unionByName(known.join(hot, "fp", "left_semi").dropDuplicates(["fp"]).select(*known.columns))
+
+    def shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows (cell, key), sorted, the distinct ones of cells with more than one key. The last row is held."""
+        held, joined = np.empty((2, 0), np.int64), False  # joined: its cell has come before
+        for batch in itertools.chain(batches, [None]):
+            last = batch is None
+            rows = held if last else np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            if not rows.shape[1]:
+                continue
+            rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]]
+            before = np.r_[joined, rows[0, 1:] == rows[0, :-1]]
+            met = before | np.r_[before[1:], False]
+            end = rows.shape[1] - (not last)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:end][met[:end]]) for x in rows], names=["cell", "key"])
+            held, joined = rows[:, end:], bool(before[-1])
+
+    keyed = single.select(F.explode("cells").alias("cell"), F.xxhash64("fp").alias("key"))
+    several = keyed.repartition("cell").sortWithinPartitions("cell", "key").mapInArrow(shared_cells, "cell long, key long")
+    info = known.dropDuplicates(["fp"]).select(F.xxhash64("fp").alias("key"), "fp", "size", "print")
+    met = materialise(several.join(info, "key").drop("key"))
+
+    def within(cells: np.ndarray, keys: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links from the smallest of connected members of whole cells to the others."""
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for a, b in zip(*(x.tolist() for x in near_pairs(cells, sizes, bits, similarity))):
+            root[find(b)] = find(a)
+        joined: dict[int, list[bytes]] = {}
+        for x in list(root):
+            joined.setdefault(find(x), []).append(keys[x].tobytes())
+        star = [(min(x), y) for x in joined.values() for y in x]
+        if star:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*star)], names=["a", "b"])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells come sorted; the last one of a batch may go on in the next."""
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = [batch.column(0).to_numpy(), packed(batch.column(1), 16), batch.column(2).to_numpy(), packed(batch.column(3), PRINT // 8)]
+            held = [np.concatenate(x) for x in zip(held, here)] if held else here
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            yield from within(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+        if held:
+            yield from within(*held)
+
+    rows = dealt(met, "cell").select("g", "fp", "size", "print").repartition("g").sortWithinPartitions("g")
+    found = components(rows.mapInArrow(screen, "a binary, b binary").distinct())
+    found = found.select(F.col("node").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root").distinct())
+    members = materialise(dealt(found.join(known.select("fp", "size").dropDuplicates(["fp"]), "fp"), "root").select("g", "fp"))
     needed = members.select("fp").distinct()
     texts = prints.join(needed, "fp", "left_semi").select("h").distinct()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(texts, "h"))
@@ -482,8 +632,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """docs with one row of each near-duplicate group, the one with the smallest doc_id; all columns stay.
 
     Near-duplicates are documents whose sets of distinct shingles have at least that Jaccard similarity, and
-    what is connected over them. Candidates share one of BANDS cells of minimum hashes, which by the model
-    misses (1 - 0.8 ** ROWS) ** BANDS = 3 in a million pairs at 0.8; every link is decided by the sets.
+    what is connected over them. Candidates share a cell of the grid on their segments' bit counts, which loses
+    no similar pair, and are within the bounds of their fingerprints; every link is decided by the sets.
 
     Documents without words (null and empty texts too) are no copies of each other here and all stay.
     Of a group's rows that repeat the smallest doc_id and its text one stays; of unlike texts with that doc_id
@@ -495,12 +645,13 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_set(t.as_py(), words) for t in batch.column("text")]
-            cells = pa.array([band_cells(x) for x in own], pa.list_(pa.int64()))
-            keys, sizes = pa.array([set_key(x) for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), keys, sizes, cells], names=["doc_id", "h", "fp", "size", "cells"])
+            cells = pa.array([segment_cells(x, similarity) for x in own], pa.list_(pa.int64()))
+            keys, bits = (pa.array([f(x) for x in own], pa.binary()) for f in (set_key, set_print))
+            cols = [batch.column("doc_id"), batch.column("h"), keys, pa.array([len(x) for x in own], pa.int64()), bits, cells]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "fp", "size", "print", "cells"])
 
     kind = next(f.dataType for f in ids.schema.fields if f.name == "doc_id").simpleString()
-    prints = materialise(ids.mapInArrow(keyed, f"doc_id {kind}, h long, fp binary, size long, cells array<long>"))
+    prints = materialise(ids.mapInArrow(keyed, f"doc_id {kind}, h long, fp binary, size long, print binary, cells array<long>"))
     none = F.unhex(F.lit(""))
     found = components(similar_links(ids, prints, words, similarity))
     rows = prints.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("n"))

@@ -379,6 +379,55 @@ def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch, most, s
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == similar_brute(texts)
 
 
+def test_near_dedup_finds_a_similar_pair_without_a_common_minimum(spark):
+    """Two texts of similarity 0.8, chosen so that none of the 24 bands of minimum hashes used before has them in one cell."""
+    a = " ".join(f"w{k}" for k in range(12))
+    texts = {1: a, 2: f"{a} x19112 y995", 3: " ".join(f"w{k}" for k in range(40, 54))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == similar_brute(texts) == [1, 3]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_cells_of_segments_lose_no_similar_pair(similarity):
+    g = np.random.default_rng(3)
+    for v in range(1500):
+        common = int(g.integers(2, 400 if v % 4 == 0 else 40))
+        more = int(common / similarity + 1e-9) - common  # as many shingles of one set only as there can be
+        x = g.integers(0, 1 << 64, common + more, np.uint64, endpoint=False)
+        k = int(g.integers(0, more + 1))
+        a, b = np.unique(x[: common + k]), np.unique(np.r_[x[:common], x[common + k :]])
+        if more:
+            assert np.intersect1d(simhash.segment_cells(a, similarity), simhash.segment_cells(b, similarity)).size, (len(a), len(b))
+
+
+@pytest.mark.parametrize("few", [2, 8, 64])
+def test_pairs_within_the_bounds_connect_as_all_pairs_do(monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    g = np.random.default_rng(5)
+    prints = g.integers(0, 256, (90, 32), np.uint8)
+    for k in range(80):  # chains and dense groups
+        if k % 3:
+            prints[k + 1] = prints[k]
+            prints[k + 1, g.integers(0, 32, 10)] ^= 129
+    sizes, cells = g.integers(80, 110, 90), np.sort(g.choice([1, 1, 2, 3, 4, 5], 90))
+    counts = simhash.prints_grid().counts(prints).astype(int)
+
+    def near(i, j):
+        far = np.unpackbits(prints[i] ^ prints[j]).sum()
+        bounds = np.abs(counts[i] - counts[j]).sum() <= simhash.RADIUS and far <= simhash.RADIUS
+        return cells[i] == cells[j] and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) and bounds
+
+    def connected(pairs):
+        group = list(range(90))
+        for i, j in pairs:
+            group = [group[i] if x == group[j] else x for x in group]
+        return {frozenset(k for k in range(90) if group[k] == x) for x in group}
+
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if near(i, j)}
+    got = {(min(x), max(x)) for x in zip(*(x.tolist() for x in simhash.near_pairs(cells, sizes, prints, 0.8)))}
+    assert got <= want and connected(got) == connected(want) and len(connected(want)) < 90
+
+
 def test_near_dedup_stage_on_given_documents(spark, sf_dir):
     import corpus_pipeline
 
