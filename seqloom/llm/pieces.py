@@ -41,6 +41,8 @@ NONE = -(1 << 60)
 #: Words a worker remembers, and the longest that are cut in lockstep; the base of the hash for looking up
 #: pieces.
 REMEMBER, LOCKSTEP_CHARS = 250_000, 32
+#: Words whose ids a worker keeps from task to task.
+KEEP = 10_000
 BASE = 0xD1342543DE82EF95
 CHUNK = 1 << 15
 #: Chunks whose ids a worker holds at a time.
@@ -229,6 +231,10 @@ class Vocabulary:
         for i in alone:
             self.recent[new[i]] = self.stretch(texts[i])
 
+    def forget(self) -> None:
+        """Let go all but the first words: a worker outlives its task, and what it keeps is held through all later ones."""
+        self.recent = dict(islice(self.recent.items(), KEEP))
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids (int32) of each text. Line ends are spelled in bytes, so words are cut there, too; a word
         after a line end, which has no mark, is noted with a null character."""
@@ -394,6 +400,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
                 lists = each.take(pa.array(at_of, pa.int32()))
                 texts = [pa.array(own.decode_all(each), pa.string()).take(pa.array(at_of, pa.int32()))] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), lists, *texts], names=shape.names)
+        own.forget()
 
     long = F.coalesce(F.length(quoted(text)), F.lit(0)) > chunk
     small = map_arrow(docs.where(~long), plain, shape)
@@ -431,6 +438,7 @@ def _giant(texts: DataFrame, vocabulary: str, pieces, chunk: int) -> DataFrame:
         for batch in batches:
             found = [own.matrix(text_of(no.as_py(), part.as_py()), n.as_py()).tobytes() for no, n, part in zip(batch.column("no"), batch.column("n"), batch.column("part"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(found, pa.binary())], names=["key", "no", "m"])
+        own.forget()
 
     def scan(table: pa.Table) -> pa.Table:
         """Over one text's matrices: a few KB for each chunk of it, at most 2^31 / chunk of them."""
@@ -463,6 +471,7 @@ def _giant(texts: DataFrame, vocabulary: str, pieces, chunk: int) -> DataFrame:
                 some = batch.slice(at, SOME)
                 found = [own.chunk_ids(text_of(no.as_py(), p.as_py()), n.as_py(), e.as_py(), x.as_py()) for no, n, p, e, x in zip(*(some.column(c) for c in ("no", "n", "part", "enter", "leave")))]
                 yield pa.RecordBatch.from_arrays([some.column("key"), some.column("no"), _lists(found)], names=["key", "no", "ids"])
+        own.forget()
 
     enters = chunks.mapInArrow(matrices, "key string, no int, m binary").groupBy("key").applyInArrow(scan, "key string, no int, enter array<long>")
     backs = chunks.join(enters, ["key", "no"]).mapInArrow(ways, "key string, no int, enter array<long>, back array<int>")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LARGE, discard, fresh, join_skewed, map_arrow, materialise, quoted
+from .common import LARGE, discard, fresh, join_skewed, map_arrow, materialise, quoted, sliced
 from .suffixes import bitmap, passes
 
 SEED = 42
@@ -596,7 +596,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(texts, "h"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             batch = batch.filter(pa.array(passes(shared.value, batch.column(0).to_numpy())))
             own = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             cols = [[set_key(x) for x in own], [set_print(x) for x in own], [x.tobytes() for x in own]]
@@ -643,7 +643,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     ids = docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("h"), quoted(text).alias("text"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [shingle_set(t.as_py(), words) for t in batch.column("text")]
             cells = pa.array([segment_cells(x, similarity) for x in own], pa.list_(pa.int64()))
             keys, bits = (pa.array([f(x) for x in own], pa.binary()) for f in (set_key, set_print))

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -696,6 +697,29 @@ def test_ids_of_a_chunk_are_held_as_bytes():
         assert isinstance(got, bytes) and got == v.encode(text)
 
 
+def test_workers_forget_words_between_tasks(spark):
+    """They outlive their tasks: what one keeps is held while later stages run."""
+    texts = [words(6000, k) for k in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = pieces.encode(docs).collect()
+    assert [pieces.Vocabulary(read_pieces(pieces.DEFAULT)).encode(texts[0])] == [np.array(r.ids, np.int32).tobytes() for r in rows if r.doc_id == 0]
+
+    def kept(batches):
+        for batch in batches:
+            n = max((len(v.recent) for v in pieces._READY.values()), default=0)
+            yield batch.rename_columns(["n"]).set_column(0, "n", pa.array([n] * batch.num_rows, pa.int64()))
+
+    held = max(r.n for r in spark.range(0, 64, 1, 8).mapInArrow(kept, "n long").collect())
+    assert 0 < held <= pieces.KEEP
+
+
+def test_slices_hold_all_rows():
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 2500), (2500, 2500), (2500, 2501))]
+    out = list(common.sliced(iter(batches)))
+    assert [b.num_rows for b in out] == [1000, 1000, 500, 1]
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(2501))
+
+
 def test_encoding_odd_rows(spark, odd, none):
     back = pieces.decode(pieces.encode(odd, ids="pieces"), "pieces", "text")
     assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()))
