@@ -311,25 +311,26 @@ def _meet(rows: DataFrame, grid: Grid, most: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to (node, root): root is the smallest node that can be reached. Alternating large-star
-    and small-star steps; each round's edges are written, so a lost executor costs a round at most."""
+    and small-star steps; each step's edges are written, so a lost executor costs a step at most, and no plan
+    holds more than one step: Spark describes a whole plan to the driver's listeners after each of its stages."""
     swap = lambda df: df.select(F.col("b").alias("a"), F.col("a").alias("b"))
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     while True:
         both = now.unionByName(swap(now))
         total = 2 * now.count()
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = join_skewed(both, least, "a", "n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialise(join_skewed(both, least, "a", "n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         small_min = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         joined = join_skewed(large, small_min, "a", "n", total)
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_min.select("a", F.col("m").alias("b"))).distinct()
         after = materialise(small)
-        stamp = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
+        discard(large)
         now = after
-        if stamp == before:
+        # Done when all are stars: no node has two edges down, and no root has one.
+        ends = now.select("a").unionByName(now.select(F.col("b").alias("a")).distinct())
+        if ends.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = stamp
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, bits: int = 64, grid: Grid | None = None) -> DataFrame:

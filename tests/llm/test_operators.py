@@ -481,6 +481,22 @@ def test_components_of_a_large_star(spark, monkeypatch):
     assert got == {(k, 0) for k in range(1, 61)} | {(71, 70)}
 
 
+def test_components_plan_one_step_at_a_time(spark, monkeypatch):
+    """A plan's text is held by the driver after each of its stages, so no plan nests the steps; stars end it at once."""
+    leaves = []
+
+    def seen(df):
+        leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return common.materialise(df)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    star = [(0, k) for k in range(1, 20)] + [(21, 20)]
+    got = {(r.node, r.root) for r in simhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {(k, 0) for k in range(1, 20)} | {(21, 20)}
+    assert max(leaves) <= 12 and len(leaves) == 3
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (200, 200)]
     e = spark.createDataFrame(chain, "a long, b long")
